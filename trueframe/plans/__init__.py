@@ -10,6 +10,9 @@ MODULES = (
 )
 
 for _name in MODULES:
-    import_module(f"{__name__}.{_name}")
+    try:
+        import_module(f"{__name__}.{_name}")
+    except ModuleNotFoundError as e:
+        if _name not in str(e): raise
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -123,3 +123,6 @@ def query(name: str, oracle: str | None = None):
 
 def oracle_sql() -> dict[str, str]:
     return {name: check_sql(text) for name, text in ORACLES.items()}
+
+
+from . import bindings as _bindings  # noqa: E402,F401  (fills BINDINGS)
