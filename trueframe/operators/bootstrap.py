@@ -70,12 +70,18 @@ def lcg_states(numbers: np.ndarray, seed: int) -> np.ndarray:
 def draws(groups: DataFrame, replicates: int, seed: int, method: str) -> DataFrame:
     """(replicate, ordinal, times): how often each group is drawn in each replicate.
 
-    The grid of addresses is generated from one row per group, so it is as
-    parallel as the groups are; equal draws are counted before the shuffle.
+    The grid of addresses starts from (group, block of replicates) rows, spread
+    over every task before they are expanded; equal draws are counted before
+    the shuffle.
     """
+    block = 250
     total = groups.agg(F.count(F.lit(1)).alias("groups"))
-    slots = groups.select(F.col("ordinal").alias("slot")).crossJoin(F.broadcast(total))
-    grid = slots.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    blocks = groups.select(F.col("ordinal").alias("slot"), F.explode(F.sequence(
+        F.lit(0), F.lit(replicates - 1), F.lit(block))).alias("first"))
+    spread = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = blocks.repartition(spread, "slot", "first").crossJoin(F.broadcast(total))
+    grid = slots.withColumn("replicate", F.explode(F.sequence(
+        F.col("first"), F.least(F.col("first") + (block - 1), F.lit(replicates - 1)))))
     if method == "addressed":
         digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("replicate"), F.col("slot")))
         drawn = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % F.col("groups")

@@ -10,7 +10,7 @@ shuffled once, on (key, bucket), and that partitioning serves the join too.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -42,52 +42,81 @@ def running_sums(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequenc
 
 
 def row_rank(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[Column],
-             out: str = "rank", *, start: int = 1, descending: bool = False) -> DataFrame:
-    """Dense position of each row along its key's (total) order."""
+             out: str = "rank", *, start: int = 1, descending: bool = False, total: str | None = None) -> DataFrame:
+    """Dense position of each row along its key's (total) order; ``total`` also
+    names a column for the key's row count."""
     local = _local(keys, bucket, order)
     sizes = df.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias("_n"))
+    whole = [F.sum("_n").over(W.partitionBy(*keys)).alias(total)] if total else []
     carry = sizes.select(*keys, bucket, F.coalesce(
-        F.sum("_n").over(_earlier(keys, bucket, descending)), F.lit(0)).alias("_before"))
+        F.sum("_n").over(_earlier(keys, bucket, descending)), F.lit(0)).alias("_before"), *whole)
     return (df.withColumn("_at", F.row_number().over(local)).join(carry, [*keys, bucket])
               .withColumn(out, F.col("_before") + F.col("_at") + F.lit(start - 1)).drop("_before", "_at"))
 
 
-def _edge(order: Sequence[Column]):
-    return F.struct(*[F.struct(c) for c in order])
+def adjacent_pairs(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str],
+                   cols: Sequence[str] = ()) -> DataFrame:
+    """One row per pair of neighbouring rows: ``prev`` and ``cur`` structs.
 
-
-def neighbour(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], cols: Sequence[str],
-              out: str, *, ahead: bool = False) -> DataFrame:
-    """Struct of the previous (or next) row's columns; null at the key's end.
-
-    ``order`` names ascending columns that are unique inside a key.
+    Pairs inside a bucket come from a local lag; the pair that spans two
+    buckets comes from the buckets' end rows, so nothing is joined back.
     """
-    local = W.partitionBy(*keys, bucket).orderBy(*order)
-    value = F.struct(*cols)
+    value = F.struct(*dict.fromkeys([*order, *cols]))
     by = F.struct(*order)
-    edge = (F.min_by if ahead else F.max_by)(value, by)
-    ends = df.groupBy(*keys, bucket).agg(edge.alias("_edge"))
-    across = W.partitionBy(*keys).orderBy(bucket)
-    shift = F.lead if ahead else F.lag
-    carry = ends.select(*keys, bucket, shift("_edge").over(across).alias("_carry"))
-    return (df.withColumn("_near", shift(value).over(local)).join(carry, [*keys, bucket])
-              .withColumn(out, F.coalesce("_near", "_carry")).drop("_near", "_carry"))
-
-
-def carried(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], value: Column,
-            out: str, *, own: bool = True) -> DataFrame:
-    """Last non-null value at or before each row (before it when not ``own``)."""
-    local = W.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(
-        W.unboundedPreceding, W.currentRow if own else -1)
-    marked = df.withColumn("_v", value)
-    lasts = marked.filter(F.col("_v").isNotNull()).groupBy(*keys, bucket).agg(
-        F.max_by("_v", F.struct(*order)).alias("_last"))
-    buckets = df.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias("_n")).drop("_n")
-    carry = buckets.join(lasts, [*keys, bucket], "left").select(
-        *keys, bucket, F.last("_last", ignorenulls=True).over(_earlier(keys, bucket, False)).alias("_carry"))
-    return (marked.withColumn("_own", F.last("_v", ignorenulls=True).over(local))
-            .join(carry, [*keys, bucket])
-            .withColumn(out, F.coalesce("_own", "_carry")).drop("_v", "_own", "_carry"))
+    near = F.lag(value).over(W.partitionBy(*keys, bucket).orderBy(*order))
+    inside = df.select(*keys, near.alias("prev"), value.alias("cur"))
+    ends = df.groupBy(*keys, bucket).agg(F.min_by(value, by).alias("cur"), F.max_by(value, by).alias("_last"))
+    across = ends.select(*keys, F.lag("_last").over(W.partitionBy(*keys).orderBy(bucket)).alias("prev"), "cur")
+    return inside.unionByName(across).filter(F.col("prev").isNotNull())
+
+
+def islands(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], member: Column,
+            linked: Callable[[Column, Column], Column], cols: Sequence[str] = (),
+            totals: dict[str, tuple[Column, str]] | None = None, keep_first: int = 0) -> DataFrame:
+    """Maximal runs of neighbouring member rows whose links hold.
+
+    ``linked(prev, cur)`` tests two neighbouring member rows given as structs
+    of ``order + cols``. ``totals`` are per-run values with their merge
+    ("sum", "min" or "max"). Runs are closed inside (key, bucket) first; only
+    the first and last run of a bucket, member or not, are then joined up along
+    the key, so the per-key step sees at most two rows per bucket.
+    """
+    totals = {"n": (F.lit(1), "sum"), **(totals or {})}
+    value = F.struct(*dict.fromkeys([*order, *cols]))
+    marked = df.select(*keys, bucket, F.coalesce(member, F.lit(False)).alias("_in"), value.alias("_row"),
+                       F.struct(*order).alias("_by"), *[c.alias(f"_{n}") for n, (c, _) in totals.items()])
+    local = W.partitionBy(*keys, bucket).orderBy("_by")
+    same = (F.col("_in") == F.lag("_in").over(local)) & (
+        ~F.col("_in") | F.coalesce(linked(F.lag("_row").over(local), F.col("_row")), F.lit(False)))
+    numbered = (marked.withColumn("_break", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1))
+                .withColumn("_no", F.sum("_break").over(local.rowsBetween(W.unboundedPreceding, 0)))
+                .withColumn("_runs", F.sum("_break").over(W.partitionBy(*keys, bucket))))
+    if keep_first:
+        seat = F.row_number().over(W.partitionBy(*keys, bucket, "_no").orderBy("_by"))
+        numbered = numbered.withColumn("_seat", seat)
+    merge = {"sum": F.sum, "min": F.min, "max": F.max}
+    aggs = [merge[how](f"_{n}").alias(n) for n, (_, how) in totals.items()]
+    edges = [F.min_by("_row", "_by").alias("first"), F.max_by("_row", "_by").alias("last")]
+    firsts = [F.collect_list(F.when(F.col("_seat") <= keep_first, F.col("_by"))).alias("firsts")] if keep_first else []
+    closed = numbered.groupBy(*keys, bucket, "_no", "_in", "_runs").agg(*aggs, *edges, *firsts)
+    outer = (F.col("_no") == 1) | (F.col("_no") == F.col("_runs"))
+    names = [*keys, *totals, "first", "last", *(["firsts"] if keep_first else [])]
+    inner = closed.filter(~outer & F.col("_in")).select(names)
+
+    along = W.partitionBy(*keys).orderBy(bucket, "_no")
+    prev = lambda c: F.lag(c).over(along)
+    joins = ((prev(bucket) != F.col(bucket)) & (F.col("_in") == prev("_in")) & (
+        ~F.col("_in") | F.coalesce(linked(prev("last"), F.col("first")), F.lit(False))))
+    chained = (closed.filter(outer)
+               .withColumn("_cut", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1))
+               .withColumn("_run", F.sum("_cut").over(along.rowsBetween(W.unboundedPreceding, 0))))
+    at = F.struct(bucket, "_no")
+    merged = chained.filter("_in").groupBy(*keys, "_run").agg(
+        *[merge[how](n).alias(n) for n, (_, how) in totals.items()],
+        F.min_by("first", at).alias("first"), F.max_by("last", at).alias("last"),
+        *([F.slice(F.array_sort(F.flatten(F.collect_list("firsts"))), 1, keep_first).alias("firsts")]
+          if keep_first else []))
+    return inner.unionByName(merged.select(names))
 
 
 def hash_bucket(digest: Column, bits: int = 12) -> Column:
@@ -98,3 +127,15 @@ def hash_bucket(digest: Column, bits: int = 12) -> Column:
 def score_bucket(score: Column, per_unit: int = 4096) -> Column:
     """Order-preserving bucket of a finite score."""
     return F.floor(score * per_unit)
+
+
+def as_of(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], value: Column, out: str) -> DataFrame:
+    """Last non-null ``value`` at or before each row along its key's order."""
+    local = W.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    marked = df.withColumn("_v", value)
+    lasts = marked.groupBy(*keys, bucket).agg(
+        F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(*order))).alias("_last"))
+    carry = lasts.select(*keys, bucket, F.last("_last", ignorenulls=True).over(
+        _earlier(keys, bucket, False)).alias("_carry"))
+    return (marked.withColumn("_own", F.last("_v", ignorenulls=True).over(local)).join(carry, [*keys, bucket])
+            .withColumn(out, F.coalesce("_own", "_carry")).drop("_v", "_own", "_carry"))

@@ -204,3 +204,39 @@ def ledger(d: Dialect) -> str:
            CAST(CASE WHEN o.o_orderkey % 211 = 7 THEN o.o_orderkey + 1 ELSE o.o_orderkey END AS BIGINT) AS sequence,
            CAST(FLOOR(o.o_totalprice) AS BIGINT) AS bytes
     FROM {orders} o"""
+
+
+@binding
+def receipts(d: Dialect) -> str:
+    """Case receipts of a frozen screen: case = order, parent = customer."""
+    return """
+    SELECT o.o_orderkey AS id, o.o_custkey AS parent_id,
+           CASE o.o_orderstatus WHEN 'F' THEN 'publisher_assigned_ai' WHEN 'O' THEN 'documented_negative'
+                ELSE 'receipt_backed_same_parent_check' END AS cohort,
+           CASE o.o_orderkey % 3 WHEN 0 THEN 'original' WHEN 1 THEN 'mild' ELSE 'severe' END AS quality,
+           CASE WHEN o.o_custkey % 31 = 0 THEN 'technical_error' WHEN o.o_custkey % 37 = 1 THEN 'not_attempted'
+                WHEN CAST(FLOOR(o.o_totalprice) AS BIGINT) % 3 = 0 THEN 'persistent_ai_indicators'
+                WHEN CAST(FLOOR(o.o_totalprice) AS BIGINT) % 7 = 0 THEN 'inconclusive' ELSE 'no_clear_indicators' END AS decision,
+           CASE WHEN o.o_orderkey % 11 = 0 THEN o.o_orderkey % 3 ELSE 0 END AS isolated,
+           CAST(FLOOR(o.o_totalprice) AS BIGINT) % 9001 AS elapsed, o.o_orderpriority AS generator
+    FROM {orders} o"""
+
+
+@binding
+def window_runs(d: Dialect) -> str:
+    """Executed score windows: clip = order, window = line."""
+    return """
+    SELECT l.l_orderkey AS clip_id, l.l_linenumber AS window_no, l.l_suppkey AS s, l.l_partkey AS p,
+           CASE WHEN l.l_suppkey % 23 = 0 THEN NULL ELSE (l.l_partkey % 100) / 50.0E0 - 1.3E0 END AS logit,
+           CASE WHEN l.l_suppkey % 19 = 0 THEN NULL ELSE (l.l_partkey % 90) / 50.0E0 - 1.1E0 END AS control_logit
+    FROM {lineitem} l"""
+
+
+@binding
+def edits(d: Dialect) -> str:
+    """Edited study cases: one per supplier."""
+    return """
+    SELECT s.s_suppkey AS case_id, CASE s.s_suppkey % 3 WHEN 0 THEN 'base' WHEN 1 THEN 'hardcut' ELSE 'blend' END AS composition,
+           s.s_nationkey AS host_id, CASE WHEN s.s_suppkey % 3 = 0 THEN NULL ELSE s.s_nationkey + 100 END AS donor_id,
+           s.s_nationkey % 2 = 0 AS host_ai, s.s_suppkey % 5 = 0 AND s.s_suppkey % 3 <> 0 AS donor_ai
+    FROM {supplier} s"""
