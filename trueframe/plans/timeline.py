@@ -68,7 +68,7 @@ def issues(t):
     return tl.coverage_issues(valid(t), t.cases, ORDER, "day", **LIMITS)
 
 
-@query("coverage_gaps", "WITH " + VALID + ", " + COVER + " SELECT case_id, issue, "at" FROM iss")
+@query("coverage_gaps", "WITH " + VALID + ", " + COVER + " SELECT case_id, issue, \"at\" FROM iss")
 def _(t):
     return issues(t)
 
