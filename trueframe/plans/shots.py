@@ -155,7 +155,7 @@ def _(t):
 
 
 @query("lineage_source_match", "WITH " + RECORDED + """ SELECT case_id, output_index::INT AS output_index, CASE WHEN host_frame IS DISTINCT FROM master_index*3 THEN 'host_frame_differs' ELSE 'donor_frame_differs' END AS problem
-  FROM rc WHERE host_frame IS DISTINCT FROM master_index*3 OR donor_frame IS DISTINCT FROM CASE WHEN alpha>0 THEN master_index*2 END""")
+  FROM rc WHERE host_frame IS DISTINCT FROM master_index*3 OR donor_frame IS DISTINCT FROM CASE WHEN alpha>0 AND donor_id IS NOT NULL THEN master_index*2 END""")
 def _(t):
     parents = t.edits.select(F.col("host_id").alias("parent_id"), F.lit(3).alias("step")).unionByName(
         t.edits.filter("donor_id is not null").select(F.col("donor_id").alias("parent_id"), F.lit(2).alias("step"))).distinct()
@@ -195,12 +195,12 @@ def _(t):
     return s.entry_boundary(t.census, 99_000_000_000)
 
 
-@query("hash_window", """SELECT id, round(start,8) AS start, round(start+least(2,duration),8) AS "end" FROM (SELECT id, duration,
+@query("hash_window", """SELECT id, round(start,9) AS start, round(start+least(2,duration),9) AS "end" FROM (SELECT id, duration,
    round((('0x'||substr(sha256('window-v1:'||sha256(id::VARCHAR)),1,16))::UBIGINT::DOUBLE/18446744073709551616.0::DOUBLE)*greatest(0,duration-least(2,duration)),9) AS start
    FROM (SELECT p_partkey AS id, p_size + (p_partkey % 4) * 0.25::DOUBLE AS duration FROM {part}))""")
 def _(t):
     clips = durations(t).withColumn("parent_sha256", F.sha2(F.col("id").cast("string"), 256))
-    return rounded(s.hash_window(clips).select("id", "start", "end"), "start", "end", digits=8)
+    return rounded(s.hash_window(clips).select("id", "start", "end"), "start", "end")
 
 
 @query("center_window_pick", """WITH c AS (SELECT p_partkey AS id, (p_size*7+5)::BIGINT AS frames, (p_partkey % 3)*12.0::DOUBLE + 12 AS fps FROM {part}),
