@@ -188,36 +188,33 @@ def percentile_score(scores: DataFrame, reference: DataFrame) -> DataFrame:
         "score", 0.5 * (F.col("spatial") + F.col("temporal")))
 
 
-def batch_logits(windows: DataFrame, head: dict[str, np.ndarray], column: str = "features") -> DataFrame:
-    """Logit of each window by a small fixed head (layer norm, linear, GELU,
-    linear) applied to every frame, maximum over frames. ``features`` is the
-    window's frames concatenated; a non-finite result is null."""
-    shared = windows.sparkSession.sparkContext.broadcast(head)
-    width = len(head["scale"])
+def batch_logits(frames: DataFrame, head: dict[str, np.ndarray], column: str = "embedding") -> DataFrame:
+    """Logit of each clip by a small fixed head (layer norm, linear, GELU,
+    linear) applied to every frame, maximum over frames. One non-finite frame
+    rejects the clip. Frames are scored where they lie; only maxima move."""
+    shared = frames.sparkSession.sparkContext.broadcast(head)
 
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        h = shared.value
         for part in parts:
-            if not len(part):
-                yield pd.Series([], dtype=float)
-                continue
-            x = np.stack(part.to_numpy()).astype(np.float64).reshape(len(part), -1, width)
-            yield pd.Series(head_logits(x, h))
+            x = np.stack(part.to_numpy()).astype(np.float64) if len(part) else np.zeros((0, len(shared.value["scale"])))
+            yield pd.Series(head_logits(x, shared.value))
 
-    return windows.withColumn("logit", score(as_doubles(F.col(column)))).withColumn(
-        "logit", F.when(~F.isnan("logit") & (F.abs("logit") < float("inf")), F.col("logit")))
+    scored = frames.withColumn("_l", score(as_doubles(F.col(column))))
+    finite = ~F.isnan("_l") & (F.abs("_l") < float("inf"))
+    return scored.groupBy("clip_id").agg(F.max("_l").alias("m"), F.count_if(~finite | F.col("_l").isNull()).alias("bad")).select(
+        "clip_id", F.when(F.col("bad") == 0, F.col("m")).alias("logit"))
 
 
 def head_logits(x: np.ndarray, h: dict[str, np.ndarray]) -> np.ndarray:
-    """(batch, frames, width) -> (batch,)."""
+    """(frames, width) -> (frames,)."""
     centred = x - x.mean(-1, keepdims=True)
     normed = centred / np.sqrt((centred ** 2).mean(-1, keepdims=True) + 1e-5) * h["scale"] + h["shift"]
     hidden = normed @ h["w1"] + h["b1"]
     # exact GELU: x * Phi(x), with Phi from the error function
     from math import erf
     active = hidden * 0.5 * (1 + np.vectorize(erf)(hidden / np.sqrt(2.0)))
-    return (active @ h["w2"] + h["b2"]).max(axis=1)
+    return active @ h["w2"] + h["b2"]
 
 
 def feature_splice(hosts: DataFrame, donors: DataFrame, pairs: DataFrame, length: int = 2) -> DataFrame:

@@ -107,10 +107,7 @@ def demo_head(width: int = DIM, hidden: int = 16) -> dict:
 
 @query("batch_logits")
 def _(t):
-    # a window is a clip's frames in order; its length is fixed by the plan (at most eight)
-    windows = t.vectors.groupBy("clip_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(
-        F.struct("frame_no", "embedding"))), lambda f: f["embedding"])).alias("features"))
-    return rounded(v.batch_logits(windows, demo_head()).select("clip_id", "logit"), "logit")
+    return rounded(v.batch_logits(t.vectors, demo_head()), "logit")
 
 
 @query("feature_splice", """WITH pr AS (SELECT clip_id AS host_id, (clip_id*7+3) % (SELECT count(DISTINCT clip_id) FROM {vectors}) AS donor_id, clip_id % 7 AS start
