@@ -35,12 +35,17 @@ def hash_split(df: DataFrame, group: str = "group_id", salt: str = "split-v1:",
         "split", F.when(F.col("_forced"), "development").otherwise(split)).drop("_forced")
 
 
-def hash_ranked_sample(df: DataFrame, stratum: str, name: str, count: Column | int, salt: str = "selection-v1:") -> DataFrame:
-    """First ``count`` of each stratum by hash. The rank limit is applied before
-    the shuffle too, so a large stratum sends at most ``count`` rows per task."""
+def hash_ranked_sample(df: DataFrame, stratum: str, name: str, count: int, salt: str = "selection-v1:",
+                       special: dict[str, int] | None = None) -> DataFrame:
+    """First ``count`` of each stratum by hash (``special`` sets other counts).
+
+    The bound on the rank is a literal, so Spark also limits each stratum
+    before the shuffle and a large stratum sends few rows per task.
+    """
     order = W.partitionBy(stratum).orderBy(sha(salt, F.col(name)), name)
-    limit = count if isinstance(count, Column) else F.lit(count)
-    return df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    limit = first_of(*[(F.col(stratum) == k, n) for k, n in special.items()], otherwise=count) if special else F.lit(count)
+    most = max([count, *(special or {}).values()])
+    return df.withColumn("rank", F.row_number().over(order)).filter((F.col("rank") <= most) & (F.col("rank") <= limit))
 
 
 def hash_ranked_split(df: DataFrame, stratum: str, name: str, train: int, dev: int,

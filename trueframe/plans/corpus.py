@@ -18,7 +18,7 @@ def media(t):
    WHERE uncompressed_bytes <= 9000000) WHERE rank <= CASE WHEN bucket='real' THEN 12 ELSE 2 END""")
 def _(t):
     rows = media(t).filter("uncompressed_bytes <= 9000000")
-    return c.hash_ranked_sample(rows, "bucket", "name", F.when(F.col("bucket") == "real", 12).otherwise(2)).select("name", "bucket", "rank")
+    return c.hash_ranked_sample(rows, "bucket", "name", 2, special={"real": 12}).select("name", "bucket", "rank")
 
 
 @query("hash_ranked_split", "WITH " + MEDIA + """ SELECT name, bucket, CASE WHEN r<=200 THEN 'train' ELSE 'internal_development' END AS split FROM (SELECT *, row_number() OVER

@@ -41,12 +41,14 @@ def _(t):
     return j.overlap_audit(*corpora(t))
 
 
-@query("split_leakage", """WITH m AS (SELECT group_id, sha256, CASE WHEN num % 13=0 THEN 'holdout' ELSE split END AS split FROM {truth})
+@query("split_leakage", """WITH m AS (SELECT md5(text) AS group_id, sha256(text) AS sha256, CASE doc_id % 3 WHEN 0 THEN 'development' WHEN 1 THEN 'calibration' ELSE 'holdout' END AS split FROM {documents})
   SELECT 'group_id' AS key, group_id AS value, count(DISTINCT split) AS splits, count(*) AS rows FROM m GROUP BY 2 HAVING count(DISTINCT split)>1
   UNION ALL SELECT 'sha256', sha256, count(DISTINCT split), count(*) FROM m GROUP BY 2 HAVING count(DISTINCT split)>1""")
 def _(t):
-    moved = t.truth.withColumn("split", F.when(F.col("num") % 13 == 0, "holdout").otherwise(F.col("split")))
-    return j.split_leakage(moved)
+    third = F.col("doc_id") % 3
+    rows = t.documents.select(F.md5("text").alias("group_id"), F.sha2("text", 256).alias("sha256"), F.when(
+        third == 0, "development").when(third == 1, "calibration").otherwise("holdout").alias("split"))
+    return j.split_leakage(rows)
 
 
 @query("cohort_set_equal", """WITH c AS (SELECT dataset AS cohort, id, label FROM {truth} UNION ALL SELECT 'all', id, label FROM {truth} UNION ALL
