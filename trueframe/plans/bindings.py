@@ -240,3 +240,53 @@ def edits(d: Dialect) -> str:
            s.s_nationkey AS host_id, CASE WHEN s.s_suppkey % 3 = 0 THEN NULL ELSE s.s_nationkey + 100 END AS donor_id,
            s.s_nationkey % 2 = 0 AS host_ai, s.s_suppkey % 5 = 0 AND s.s_suppkey % 3 <> 0 AS donor_ai
     FROM {supplier} s"""
+
+
+@binding
+def captions(d: Dialect) -> str:
+    """Whole document texts, some followed by a claim, denial or question."""
+    tails = ["This video was made with AI.", "Is this AI-generated?", "Not AI-generated at all.", "Look #aigenerated", "Clip made with Sora today",
+             "see www.example.com/a?b=1 and foo.example.org/x now", "Learn how: generated with AI", "our reel is ai-generated", "Synthetic media inside",
+             "Artificial intelligence generated art", "nothing to add", "https://example.net/path"]
+    arms = " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(tails))
+    titles = ["[AI-generated] : clip", "Made with Veo - clip", "plain title", "synthetic media | x", "Not ai-generated: x"]
+    names = " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(titles))
+    return f"""
+    SELECT t.doc_id AS doc_id, t.text || chr(10) || CASE t.doc_id % 12 {arms} END AS caption, CASE t.doc_id % 5 {names} END AS title
+    FROM {{documents}} t"""
+
+
+URL_FORMS = [
+    "'https://www.youtube.com/watch?v=' || k || '&utm_source=share&t=3s'", "'http://youtu.be/' || k || '?si=abc'",
+    "'https://m.youtube.com/shorts/' || k || '/'", "'https://www.youtube-nocookie.com/embed/' || k",
+    "'https://youtube.com/watch?v=short'", "'https://youtu.be/' || k || '/extra'",
+    "'https://www.tiktok.com/@someone/video/' || n || '?lang=en'", "'https://vm.tiktok.com/' || k || '/'",
+    "'https://www.tiktok.com/t/' || k", "'https://www.tiktok.com/@someone'",
+    "'https://www.instagram.com/reel/' || k || '/?igsh=x'", "'https://instagram.com/some.one/p/' || k",
+    "'https://www.instagram.com/share/reel/' || k", "'https://www.instagram.com/explore'",
+    "'https://x.com/someone/status/' || n || '/video/1'", "'https://twitter.com/i/web/status/' || n",
+    "'https://mobile.twitter.com/statuses/' || n", "'https://x.com/someone/status/0123'",
+    "'https://user:pw@x.com/i/status/1'", "'ftp://x.com/i/status/1'", "'not a url'", "u",
+    "'  https://X.com/i/status/' || n || '  '", "'https://www.youtube.com/channel/abc'"]
+
+
+@binding
+def urls(d: Dialect) -> str:
+    """Every page's own URL, and one platform URL derived from it."""
+    arms = " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(URL_FORMS))
+    return f"""
+    SELECT page_id, f AS form, k, n, u, CASE f {arms} END AS url FROM (
+      SELECT p.page_id AS page_id, p.page_id % 24 AS f, substr(md5(p.url), 1, 11) AS k, CAST(p.page_id * 1000003 + 10000000 AS STRING) AS n, p.url AS u FROM {{pages}} p
+      UNION ALL SELECT p.page_id, 21, substr(md5(p.url), 1, 11), CAST(p.page_id AS STRING), p.url FROM {{pages}} p) q"""
+
+
+@binding
+def cached(d: Dialect) -> str:
+    """Analysis results in arrival order: one per event."""
+    return f"""
+    SELECT e.event_id AS event_id, CASE WHEN e.event_id % 83 = 0 THEN NULL ELSE 'upload:' || CAST(e.user_id AS STRING) END AS canonical_key,
+           CASE e.event_id % 7 WHEN 0 THEN 'youtube' WHEN 1 THEN 'vimeo' WHEN 2 THEN 'x' ELSE 'upload' END AS platform,
+           CASE e.event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'pending' WHEN 'purchase' THEN 'stored' ELSE 'complete' END AS status,
+           'v' || CAST(e.event_id % 3 AS STRING) AS analyzer_version, CAST(FLOOR(e.value) AS BIGINT) % 120 AS final_score,
+           {d.micros('e.ts')} AS analyzed_us, {d.micros('e.ts')} + 604800000000 AS expires_us, e.user_id AS user_id
+    FROM {{events}} e"""
