@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 RUNTIME = {
@@ -17,7 +19,12 @@ RUNTIME = {
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings the results depend on."""
+    """Apply the runtime settings the results depend on.
+
+    The package is also marked to travel with its closures, so executors need
+    no installed copy of it.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[__package__])
     for key, value in RUNTIME.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
