@@ -89,7 +89,7 @@ def _(t):
     folder = shared_folder(t.spark, "upsert")
     table = f"{folder}/table"
     jobs.cache_upsert(bound(t, "cached"), table, f"{folder}/stage", f"{folder}/checkpoint", F.expr(REUSABLE), buckets=8).awaitTermination()
-    return t.spark.read.schema("canonical_key string, event_id long, platform string, analyzer_version string, final_score long, expires_us long").parquet(table)
+    return t.spark.read.schema("canonical_key string, event_id long, platform string, analyzer_version string, final_score long, expires_us long").parquet(table).drop("bucket")
 
 
 @query("stream_cache_join", "WITH " + LATEST + """ SELECT s.event_id, 'upload:'||s.user_id AS canonical_key, lt.final_score AS cached_score, lt.final_score IS NOT NULL AS served

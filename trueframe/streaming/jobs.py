@@ -80,7 +80,7 @@ def cache_upsert(stream: DataFrame, table: str, staging: str, checkpoint: str, r
         newest = dedupe_by_key(batch.filter(reusable), key, list(order), names).withColumn("bucket", table_bucket(F.col(key), buckets))
         stage = f"{staging}/{number}"
         newest.write.mode("overwrite").partitionBy("bucket").parquet(f"{stage}/new")
-        new = spark.read.schema(f"{newest.drop('bucket').schema.simpleString()[7:-1]}, bucket int").parquet(f"{stage}/new")
+        new = spark.read.schema(newest.schema).parquet(f"{stage}/new")
         old = existing(spark, table, new)
         merged = new if old is None else new.unionByName(old.join(new.select("bucket").distinct(), "bucket", "left_semi"))
         latest = dedupe_by_key(merged, key, list(order), [*names, "bucket"])
