@@ -39,6 +39,8 @@ DISCLOSURE_PATTERNS = (
     (rf"(?i)#(?:aigenerated|syntheticmedia){RIGHT}", "description_hashtag"),
     (rf"(?i){LEFT}made (?:using|with) (?:{PRODUCTS}){RIGHT}", "description_names_generator"),
 )
+# What every claim pattern needs somewhere; one scan rules most captions out.
+CLAIM_HINT = r"(?i)generated|made |created |#ai|#made|#synth"
 TITLE_PATTERN = rf"(?i)^{SPACE}*[\[(]?(?:ai[ -]generated|synthetic media|made with (?:{TITLE_PRODUCTS}))[\])]?{SPACE}*[:|-]"
 QUESTION_PATTERN = rf"(?i){LEFT}(?:is|was|could|might).{{0,30}}(?:ai[ -]generated|synthetic){RIGHT}"
 DENIAL_PATTERN = (rf"(?i){LEFT}(?:not|no|never|without){RIGHT}.{{0,30}}{LEFT}(?:ai[ -]generated|"
@@ -65,8 +67,8 @@ def caption_claim(caption: Column) -> Column:
     negations and tutorial wording are no claims. Null caption: false."""
     said = F.filter(F.split(caption, rf"\n|(?<=[.!?]){SPACE}+"), lambda s: ~s.contains("?") & ~s.rlike(
         rf"(?i){LEFT}(?:{NO_CLAIM_WORDS}){RIGHT}"))
-    return F.coalesce(F.exists(said, lambda s: s.rlike(CLAIM_PATTERNS[0]) | s.rlike(CLAIM_PATTERNS[1]) | s.rlike(CLAIM_PATTERNS[2])),
-                      F.lit(False))
+    claimed = F.exists(said, lambda s: s.rlike(CLAIM_PATTERNS[0]) | s.rlike(CLAIM_PATTERNS[1]) | s.rlike(CLAIM_PATTERNS[2]))
+    return F.coalesce(F.when(caption.rlike(CLAIM_HINT), claimed), F.lit(False))
 
 
 def disclosure_codes(title: Column, description: Column) -> Column:

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import completed, is_positive, truthy
 from ..functions.stats import ratio
+from ..session import settled
 from .metrics import RATES, outcome_flags
 from .ordered import hash_bucket, row_rank, running_sums, score_bucket
 
@@ -44,11 +45,13 @@ def group_vectors(df: DataFrame, sums: dict[str, Column], first_seen: Column | N
     aggs = [v.alias(k) for k, v in sums.items()]
     if first_seen is not None:
         grouped = df.groupBy("group_id").agg(*aggs, F.min(first_seen).alias("_seen"))
-        return row_rank(grouped.withColumn("band", F.floor(F.col("_seen") / 65536)), [], "band",
-                        [F.col("_seen")], "ordinal", start=0).drop("band", "_seen")
+        ranked = row_rank(grouped.withColumn("band", F.floor(F.col("_seen") / 65536)), [], "band",
+                          [F.col("_seen")], "ordinal", start=0)
+        return settled(ranked.drop("band", "_seen"), "vectors")
     grouped = df.groupBy("group_id").agg(*aggs).withColumn("_h", F.md5("group_id"))
-    return row_rank(grouped.withColumn("band", hash_bucket(F.col("_h"))), [], "band",
-                    [F.col("_h"), F.col("group_id")], "ordinal", start=0).drop("band", "_h")
+    ranked = row_rank(grouped.withColumn("band", hash_bucket(F.col("_h"))), [], "band",
+                      [F.col("_h"), F.col("group_id")], "ordinal", start=0)
+    return settled(ranked.drop("band", "_h"), "vectors")
 
 
 def lcg_states(numbers: np.ndarray, seed: int) -> np.ndarray:
@@ -68,11 +71,12 @@ def lcg_states(numbers: np.ndarray, seed: int) -> np.ndarray:
 
 
 def draws(groups: DataFrame, replicates: int, seed: int, method: str) -> DataFrame:
-    """(replicate, ordinal, times): how often each group is drawn in each replicate.
+    """One (replicate, ordinal) row per draw: replicates x groups of them.
 
     The grid of addresses starts from (group, block of replicates) rows, spread
-    over every task before they are expanded; equal draws are counted before
-    the shuffle.
+    over every task before they are expanded. Draws are joined to the count
+    vectors and summed per replicate inside each task, so what is shuffled is
+    one row per replicate and task.
     """
     block = 250
     total = groups.agg(F.count(F.lit(1)).alias("groups"))
@@ -95,8 +99,7 @@ def draws(groups: DataFrame, replicates: int, seed: int, method: str) -> DataFra
                         / F.lit(float(MODULUS)) * F.col("groups"))
     else:
         raise ValueError(f"unknown draw method: {method}")
-    return grid.select("replicate", drawn.alias("ordinal")).groupBy("replicate", "ordinal").agg(
-        F.count(F.lit(1)).alias("times"))
+    return grid.select("replicate", drawn.alias("ordinal"))
 
 
 def _multinomial(vectors: DataFrame, names: Sequence[str], replicates: int, seed: int) -> DataFrame:
@@ -140,9 +143,8 @@ def replicate_sums(vectors: DataFrame, names: Sequence[str], replicates: int, se
         method = "addressed" if vectors.count() * replicates <= ADDRESS_LIMIT else "multinomial"
     if method == "multinomial":
         return _multinomial(vectors, names, replicates, seed)
-    drawn = draws(vectors, replicates, seed, method)
-    return drawn.join(vectors, "ordinal").groupBy("replicate").agg(
-        *[F.sum(F.col(n) * F.col("times")).alias(n) for n in names])
+    return draws(vectors, replicates, seed, method).join(vectors, "ordinal").groupBy("replicate").agg(
+        *[F.sum(n).alias(n) for n in names])
 
 
 def percentile_interval(values: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -173,12 +175,11 @@ def auroc_bootstrap(df: DataFrame, replicates: int = 1000, seed: int = 1937303,
                     score: str = "score", first_seen: Column | None = None) -> DataFrame:
     """Interval of AUROC over group resamples, by weights and never by row copies."""
     vectors = group_vectors(df, {"n": F.count(F.lit(1))}, first_seen).select("group_id", "ordinal")
-    drawn = draws(vectors, replicates, seed, method)
     pos = is_positive(F.col("label"))
-    cells = df.groupBy("group_id", F.col(score).alias("score")).agg(
-        F.count_if(pos).alias("pos"), F.count_if(~pos).alias("neg"))
-    weighted = drawn.join(vectors, "ordinal").join(cells, "group_id").groupBy("replicate", "score").agg(
-        F.sum(F.col("pos") * F.col("times")).alias("pos"), F.sum(F.col("neg") * F.col("times")).alias("neg"))
+    cells = settled(df.groupBy("group_id", F.col(score).alias("score")).agg(
+        F.count_if(pos).alias("pos"), F.count_if(~pos).alias("neg")).join(vectors, "group_id").drop("group_id"), "cells")
+    weighted = draws(vectors, replicates, seed, method).join(cells, "ordinal").groupBy("replicate", "score").agg(
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     from .ranking import auroc_from_counts
     return percentile_interval(auroc_from_counts(weighted, ["replicate"]), [], "auroc")
 

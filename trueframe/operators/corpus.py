@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.rules import first_of
+from ..session import settled
 from .ordered import hash_bucket, row_rank
 
 
@@ -133,9 +134,9 @@ def epoch_pairs(rows: DataFrame, epoch: int, salt: str = "epoch-v1:") -> DataFra
     hosts rotated by a hashed offset between 1 and n-1.
     """
     tag = f"{salt}{epoch}:"
-    real = hash_rank(rows.filter("label = 'real'").select("id", "quality"), ["quality"], sha("host:", F.col("id")), "id", "r", "n")
-    fake = hash_rank(rows.filter("label = 'ai'").select(F.col("id").alias("donor_id"), "quality"), ["quality"],
-                     sha(tag, F.col("donor_id")), "donor_id", "r", "m")
+    real = settled(hash_rank(rows.filter("label = 'real'").select("id", "quality"), ["quality"], sha("host:", F.col("id")), "id", "r", "n"), "hosts")
+    fake = settled(hash_rank(rows.filter("label = 'ai'").select(F.col("id").alias("donor_id"), "quality"), ["quality"],
+                     sha(tag, F.col("donor_id")), "donor_id", "r", "m"), "donors")
     number = lambda text, base: F.conv(F.substring(text, 1, 12), 16, 10).cast("long") % base
     start = number(sha(tag, "start:", F.col("id")), 7)
     sizes = fake.groupBy("quality").agg(F.max("m").alias("m"))

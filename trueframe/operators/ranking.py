@@ -88,24 +88,30 @@ def threshold_at_fpr(df: DataFrame, targets: Sequence[float], split: str | None
 def per_generator(df: DataFrame, higher_is_real: bool = True) -> DataFrame:
     """AUROC and AP of each source model against all real rows.
 
-    Real rows are reduced to counts per score before they are repeated for
-    each generator, so the repeat grows with distinct scores, not with rows.
+    Every generator meets the same negatives, so they are ranked once: each
+    distinct score learns how many real rows lie below and at it, and the
+    generators' own counts are joined to that by score. No row is repeated.
     """
     sign = F.lit(-1.0 if higher_is_real else 1.0)
-    scored = df.withColumn("score", F.col("score") * sign)
-    real = scored.filter(F.col("label") == "real").groupBy("score").agg(F.count(F.lit(1)).alias("neg"))
-    fake = scored.filter(is_positive(F.col("label"))).groupBy("generator", "score").agg(
-        F.count(F.lit(1)).alias("pos"))
-    names = fake.select("generator").distinct()
-    both = fake.withColumn("neg", F.lit(0).cast("long")).unionByName(
-        real.crossJoin(names).withColumn("pos", F.lit(0).cast("long"))).groupBy("generator", "score").agg(
-        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    area = auroc_from_counts(both, ["generator"])
-    banded = running_sums(both.withColumn("band", score_bucket(-F.col("score"))), ["generator"], "band",
-                          [F.col("score").desc()], {"tp": F.col("pos"), "fp": F.col("neg")})
-    gain = F.when(F.col("pos") > 0, F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(0.0)
-    ap = banded.groupBy("generator").agg((F.sum(gain) / F.sum("pos")).alias("ap"))
-    return area.join(ap, "generator")
+    pos = is_positive(F.col("label"))
+    rows = df.filter(pos | (F.col("label") == "real")).select(
+        (F.col("score") * sign).alias("score"), F.when(pos, F.col("generator")).alias("generator"), pos.alias("pos"))
+    fake = rows.filter("pos").groupBy("generator", "score").agg(F.count(F.lit(1)).alias("pos"))
+    at = rows.groupBy("score").agg(F.count_if(~F.col("pos")).alias("neg"))
+    ranked = running_sums(at.withColumn("band", score_bucket(F.col("score"))), [], "band", [F.col("score")],
+                          {"below": F.col("neg")}, inclusive=False).select("score", "neg", "below")
+    total = at.agg(F.sum("neg").alias("negatives"))
+    met = fake.join(ranked, "score").crossJoin(F.broadcast(total))
+    banded = running_sums(met.withColumn("band", score_bucket(-F.col("score"))), ["generator"], "band",
+                          [F.col("score").desc()], {"tp": F.col("pos")})
+    above = F.col("negatives") - F.col("below")
+    out = banded.groupBy("generator").agg(
+        F.sum("pos").alias("positives"), F.max("negatives").alias("negatives"),
+        F.sum((F.col("pos").cast(EXACT) * (2 * F.col("below") + F.col("neg"))).cast(EXACT)).alias("twice"),
+        F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + above)).alias("gain"))
+    base = 2.0 * F.col("positives") * F.col("negatives")
+    return out.select("generator", "positives", "negatives", ratio(F.col("twice").cast("double"), base).alias("auroc"),
+                      (F.col("gain") / F.col("positives")).alias("ap"))
 
 
 def source_auc_fpr(df: DataFrame, scores: Sequence[str], source: str = "generator") -> DataFrame:

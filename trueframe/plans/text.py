@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import text as ft
 from ..functions import urls as fu
 from ..operators import text as o
+from ..session import spread
 from .registry import query
 
 EXPECTED = """CASE form WHEN 0 THEN 'youtube:'||k WHEN 1 THEN 'youtube:'||k WHEN 2 THEN 'youtube:'||k WHEN 3 THEN 'youtube:'||k WHEN 6 THEN 'tiktok:'||n
@@ -36,7 +37,7 @@ def _(t):
 @query("scrub_links", r"""SELECT doc_id, nullif(substr(regexp_replace(regexp_replace(regexp_replace(regexp_replace(caption, '(?i)(?:https?://|www\.)[^\s<>"'']+', '[link removed]', 'g'),
    '(?i)\b(?:[a-z0-9-]+\.)+[a-z]{{2,}}(?:/[^\s<>"'']*)?', '[link removed]', 'g'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '^\s+|\s+$', '', 'g'), 1, 2000), '') AS caption FROM {captions}""")
 def _(t):
-    return t.captions.select("doc_id", ft.scrub_links(F.col("caption")).alias("caption"))
+    return spread(t.captions.select("doc_id", "caption")).select("doc_id", ft.scrub_links(F.col("caption")).alias("caption"))
 
 
 SUBJ = r"^\s*(?:(?:this|the|my|our)\s+(?:video|clip|reel|scene|footage)\s+(?:(?:is|was)\s+)?)?"
@@ -49,7 +50,7 @@ SUBJ = r"^\s*(?:(?:this|the|my|our)\s+(?:video|clip|reel|scene|footage)\s+(?:(?:
      OR regexp_matches(s, '(?i)""" + SUBJ + r"""(?:made|generated|created) (?:with|using|by) (?:veo|sora|runway|kling|hailuo|luma|pika|higgsfield)\b')))
   SELECT c.doc_id, k.doc_id IS NOT NULL AS claim FROM {captions} c LEFT JOIN k ON c.doc_id=k.doc_id""")
 def _(t):
-    return t.captions.select("doc_id", ft.caption_claim(F.col("caption")).alias("claim"))
+    return spread(t.captions.select("doc_id", "caption")).select("doc_id", ft.caption_claim(F.col("caption")).alias("claim"))
 
 
 @query("disclosure_scan", r"""WITH l AS (SELECT doc_id, unnest(string_split_regex(caption, '\r?\n')) AS s FROM {captions}), d AS (SELECT doc_id, string_agg(s, chr(10)) AS x FROM l WHERE
@@ -64,7 +65,7 @@ def _(t):
    CASE WHEN regexp_matches(x, '(?i)\bmade (?:using|with) (?:veo|sora|runway|kling|hailuo|luma|pika|higgsfield)\b') THEN 'description_names_generator' END) AS reasons
   FROM {captions} c LEFT JOIN d ON c.doc_id=d.doc_id""")
 def _(t):
-    return t.captions.select("doc_id", F.array_join(ft.disclosure_codes(F.col("title"), F.col("caption")), "|").alias("reasons"))
+    return spread(t.captions.select("doc_id", "title", "caption")).select("doc_id", F.array_join(ft.disclosure_codes(F.col("title"), F.col("caption")), "|").alias("reasons"))
 
 
 VOTE = {"ai": (2, 2, 1, 5), "real": (3, 2, 4, 6), "admission": (2, 7, 11, 9), "source": (40, 13, 40, 40)}

@@ -7,7 +7,7 @@ import sys
 import tempfile
 
 from pyspark import cloudpickle
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME = {
     "spark.sql.session.timeZone": "UTC",
@@ -58,3 +58,25 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     if not root:
         root = tempfile.mkdtemp(prefix="spark-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over at least as many tasks as there are cores.
+
+    For scans of few, small files ahead of heavy per-row work; a scan that is
+    already split that far is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """Written once to the shared folder and read back.
+
+    For a result that several branches of one job use: it is computed once, a
+    lost executor does not undo it, and its size on disk lets Spark decide by
+    its own threshold whether a join may broadcast it.
+    """
+    folder = shared_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
