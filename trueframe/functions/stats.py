@@ -20,7 +20,9 @@ def wilson_bounds(numerator: Column, denominator: Column, z: float = Z95) -> tup
     scale = 1 + z * z / n
     middle = (share + z * z / (2 * n)) / scale
     reach = z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n)) / scale
-    return F.greatest(F.lit(0.0), middle - reach), F.least(F.lit(1.0), middle + reach)
+    # greatest/least skip nulls, so the empty base is kept null by hand
+    return (F.when(denominator > 0, F.greatest(F.lit(0.0), middle - reach)),
+            F.when(denominator > 0, F.least(F.lit(1.0), middle + reach)))
 
 
 def log_factorial(n: Column) -> Column:

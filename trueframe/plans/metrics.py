@@ -38,8 +38,8 @@ RATE_SQL = " UNION ALL ".join(
         "completion_rate": ("completed", "attempted")}.items())
 WILSON_SQL = """
     SELECT rate, numerator, denominator, round(p, 9) AS estimate,
-      round(greatest(0, (p + z*z/(2*n))/(1+z*z/n) - z*sqrt(p*(1-p)/n + z*z/(4*n*n))/(1+z*z/n)), 9) AS low,
-      round(least(1, (p + z*z/(2*n))/(1+z*z/n) + z*sqrt(p*(1-p)/n + z*z/(4*n*n))/(1+z*z/n)), 9) AS high
+      CASE WHEN n > 0 THEN round(greatest(0, (p + z*z/(2*n))/(1+z*z/n) - z*sqrt(p*(1-p)/n + z*z/(4*n*n))/(1+z*z/n)), 9) END AS low,
+      CASE WHEN n > 0 THEN round(least(1, (p + z*z/(2*n))/(1+z*z/n) + z*sqrt(p*(1-p)/n + z*z/(4*n*n))/(1+z*z/n)), 9) END AS high
     FROM (SELECT *, 1.959963984540054::DOUBLE AS z, nullif(denominator,0)::DOUBLE AS n,
           numerator::DOUBLE/nullif(denominator,0) AS p FROM r)"""
 
@@ -59,8 +59,8 @@ def _(t):
   w AS (SELECT *, tp+fn+abstained_ai AS d FROM u)
   SELECT slice, value, attempted, completed, errors, source_groups, tp, fn, fp, tn, abstained_ai, abstained_non_ai,
     high, high_wrong, round(tp::DOUBLE/nullif(d,0), 9) AS ai_recall,
-    round(greatest(0, (p + z*z/(2*n))/(1+z*z/n) - z*sqrt(p*(1-p)/n + z*z/(4*n*n))/(1+z*z/n)), 9) AS recall_low,
-    round(least(1, (p + z*z/(2*n))/(1+z*z/n) + z*sqrt(p*(1-p)/n + z*z/(4*n*n))/(1+z*z/n)), 9) AS recall_high
+    CASE WHEN n > 0 THEN round(greatest(0, (p + z*z/(2*n))/(1+z*z/n) - z*sqrt(p*(1-p)/n + z*z/(4*n*n))/(1+z*z/n)), 9) END AS recall_low,
+    CASE WHEN n > 0 THEN round(least(1, (p + z*z/(2*n))/(1+z*z/n) + z*sqrt(p*(1-p)/n + z*z/(4*n*n))/(1+z*z/n)), 9) END AS recall_high
   FROM (SELECT *, 1.959963984540054::DOUBLE AS z, nullif(d,0)::DOUBLE AS n, tp::DOUBLE/nullif(d,0) AS p FROM w)""")
 def _(t):
     from ..functions.stats import ratio, wilson_bounds

@@ -15,7 +15,7 @@ ORIGIN_US = 1_704_067_200_000_000
 def source(t, name="events"):
     """The table's file as a stream with its own declared schema."""
     schema = t.spark.read.parquet(f"{t.path}/{name}.parquet").schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxBytesPerTrigger", "1g").parquet(t.path)
+    return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxBytesPerTrigger", str(1 << 30)).parquet(t.path)
 
 
 def bound(t, binding, table="events"):
