@@ -71,7 +71,7 @@ def decision_of(decision: Column, verdict: Column) -> Column:
 def score_band(likelihood: Column) -> tuple[Column, Column, Column]:
     """Clamped whole score, decision and confidence band of the plain rule."""
     # floor(x + .5) rounds halves up, as the published rule does
-    score = F.greatest(F.lit(1), F.least(F.lit(99), F.floor(likelihood + 0.5))).cast("int")
+    score = F.when(likelihood.isNotNull(), F.greatest(F.lit(1), F.least(F.lit(99), F.floor(likelihood + 0.5)))).cast("int")
     return score, first_of((score >= 50, "ai"), otherwise="not_ai"), first_of(
         ((score >= 85) | (score <= 15), "High"), ((score >= 65) | (score <= 35), "Medium"), otherwise="Low")
 

@@ -173,7 +173,7 @@ def temperature_grid(df: DataFrame, low: float, high: float, steps: int, score:
     """
     pos = is_positive(F.col("label")).cast("int")
     clipped = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col(score)))
-    by_score = df.groupBy(F.log(clipped / (1 - clipped)).alias("logit")).agg(
+    by_score = df.filter(F.col(score).isNotNull()).groupBy(F.log(clipped / (1 - clipped)).alias("logit")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(pos).alias("positives"))
     width = (high - low) / steps
     wide = by_score.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(steps)))).withColumn(

@@ -17,6 +17,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def _whole(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Fail on a null key instead of losing its rows in the join back."""
+    fields = {f.name: f for f in df.schema if f.name in names and f.nullable}
+    return df.withColumns({n: F.coalesce(F.col(n), F.raise_error(F.lit(f"null in {n}")).cast(f.dataType))
+                           for n, f in fields.items()}) if fields else df
+
+
 def _local(keys: Sequence[str], bucket: str, order: Sequence[Column]):
     return W.partitionBy(*keys, bucket).orderBy(*order)
 
@@ -29,6 +36,7 @@ def _earlier(keys: Sequence[str], bucket: str, descending: bool):
 def running_sums(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[Column],
                  sums: dict[str, Column], *, inclusive: bool = True, descending: bool = False) -> DataFrame:
     """Running total of each named value along the key's order."""
+    df = _whole(df, [*keys, bucket])
     local = _local(keys, bucket, order).rowsBetween(W.unboundedPreceding, W.currentRow if inclusive else -1)
     totals = df.groupBy(*keys, bucket).agg(*[F.sum(v).alias(f"_t_{n}") for n, v in sums.items()])
     carry = totals.select(*keys, bucket, *[
@@ -131,6 +139,7 @@ def score_bucket(score: Column, per_unit: int = 4096) -> Column:
 
 def as_of(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], value: Column, out: str) -> DataFrame:
     """Last non-null ``value`` at or before each row along its key's order."""
+    df = _whole(df, [*keys, bucket])
     local = W.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     marked = df.withColumn("_v", value)
     lasts = marked.groupBy(*keys, bucket).agg(

@@ -21,9 +21,11 @@ EXACT = "decimal(38,0)"
 
 def score_counts(df: DataFrame, score: str = "score", keys: Sequence[str] = (), *,
                  positive: Column | None = None, weight: Column | None = None) -> DataFrame:
+    """Counts per distinct score; a missing score is an error, not a low score."""
     pos = is_positive(F.col("label")) if positive is None else positive
     one = F.lit(1) if weight is None else weight
-    return df.groupBy(*keys, F.col(score).alias("score")).agg(
+    known = F.coalesce(F.col(score), F.raise_error(F.lit("score missing")).cast("double"))
+    return df.groupBy(*keys, known.alias("score")).agg(
         F.sum(F.when(pos, one).otherwise(0)).alias("pos"), F.sum(F.when(pos, 0).otherwise(one)).alias("neg"))
 
 
