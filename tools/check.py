@@ -55,7 +55,6 @@ def main():
     oracles = registry.oracle_sql()
     bad = 0
     for name, fn in QUERIES.items():
-        module = fn.__module__
         if opts.names and name not in opts.names and not any(
                 n == getattr(fn, "_home", None) for n in opts.names):
             continue
@@ -76,9 +75,11 @@ def main():
             print(f"rows {name}: {len(got)} {spent:.1f}s", flush=True)
             continue
         try:
+            begun = time.time()
             cursor = db.execute(oracles[name])
             want_types = {c[0]: str(c[1]) for c in cursor.description}
             want = pd.DataFrame(cursor.fetchall(), columns=list(want_types))
+            plain = time.time() - begun
         except Exception as error:  # noqa: BLE001
             bad += 1
             print(f"FAIL {name}: check SQL {str(error)[:1200]}", flush=True)
@@ -91,7 +92,6 @@ def main():
                 a, b = family(field.dataType.simpleString()), family(want_types[field.name])
                 if a != b:
                     problems.append(f"type {field.name}: {a} vs {b}")
-            rows = [tuple(r) for r in df.collect()] if False else None
             got2 = pd.DataFrame({c: [v for v in got[c].astype(object)] for c in got.columns})
             a, b = normal(got2), normal(want)
             if len(a) != len(b):
@@ -107,7 +107,7 @@ def main():
             print(f"DIFF {name}: {'; '.join(problems)[:1500]}", flush=True)
         else:
             flag = " EMPTY" if not len(got) else ""
-            print(f"ok   {name}: {len(got)} rows {spent:.1f}s{flag}", flush=True)
+            print(f"ok   {name}: {len(got)} rows {spent:.1f}s (check {plain:.1f}s){flag}", flush=True)
     print("bad", bad)
 
 

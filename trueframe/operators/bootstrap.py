@@ -138,8 +138,8 @@ def _multinomial(vectors: DataFrame, names: Sequence[str], replicates: int, seed
 
 
 def replicate_sums(vectors: DataFrame, names: Sequence[str], replicates: int, seed: int,
-                   method: str = "addressed") -> DataFrame:
-    if method == "auto":
+                   method: str = "auto") -> DataFrame:
+    if method == "auto":  # the vectors are a settled table, so this count reads only its footers
         method = "addressed" if vectors.count() * replicates <= ADDRESS_LIMIT else "multinomial"
     if method == "multinomial":
         return _multinomial(vectors, names, replicates, seed)
@@ -157,7 +157,7 @@ def percentile_interval(values: DataFrame, keys: Sequence[str], value: str) -> D
     return kept.select(*keys, n.cast("long").alias("valid_replicates"), at(0.025).alias("low"), at(0.975).alias("high"))
 
 
-def cluster_bootstrap(df: DataFrame, replicates: int = 1000, seed: int = 5149304, method: str = "addressed",
+def cluster_bootstrap(df: DataFrame, replicates: int = 1000, seed: int = 5149304, method: str = "auto",
                       first_seen: Column | None = None) -> DataFrame:
     """Percentile interval of every rate; undefined replicates are left out and counted."""
     flagged = outcome_flags(df)
@@ -173,7 +173,12 @@ def cluster_bootstrap(df: DataFrame, replicates: int = 1000, seed: int = 5149304
 
 def auroc_bootstrap(df: DataFrame, replicates: int = 1000, seed: int = 1937303, method: str = "addressed",
                     score: str = "score", first_seen: Column | None = None) -> DataFrame:
-    """Interval of AUROC over group resamples, by weights and never by row copies."""
+    """Interval of AUROC over group resamples, from counts per group and score.
+
+    Groups differ in their scores, so there is no shorter exact form than
+    replicates x groups draws; they are spread over all tasks, and each task
+    reduces its draws to counts per (replicate, score) before the shuffle.
+    """
     vectors = group_vectors(df, {"n": F.count(F.lit(1))}, first_seen).select("group_id", "ordinal")
     pos = is_positive(F.col("label"))
     cells = settled(df.groupBy("group_id", F.col(score).alias("score")).agg(
@@ -184,7 +189,7 @@ def auroc_bootstrap(df: DataFrame, replicates: int = 1000, seed: int = 1937303,
     return percentile_interval(auroc_from_counts(weighted, ["replicate"]), [], "auroc")
 
 
-def paired_bootstrap(pairs: DataFrame, replicates: int = 10_000, seed: int = 9183327, method: str = "addressed",
+def paired_bootstrap(pairs: DataFrame, replicates: int = 10_000, seed: int = 9183327, method: str = "auto",
                      first_seen: Column | None = None) -> DataFrame:
     """Interpolated 2.5/97.5% of the recall difference over positive pairs.
 
