@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import decision_of, error_category
 from ..operators import bootstrap, comparison, metrics
+from ..session import spread
 from .metrics import COUNT_SQL
 from .ranking import ordinals, rounded
 from .registry import query
@@ -145,7 +146,7 @@ def _(t):
    WHEN regexp_matches(m, 'upload|processing|file') THEN 'MediaProcessingError' ELSE 'UnclassifiedOperationalError' END AS category
    FROM (SELECT lower(text) AS m FROM {documents})) GROUP BY 1""")
 def _(t):
-    return t.documents.select(error_category(F.col("text")).alias("category")).groupBy("category").agg(
+    return spread(t.documents.select("text")).select(error_category(F.col("text")).alias("category")).groupBy("category").agg(
         F.count(F.lit(1)).alias("n"))
 
 
