@@ -96,3 +96,16 @@ def test_as_of(frame, data):
             last = v if flag == 1 else last
             want[i] = last
     assert got == want
+
+
+def test_only_large_keys_are_split(spark, frame):
+    split = o.split_hot(frame.drop("cell"), ["k"], F.floor(F.col("at") / 25), "cell", rows_per_task=200)
+    got = {r.k: r.n for r in split.groupBy("k").agg(F.count_distinct("cell").alias("n")).collect()}
+    assert got[0] > 5 and all(n == 1 for k, n in got.items() if k)
+    assert o.split_hot(frame.drop("cell"), ["k"], F.col("at"), "cell").select("cell").distinct().count() == 1
+
+
+def test_null_key_stops_the_job(spark):
+    df = spark.createDataFrame([(None, 1, 0), (1, 2, 0)], "k int, at int, cell int")
+    with pytest.raises(Exception, match="null ordering key"):
+        o.row_rank(df, ["k"], "cell", [F.col("at")]).collect()

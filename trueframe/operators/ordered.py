@@ -16,12 +16,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import settled
 
-def _whole(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Fail on a null key instead of losing its rows in the join back."""
-    fields = {f.name: f for f in df.schema if f.name in names and f.nullable}
-    return df.withColumns({n: F.coalesce(F.col(n), F.raise_error(F.lit(f"null in {n}")).cast(f.dataType))
-                           for n, f in fields.items()}) if fields else df
+
+ROWS_PER_TASK = 4_000_000
+
+
+def split_hot(df: DataFrame, keys: Sequence[str], fine: Column, out: str = "bucket",
+              rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Bucket column that splits only the keys too large for one task.
+
+    Splitting every key would close runs and sums in many tiny buckets. The
+    keys above the bound are counted first (keys only, combined before the
+    shuffle); there are at most rows / bound of them, and they are written out
+    so that the join back is broadcast only if Spark's size threshold allows.
+    """
+    hot = settled(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows_per_task).select(
+        *keys, F.lit(True).alias("_hot")), "hot-keys")
+    if hot.isEmpty():
+        return df.withColumn(out, F.lit(0).cast("long"))
+    return df.join(hot, list(keys), "left").withColumn(
+        out, F.when(F.col("_hot"), fine.cast("long")).otherwise(F.lit(0).cast("long"))).drop("_hot")
+
+
+def _found(carry: Column, kind: str) -> Column:
+    """Carry of a row's bucket; a row whose key is null has none and stops the
+    job, where an inner join would have dropped it."""
+    return F.coalesce(carry, F.raise_error(F.lit("null ordering key")).cast(kind))
 
 
 def _local(keys: Sequence[str], bucket: str, order: Sequence[Column]):
@@ -36,16 +57,16 @@ def _earlier(keys: Sequence[str], bucket: str, descending: bool):
 def running_sums(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[Column],
                  sums: dict[str, Column], *, inclusive: bool = True, descending: bool = False) -> DataFrame:
     """Running total of each named value along the key's order."""
-    df = _whole(df, [*keys, bucket])
     local = _local(keys, bucket, order).rowsBetween(W.unboundedPreceding, W.currentRow if inclusive else -1)
     totals = df.groupBy(*keys, bucket).agg(*[F.sum(v).alias(f"_t_{n}") for n, v in sums.items()])
     carry = totals.select(*keys, bucket, *[
         F.coalesce(F.sum(f"_t_{n}").over(_earlier(keys, bucket, descending)), F.lit(0)).alias(f"_c_{n}")
         for n in sums])
     scanned = df.select("*", *[F.coalesce(F.sum(v).over(local), F.lit(0)).alias(f"_l_{n}") for n, v in sums.items()])
-    joined = scanned.join(carry, [*keys, bucket])
+    joined = scanned.join(carry, [*keys, bucket], "left")
+    kinds = {f.name: f.dataType.simpleString() for f in carry.schema}
     for n in sums:
-        joined = joined.withColumn(n, F.col(f"_l_{n}") + F.col(f"_c_{n}"))
+        joined = joined.withColumn(n, F.col(f"_l_{n}") + _found(F.col(f"_c_{n}"), kinds[f"_c_{n}"]))
     return joined.drop(*[f"_{p}_{n}" for n in sums for p in "lc"])
 
 
@@ -58,8 +79,8 @@ def row_rank(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[Co
     whole = [F.sum("_n").over(W.partitionBy(*keys)).alias(total)] if total else []
     carry = sizes.select(*keys, bucket, F.coalesce(
         F.sum("_n").over(_earlier(keys, bucket, descending)), F.lit(0)).alias("_before"), *whole)
-    return (df.withColumn("_at", F.row_number().over(local)).join(carry, [*keys, bucket])
-              .withColumn(out, F.col("_before") + F.col("_at") + F.lit(start - 1)).drop("_before", "_at"))
+    return (df.withColumn("_at", F.row_number().over(local)).join(carry, [*keys, bucket], "left")
+              .withColumn(out, _found(F.col("_before"), "long") + F.col("_at") + F.lit(start - 1)).drop("_before", "_at"))
 
 
 def adjacent_pairs(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str],
@@ -69,13 +90,17 @@ def adjacent_pairs(df: DataFrame, keys: Sequence[str], bucket: str, order: Seque
     Pairs inside a bucket come from a local lag; the pair that spans two
     buckets comes from the buckets' end rows, so nothing is joined back.
     """
-    value = F.struct(*dict.fromkeys([*order, *cols]))
+    names = list(dict.fromkeys([*order, *cols]))
+    local = W.partitionBy(*keys, bucket).orderBy(*order)
+    seen = df.select(*keys, bucket, *names, *[F.lag(c).over(local).alias(f"_p_{c}") for c in names],
+                     F.lag(F.lit(1)).over(local).isNull().alias("_head"), F.lead(F.lit(1)).over(local).isNull().alias("_tail"))
+    cur, prev = F.struct(*names), F.struct(*[F.col(f"_p_{c}").alias(c) for c in names])
+    inside = seen.filter(~F.col("_head")).select(*keys, prev.alias("prev"), cur.alias("cur"))
+    # at most two rows of a bucket get here
     by = F.struct(*order)
-    near = F.lag(value).over(W.partitionBy(*keys, bucket).orderBy(*order))
-    inside = df.select(*keys, near.alias("prev"), value.alias("cur"))
-    ends = df.groupBy(*keys, bucket).agg(F.min_by(value, by).alias("cur"), F.max_by(value, by).alias("_last"))
+    ends = seen.filter("_head or _tail").groupBy(*keys, bucket).agg(F.min_by(cur, by).alias("cur"), F.max_by(cur, by).alias("_last"))
     across = ends.select(*keys, F.lag("_last").over(W.partitionBy(*keys).orderBy(bucket)).alias("prev"), "cur")
-    return inside.unionByName(across).filter(F.col("prev").isNotNull())
+    return inside.unionByName(across.filter(F.col("prev").isNotNull()))
 
 
 def islands(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], member: Column,
@@ -88,34 +113,50 @@ def islands(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str
     ("sum", "min" or "max"). Runs are closed inside (key, bucket) first; only
     the first and last run of a bucket, member or not, are then joined up along
     the key, so the per-key step sees at most two rows per bucket.
+
+    The local step is one sort: every window shares it, and a run's first and
+    last values are plain aggregates of its marked end rows.
     """
     totals = {"n": (F.lit(1), "sum"), **(totals or {})}
-    value = F.struct(*dict.fromkeys([*order, *cols]))
-    marked = df.select(*keys, bucket, F.coalesce(member, F.lit(False)).alias("_in"), value.alias("_row"),
-                       F.struct(*order).alias("_by"), *[c.alias(f"_{n}") for n, (c, _) in totals.items()])
-    local = W.partitionBy(*keys, bucket).orderBy("_by")
-    same = (F.col("_in") == F.lag("_in").over(local)) & (
-        ~F.col("_in") | F.coalesce(linked(F.lag("_row").over(local), F.col("_row")), F.lit(False)))
-    numbered = (marked.withColumn("_break", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1))
-                .withColumn("_no", F.sum("_break").over(local.rowsBetween(W.unboundedPreceding, 0)))
-                .withColumn("_runs", F.sum("_break").over(W.partitionBy(*keys, bucket))))
-    if keep_first:
-        seat = F.row_number().over(W.partitionBy(*keys, bucket, "_no").orderBy("_by"))
-        numbered = numbered.withColumn("_seat", seat)
+    names = list(dict.fromkeys([*order, *cols]))
     merge = {"sum": F.sum, "min": F.min, "max": F.max}
-    aggs = [merge[how](f"_{n}").alias(n) for n, (_, how) in totals.items()]
-    edges = [F.min_by("_row", "_by").alias("first"), F.max_by("_row", "_by").alias("last")]
-    firsts = [F.collect_list(F.when(F.col("_seat") <= keep_first, F.col("_by"))).alias("firsts")] if keep_first else []
-    closed = numbered.groupBy(*keys, bucket, "_no", "_in", "_runs").agg(*aggs, *edges, *firsts)
-    outer = (F.col("_no") == 1) | (F.col("_no") == F.col("_runs"))
-    names = [*keys, *totals, "first", "last", *(["firsts"] if keep_first else [])]
-    inner = closed.filter(~outer & F.col("_in")).select(names)
+    local = W.partitionBy(*keys, bucket).orderBy(*order)
+    upto = local.rowsBetween(W.unboundedPreceding, W.currentRow)
+
+    base = df.select(*dict.fromkeys([*keys, bucket, *names]), F.coalesce(member, F.lit(False)).alias("_in"),
+                     *[c.alias(f"_v_{n}") for n, (c, _) in totals.items()])
+    before = base.withColumns({
+        "_was": F.lag("_in").over(local), "_tail": F.lead(F.lit(1)).over(local).isNull(),
+        **{f"_p_{c}": F.lag(c).over(local) for c in names}})
+    here, prev = F.struct(*names), F.struct(*[F.col(f"_p_{c}").alias(c) for c in names])
+    joined = (F.col("_in") == F.col("_was")) & (~F.col("_in") | F.coalesce(linked(prev, here), F.lit(False)))
+    broken = before.withColumn("_break", F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1)).drop(*[f"_p_{c}" for c in names])
+    numbered = broken.withColumns({
+        "_no": F.sum("_break").over(upto), "_end": F.coalesce(F.lead("_break").over(local), F.lit(1)) == 1,
+        **({"_row": F.row_number().over(local)} if keep_first else {})})
+    if keep_first:
+        numbered = numbered.withColumn("_seat", F.col("_row") - F.max(F.when(F.col("_break") == 1, F.col("_row"))).over(upto))
+    head = F.col("_was").isNull()
+    # of the rows outside runs, only a bucket's end rows say anything
+    kept = numbered.filter(F.col("_in") | head | F.col("_tail"))
+    begins, closes = F.col("_break") == 1, F.col("_end")
+    aggs = [merge[how](f"_v_{n}").alias(n) for n, (_, how) in totals.items()]
+    edges = [F.max(F.when(mark, F.col(c))).alias(f"_{side}_{c}") for side, mark in (("f", begins), ("l", closes)) for c in names]
+    firsts = [F.collect_list(F.when(F.col("_in") & (F.col("_seat") < keep_first), F.struct(*order))).alias("firsts")] if keep_first else []
+    closed = kept.groupBy(*keys, bucket, "_no", "_in").agg(
+        *aggs, *edges, *firsts, F.max(head.cast("int")).alias("_head"), F.max(F.col("_tail").cast("int")).alias("_last"))
+    shaped = closed.withColumns({
+        "first": F.struct(*[F.col(f"_f_{c}").alias(c) for c in names]), "last": F.struct(*[F.col(f"_l_{c}").alias(c) for c in names])
+    }).drop(*[f"_{x}_{c}" for x in "fl" for c in names])
+    outer = (F.col("_head") == 1) | (F.col("_last") == 1)
+    out = [*keys, *totals, "first", "last", *(["firsts"] if keep_first else [])]
+    inner = shaped.filter(~outer & F.col("_in")).select(out)
 
     along = W.partitionBy(*keys).orderBy(bucket, "_no")
-    prev = lambda c: F.lag(c).over(along)
-    joins = ((prev(bucket) != F.col(bucket)) & (F.col("_in") == prev("_in")) & (
-        ~F.col("_in") | F.coalesce(linked(prev("last"), F.col("first")), F.lit(False))))
-    chained = (closed.filter(outer)
+    earlier = lambda c: F.lag(c).over(along)
+    joins = ((earlier(bucket) != F.col(bucket)) & (F.col("_in") == earlier("_in")) & (
+        ~F.col("_in") | F.coalesce(linked(earlier("last"), F.col("first")), F.lit(False))))
+    chained = (shaped.filter(outer)
                .withColumn("_cut", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1))
                .withColumn("_run", F.sum("_cut").over(along.rowsBetween(W.unboundedPreceding, 0))))
     at = F.struct(bucket, "_no")
@@ -124,7 +165,7 @@ def islands(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str
         F.min_by("first", at).alias("first"), F.max_by("last", at).alias("last"),
         *([F.slice(F.array_sort(F.flatten(F.collect_list("firsts"))), 1, keep_first).alias("firsts")]
           if keep_first else []))
-    return inner.unionByName(merged.select(names))
+    return inner.unionByName(merged.select(out))
 
 
 def hash_bucket(digest: Column, bits: int = 12) -> Column:
@@ -139,12 +180,11 @@ def score_bucket(score: Column, per_unit: int = 4096) -> Column:
 
 def as_of(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], value: Column, out: str) -> DataFrame:
     """Last non-null ``value`` at or before each row along its key's order."""
-    df = _whole(df, [*keys, bucket])
     local = W.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     marked = df.withColumn("_v", value)
     lasts = marked.groupBy(*keys, bucket).agg(
         F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(*order))).alias("_last"))
     carry = lasts.select(*keys, bucket, F.last("_last", ignorenulls=True).over(
         _earlier(keys, bucket, False)).alias("_carry"))
-    return (marked.withColumn("_own", F.last("_v", ignorenulls=True).over(local)).join(carry, [*keys, bucket])
+    return (marked.withColumn("_own", F.last("_v", ignorenulls=True).over(local)).join(carry, [*keys, bucket], "left")
             .withColumn(out, F.coalesce("_own", "_carry")).drop("_v", "_own", "_carry"))

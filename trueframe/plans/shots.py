@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import shots as s
+from ..operators.ordered import split_hot
 from .ranking import rounded
 from .registry import query
 from .timeline import ORDER, placed
@@ -37,8 +38,9 @@ MEMBERS = "m AS (SELECT f.case_id, f.event_id, f.at_us, f.pts, wn.start FROM f J
 
 
 def frames(t):
-    return placed(t.samples).select("case_id", "at_us", "event_id", F.col("position").cast("double").alias("pts"),
-                                    F.floor(F.col("at_us") / HOUR_US).alias("hour"), "event_type", "value", "day")
+    rows = placed(t.samples).select("case_id", "at_us", "event_id", F.col("position").cast("double").alias("pts"),
+                                    "event_type", "value", "day")
+    return split_hot(rows, ["case_id"], F.floor(F.col("at_us") / HOUR_US), "hour")
 
 
 def windows(t):

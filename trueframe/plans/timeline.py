@@ -5,6 +5,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from ..operators import timeline as tl
+from ..operators.ordered import split_hot
 from .registry import query
 
 ORDER = ["at_us", "event_id"]
@@ -12,9 +13,9 @@ DAY_US = 86_400_000_000
 
 
 def placed(df):
-    """Decimal position and day bucket of each sample."""
-    return df.withColumn("position", (F.col("nano").cast("decimal(18,0)") * F.lit(Decimal("0.000000001"))).cast(
-        "decimal(18,9)")).withColumn("day", F.floor(F.col("at_us") / DAY_US))
+    """Decimal position of each sample, and days as buckets of the largest cases."""
+    rows = df.withColumn("position", (F.col("nano").cast("decimal(18,0)") * F.lit(Decimal("0.000000001"))).cast("decimal(18,9)"))
+    return split_hot(rows, ["case_id"], F.floor(F.col("at_us") / DAY_US), "day")
 
 
 def valid(t):
