@@ -6,7 +6,7 @@ from ..operators import shots as s
 from ..operators.ordered import split_hot
 from .ranking import rounded
 from .registry import query
-from .timeline import ORDER, placed
+from .timeline import ORDER, positioned
 
 HOUR_US = 3_600_000_000
 
@@ -38,9 +38,13 @@ MEMBERS = "m AS (SELECT f.case_id, f.event_id, f.at_us, f.pts, wn.start FROM f J
 
 
 def frames(t):
-    rows = placed(t.samples).select("case_id", "at_us", "event_id", F.col("position").cast("double").alias("pts"),
-                                    "event_type", "value", "day")
-    return split_hot(rows, ["case_id"], F.floor(F.col("at_us") / HOUR_US), "hour")
+    return positioned(t.samples).select("case_id", "at_us", "event_id", F.col("position").cast("double").alias("pts"),
+                                        "event_type", "value")
+
+
+def bucketed(rows, width_us):
+    """Time buckets of the cases too large for one task."""
+    return split_hot(rows, ["case_id"], F.floor(F.col("at_us") / width_us), "cell")
 
 
 def windows(t):
@@ -48,8 +52,8 @@ def windows(t):
         "end", F.col("start") + 2)
 
 
-def members(t):
-    return s.window_membership(frames(t), windows(t), 2.0)
+def members(t, rows=None):
+    return s.window_membership(frames(t) if rows is None else rows, windows(t), 2.0)
 
 
 @query("window_membership", "WITH " + FRAMES + ", " + WINS + ", " + MEMBERS + " SELECT case_id, start, event_id FROM m")
@@ -62,8 +66,8 @@ def _(t):
   SELECT case_id, start, i AS slot, event_id, n AS frames FROM r, range(8) x(i) WHERE n>=8 AND at_ = (i*(n-1))//7
   UNION ALL SELECT wn.case_id, wn.start, NULL, NULL, count(m.event_id) FROM wn LEFT JOIN m ON wn.case_id=m.case_id AND wn.start=m.start GROUP BY 1,2 HAVING count(m.event_id)<8""")
 def _(t):
-    inside = members(t)
-    picked = s.frame_pick(inside, ["case_id", "start"], ORDER, "hour")
+    inside = members(t, bucketed(frames(t), HOUR_US))
+    picked = s.frame_pick(inside, ["case_id", "start"], ORDER, "cell")
     short = s.short_windows(windows(t), inside, ["case_id", "start"])
     cols = ("case_id", F.col("start").cast("long").alias("start"))
     return picked.select(*cols, "slot", "event_id", "frames").unionByName(short.select(
@@ -81,8 +85,8 @@ SHOTS = """n AS (SELECT case_id, event_type='signup' AND value>60 AS cut, row_nu
     CASE WHEN ok THEN array_to_string(list_transform(range(16), lambda i: a+o+(i*(width-1))//15), ',') END AS frames,
     CASE WHEN ok THEN 16-length(list_distinct(list_transform(range(16), lambda i: (i*(width-1))//15))) END::INT AS duplicates FROM g""")
 def _(t):
-    rows = frames(t).withColumn("is_cut", (F.col("event_type") == "signup") & (F.col("value") > 60))
-    found = s.shots(rows, ORDER, "day", fps=2)
+    rows = bucketed(frames(t), 24 * HOUR_US).withColumn("is_cut", (F.col("event_type") == "signup") & (F.col("value") > 60))
+    found = s.shots(rows, ORDER, "cell", fps=2)
     return s.shot_windows(found, fps=2).withColumn("frames", F.array_join(F.col("frames").cast("array<string>"), ","))
 
 

@@ -12,10 +12,14 @@ ORDER = ["at_us", "event_id"]
 DAY_US = 86_400_000_000
 
 
+def positioned(df):
+    """Decimal position of each sample."""
+    return df.withColumn("position", (F.col("nano").cast("decimal(18,0)") * F.lit(Decimal("0.000000001"))).cast("decimal(18,9)"))
+
+
 def placed(df):
-    """Decimal position of each sample, and days as buckets of the largest cases."""
-    rows = df.withColumn("position", (F.col("nano").cast("decimal(18,0)") * F.lit(Decimal("0.000000001"))).cast("decimal(18,9)"))
-    return split_hot(rows, ["case_id"], F.floor(F.col("at_us") / DAY_US), "day")
+    """Positions, and days as buckets of the largest cases."""
+    return split_hot(positioned(df), ["case_id"], F.floor(F.col("at_us") / DAY_US), "day")
 
 
 def valid(t):
