@@ -2,20 +2,64 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import curriculum
-from .common import prepare, table
+from . import chat, curriculum, packing, warc
+from .common import prepare, table, written
+
+WORD_BPE = "word_bpe_49k.json"
 
 
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum.mixed(table(prepare(spark), sf_dir, "documents"))
 
 
+def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(prepare(spark), sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(prepare(spark), sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.range(2).selectExpr("-7L AS conv_id", "id AS turn", "IF(id = 0, 'user', 'assistant') AS role",
+                                       "'</s>[INST] ok [/INST]' AS text")
+    segments = written(chat.format_chats(turns.unionByName(tricky)), "chat")
+    return chat.read_digests(segments).drop("valid")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_catalogue(spark, warc.write_archive(table(prepare(spark), sf_dir, "pages")))
+
+
 QUERIES = {
     "op4_mix": op4_mix,
+    "op5_pack": op5_pack,
+    "op8_chat": op8_chat,
+    "op9_warc": op9_warc,
 }
 ORACLES = {
+    "op8_chat": r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+sized AS (
+    SELECT *, length(text) + length(text) - length(replace(text, chr(92), ''))
+           + len(regexp_extract_all(text, '<<SYS>>|<</SYS>>|\[INST\]|\[/INST\]|<s>|</s>|<\|turn\|>|<\|text\|>|<\|end\|>'))
+           + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE NULL END AS chars
+    FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(chars)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id""",
+    "op9_warc": """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+o AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS owner FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= 100 AND page_id IS DISTINCT FROM owner THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id IS DISTINCT FROM owner THEN owner END AS refers_to
+FROM o""",
     "op4_mix": r"""
 WITH sized AS (
     SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
