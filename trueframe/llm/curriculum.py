@@ -135,5 +135,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """One row per document with the words the mix takes, in order of first position."""
-    return takes(written(sized(docs), "sized"), **options).sort(F.try_element_at("positions", F.lit(1))).select(
+    # what the mix leaves out follows, spread by hash so that no range holds it all
+    left_out = 1 + F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(1 << 20)) / (1 << 20)
+    return takes(written(sized(docs), "sized"), **options).sort(F.coalesce(F.try_element_at("positions", F.lit(1)), left_out)).select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, curriculum, packing, warc
+from . import chat, curriculum, packing, quality, toxicity, warc
 from .common import prepare, table, written
 
 WORD_BPE = "word_bpe_49k.json"
@@ -19,6 +19,16 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(prepare(spark), sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(prepare(spark), sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = spark.range(2).selectExpr("-7L AS conv_id", "id AS turn", "IF(id = 0, 'user', 'assistant') AS role",
@@ -32,8 +42,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_toxicity": op3_toxicity,
     "op4_mix": op4_mix,
     "op5_pack": op5_pack,
+    "op6_quality": op6_quality,
     "op8_chat": op8_chat,
     "op9_warc": op9_warc,
 }
