@@ -55,3 +55,12 @@ def text_of(col: str | Column = "text") -> Column:
 
 def n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
+
+
+def blank_split(text: str) -> list[str]:
+    """Words of a text: maximal runs outside the six ASCII white-space characters."""
+    for blank in "\t\n\r\v\f":
+        if blank in text:
+            text = text.replace(blank, " ")
+    words = text.split(" ")
+    return [w for w in words if w] if "" in words else words

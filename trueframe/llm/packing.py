@@ -24,14 +24,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import blank_split, text_of, written
 
 CAPACITY = 4096
 BLOCK = 65_536
 END_ID = 1
 #: Words whose ids one task remembers; the memory is emptied when full.
 REMEMBERED = 400_000
-_BLANKS = str.maketrans("\t\n\r\v\f", "     ")
 
 
 class Encoder:
@@ -45,17 +44,16 @@ class Encoder:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
-        self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
+        self.tokenizer, self.known = Tokenizer.from_file(path), {}
 
     def __call__(self, text: str) -> bytes:
-        parts = text.translate(_BLANKS).split(" ")
+        parts = blank_split(text)
         known = self.known
         fresh = list({p for p in parts if p not in known})
         if fresh:
             if len(known) + len(fresh) > REMEMBERED:
                 known.clear()
-                known[""] = b""
-                fresh = list(set(parts) - {""})
+                fresh = list(set(parts))
             for part, got in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
                 known[part] = np.asarray(got.ids, dtype="<u4").tobytes()
         return b"".join(map(known.__getitem__, parts))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, curriculum, packing, quality, toxicity, warc
+from . import chat, curriculum, minhash, packing, quality, toxicity, warc
 from .common import prepare, table, written
 
 WORD_BPE = "word_bpe_49k.json"
@@ -41,6 +41,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_catalogue(spark, warc.write_archive(table(prepare(spark), sf_dir, "pages")))
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(prepare(spark), sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_mix": op4_mix,
@@ -48,6 +52,7 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op8_chat": op8_chat,
     "op9_warc": op9_warc,
+    "op10_minhash": op10_minhash,
 }
 ORACLES = {
     "op8_chat": r"""
