@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, curriculum, minhash, order_minhash, packing, quality, toxicity, warc
+from . import chat, curriculum, minhash, nn_descent, order_minhash, packing, quality, toxicity, warc
 from .common import prepare, table, written
 
 WORD_BPE = "word_bpe_49k.json"
@@ -19,6 +19,10 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(prepare(spark), sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op1_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_duplicates(table(prepare(spark), sf_dir, "embeddings"))
+
+
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.fingerprints(table(prepare(spark), sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_nn_descent": op1_nn_descent,
     "op2_order_minhash": op2_order_minhash,
     "op3_toxicity": op3_toxicity,
     "op4_mix": op4_mix,
