@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, curriculum, minhash, nn_descent, order_minhash, packing, quality, toxicity, warc
+from . import chat, curriculum, minhash, nn_descent, order_minhash, packing, quality, runindex, toxicity, warc
 from .common import prepare, table, written
 
 WORD_BPE = "word_bpe_49k.json"
@@ -37,6 +37,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_runindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runindex.removal(table(prepare(spark), sf_dir, "documents"))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(prepare(spark), sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = spark.range(2).selectExpr("-7L AS conv_id", "id AS turn", "IF(id = 0, 'user', 'assistant') AS role",
@@ -60,6 +64,7 @@ QUERIES = {
     "op4_mix": op4_mix,
     "op5_pack": op5_pack,
     "op6_quality": op6_quality,
+    "op7_runindex": op7_runindex,
     "op8_chat": op8_chat,
     "op9_warc": op9_warc,
     "op10_minhash": op10_minhash,
