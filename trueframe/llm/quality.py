@@ -9,9 +9,11 @@ An empty table gives no rows. Other columns are ignored, whatever their names.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from operator import eq
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import gbt, scoring
@@ -63,3 +65,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = scoring.SAMPLE) -> gbt
 
 def score(docs: DataFrame, model: gbt.Trees, cut: float = CUT) -> DataFrame:
     return scoring.scored(docs, lambda texts: gbt.sigmoid(model.raw(features(texts))), cut)
+
+
+def accepted(docs: DataFrame, model: gbt.Trees, cut: float = CUT) -> DataFrame:
+    """The documents whose score reaches the cut, with all their columns."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            yield batch.filter(pa.array(gbt.sigmoid(model.raw(features(texts))) >= cut))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,6 +69,7 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_warc": op9_warc,
     "op10_minhash": op10_minhash,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op8_chat": r"""
