@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import sys
 import tempfile
+import uuid
+from functools import cache
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -32,12 +34,14 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def local_session(cores: str | int = "*", app: str = "trueframe") -> SparkSession:
+    """A one-process session for tests and benches, with a fresh folder of its own as the shared one."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]").appName(app)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -45,21 +49,24 @@ def local_session(cores: str | int = "*", app: str = "trueframe") -> SparkSessio
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the cluster's shared checkpoint folder.
+    """A fresh sub-folder of the folder that ``spark.checkpoint.dir`` names.
 
-    ``spark.checkpoint.dir`` names it; a folder of our own is used only where
-    that is unset, as in local tests.
+    All executors must share it. Only a local master, where the driver runs
+    every task, may leave the setting out; a folder is then made for the session.
     """
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="spark-")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _own_folder(spark.sparkContext.applicationId)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@cache
+def _own_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows over at least as many tasks as there are cores.
 
