@@ -16,6 +16,9 @@ written once, and only they are shuffled by block.
 
 from __future__ import annotations
 
+import sys
+import types
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -29,33 +32,93 @@ from .common import blank_split, text_of, written
 CAPACITY = 4096
 BLOCK = 65_536
 END_ID = 1
-#: Words whose ids one task remembers; the memory is emptied when full.
+#: Words in one generation of a worker's memory of ids.
 REMEMBERED = 400_000
 
 
+class Memory:
+    """Ids of words seen by this process, in two generations: when the younger
+    is full it becomes the older one, and words still in use move up again."""
+
+    def __init__(self, limit: int = REMEMBERED):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.limit = limit
+
+    def turn(self) -> dict[str, bytes]:
+        if len(self.young) >= self.limit:
+            self.young, self.old = {}, self.young
+        return self.young
+
+
+def process_memory(path: str) -> Memory:
+    """One memory per Python worker and vocabulary, so later tasks of the worker find it filled."""
+    return sys.modules.setdefault("_word_ids", types.ModuleType("_word_ids")).__dict__.setdefault(path, Memory())
+
+
 class Encoder:
     """Ids of a text as little-endian uint32 bytes, exactly as the tokenizer gives them.
 
     The vocabulary's pre-tokenizer drops white space and never joins across it,
     and neither its normalizer nor its added tokens look past a blank, so a
-    text's ids are those of its blank-separated parts in turn. Parts are mostly
-    repeated words; each is encoded once and remembered.
+    text's ids are those of its blank-separated parts in turn; a part of letters
+    (in the tokenizer's normal form) and one closing mark is in the same way the
+    letters and the mark. Parts are
+    mostly repeated words, each encoded once and remembered. Words of letters
+    are encoded as one text and cut after each token that ends a word.
     """
 
+    MARKS = frozenset(".,;:!?")
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.memory = Tokenizer.from_file(path), process_memory(path)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, number in self.tokenizer.get_vocab().items():
+            self.ends[number] = token.endswith("</w>")
+
+    def _plain(self, parts: list[str]) -> list[bytes]:
+        got = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
+        return [np.asarray(g.ids, dtype="<u4").tobytes() for g in got]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters. A word is at least one pre-token, so as many ends as words means one each."""
+        ids = np.asarray(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(words):
+            return self._plain(words)
+        raw, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
+        return [raw[i:j] for i, j in zip(at, at[1:])]
+
+    @staticmethod
+    def letters(word: str) -> bool:
+        return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
 
     def __call__(self, text: str) -> bytes:
         parts = blank_split(text)
-        known = self.known
-        fresh = list({p for p in parts if p not in known})
+        known, old = self.memory.turn(), self.memory.old
+        fresh = {p for p in parts if p not in known}
         if fresh:
-            if len(known) + len(fresh) > REMEMBERED:
-                known.clear()
-                fresh = list(set(parts))
-            for part, got in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-                known[part] = np.asarray(got.ids, dtype="<u4").tobytes()
+            cut, words, others = {}, set(), set()
+            for p in fresh:
+                if (ids := old.get(p)) is not None:
+                    known[p] = ids
+                elif self.letters(p):
+                    words.add(p)
+                elif p[-1] in self.MARKS and self.letters(p[:-1]):
+                    cut[p] = p[:-1], p[-1]
+                else:
+                    others.add(p)
+            for word, mark in cut.values():
+                if word not in known:
+                    words.add(word)
+                if mark not in known:
+                    others.add(mark)
+            for group, encode in ((list(words), self._words), (list(others), self._plain)):
+                if group:
+                    known.update(zip(group, encode(group)))
+            for p, (word, mark) in cut.items():
+                known[p] = known[word] + known[mark]
         return b"".join(map(known.__getitem__, parts))
 
 
