@@ -82,6 +82,21 @@ def test_published_draw_order_against_plain_loop(spark):
     assert got["ai_recall"].high == pytest.approx(values[min(len(values) - 1, int(len(values) * .975))])
 
 
+def test_one_group_gives_null_intervals(spark):
+    df = rows(spark, [{**x, "group": "only"} for x in sample()])
+    got = b.cluster_bootstrap(df, 50).collect()
+    assert {x.rate for x in got} == set(b.RATES) and all(x.low is None and x.high is None and x.valid_replicates == 0 for x in got)
+    assert b.auroc_bootstrap(df, 50).first().low is None
+
+
+def test_method_is_the_callers_alone(spark, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("another method was chosen")
+    monkeypatch.setattr(b, "_multinomial", refuse)
+    many = [{**x, "group": f"g{i}"} for i, x in enumerate(sample(400, 5))]
+    assert b.cluster_bootstrap(rows(spark, many), 50).count() == len(b.RATES)
+
+
 def test_multinomial_draws_agree_in_distribution(spark):
     df = rows(spark, sample(400, 5))
     a = {x.rate: x for x in b.cluster_bootstrap(df, 600).collect()}

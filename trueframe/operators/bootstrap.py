@@ -11,8 +11,10 @@ ways to draw them:
   the one before it.
 * ``multinomial``: groups with equal count vectors are interchangeable, so a
   replicate is one multinomial draw over the distinct vectors. Its work grows
-  with the number of distinct vectors and not with the number of groups; it is
-  what ``auto`` uses once replicates x groups passes ``ADDRESS_LIMIT``.
+  with the number of distinct vectors and not with the number of groups.
+
+The caller names the method; the number of groups never changes it. Below two
+groups there is nothing to resample and the interval is null.
 """
 
 from __future__ import annotations
@@ -30,7 +32,6 @@ from ..session import settled
 from .metrics import RATES, outcome_flags
 from .ordered import hash_bucket, row_rank, running_sums, score_bucket
 
-ADDRESS_LIMIT = 5_000_000_000
 MULTIPLIER, INCREMENT, MODULUS = 1664525, 1013904223, 1 << 32
 
 VECTOR = ("completed", "tp", "fn", "fp", "tn", "abstained_ai", "abstained_non_ai", "high", "high_wrong")
@@ -138,9 +139,7 @@ def _multinomial(vectors: DataFrame, names: Sequence[str], replicates: int, seed
 
 
 def replicate_sums(vectors: DataFrame, names: Sequence[str], replicates: int, seed: int,
-                   method: str = "auto") -> DataFrame:
-    if method == "auto":  # the vectors are a settled table, so this count reads only its footers
-        method = "addressed" if vectors.count() * replicates <= ADDRESS_LIMIT else "multinomial"
+                   method: str = "addressed") -> DataFrame:
     if method == "multinomial":
         return _multinomial(vectors, names, replicates, seed)
     return draws(vectors, replicates, seed, method).join(vectors, "ordinal").groupBy("replicate").agg(
@@ -157,18 +156,25 @@ def percentile_interval(values: DataFrame, keys: Sequence[str], value: str) -> D
     return kept.select(*keys, n.cast("long").alias("valid_replicates"), at(0.025).alias("low"), at(0.975).alias("high"))
 
 
-def cluster_bootstrap(df: DataFrame, replicates: int = 1000, seed: int = 5149304, method: str = "auto",
+def resampled(vectors: DataFrame) -> DataFrame:
+    """The settled vectors, or none of them where there are fewer than two groups."""
+    return vectors if vectors.limit(2).count() == 2 else vectors.limit(0)
+
+
+def cluster_bootstrap(df: DataFrame, replicates: int = 1000, seed: int = 5149304, method: str = "addressed",
                       first_seen: Column | None = None) -> DataFrame:
     """Percentile interval of every rate; undefined replicates are left out and counted."""
     flagged = outcome_flags(df)
     names = ["attempted", *VECTOR]
     vectors = group_vectors(flagged, {"attempted": F.count(F.lit(1)), **{c: F.sum(f"is_{c}") for c in VECTOR}},
                             first_seen)
-    sums = replicate_sums(vectors, names, replicates, seed, method)
+    sums = replicate_sums(resampled(vectors), names, replicates, seed, method)
     long = sums.select("replicate", F.explode(F.array(*[
         F.struct(F.lit(name).alias("rate"), ratio(F.expr(top), F.expr(base)).alias("estimate"))
         for name, (top, base) in RATES.items()])).alias("r")).select("replicate", "r.*")
-    return percentile_interval(long, ["rate"], "estimate")
+    found = percentile_interval(long, ["rate"], "estimate")
+    every = vectors.limit(1).select(F.explode(F.array(*[F.lit(name) for name in RATES])).alias("rate"))
+    return every.join(found, "rate", "left").withColumn("valid_replicates", F.coalesce("valid_replicates", F.lit(0).cast("long")))
 
 
 def auroc_bootstrap(df: DataFrame, replicates: int = 1000, seed: int = 1937303, method: str = "addressed",
@@ -179,17 +185,17 @@ def auroc_bootstrap(df: DataFrame, replicates: int = 1000, seed: int = 1937303,
     replicates x groups draws; they are spread over all tasks, and each task
     reduces its draws to counts per (replicate, score) before the shuffle.
     """
-    vectors = group_vectors(df, {"n": F.count(F.lit(1))}, first_seen).select("group_id", "ordinal")
+    vectors = settled(group_vectors(df, {"n": F.count(F.lit(1))}, first_seen).select("group_id", "ordinal"), "ordinals")
     pos = is_positive(F.col("label"))
     cells = settled(df.groupBy("group_id", F.col(score).alias("score")).agg(
         F.count_if(pos).alias("pos"), F.count_if(~pos).alias("neg")).join(vectors, "group_id").drop("group_id"), "cells")
-    weighted = draws(vectors, replicates, seed, method).join(cells, "ordinal").groupBy("replicate", "score").agg(
+    weighted = draws(resampled(vectors), replicates, seed, method).join(cells, "ordinal").groupBy("replicate", "score").agg(
         F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     from .ranking import auroc_from_counts
     return percentile_interval(auroc_from_counts(weighted, ["replicate"]), [], "auroc")
 
 
-def paired_bootstrap(pairs: DataFrame, replicates: int = 10_000, seed: int = 9183327, method: str = "auto",
+def paired_bootstrap(pairs: DataFrame, replicates: int = 10_000, seed: int = 9183327, method: str = "addressed",
                      first_seen: Column | None = None) -> DataFrame:
     """Interpolated 2.5/97.5% of the recall difference over positive pairs.
 
@@ -199,7 +205,7 @@ def paired_bootstrap(pairs: DataFrame, replicates: int = 10_000, seed: int = 918
                               & (F.col(f"{side}_decision") == "ai")).cast("int")
     vectors = group_vectors(pairs.filter(is_positive(F.col("label"))), {
         "pairs": F.count(F.lit(1)), "gain": F.sum(hit("after") - hit("before"))}, first_seen)
-    sums = replicate_sums(vectors, ["pairs", "gain"], replicates, seed, method)
+    sums = replicate_sums(resampled(vectors), ["pairs", "gain"], replicates, seed, method)
     diffs = sums.select(ratio(F.col("gain"), F.col("pairs")).alias("d"))
     return diffs.agg(F.percentile("d", F.lit(0.025)).alias("low"), F.percentile("d", F.lit(0.975)).alias("high"),
                      F.count("d").alias("replicates"))
