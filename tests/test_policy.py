@@ -7,11 +7,11 @@ from trueframe.operators import policy as p
 BASE = dict(clip_id=1, ai_likelihood=5.0, visual_classification="likely_not_ai_generated", visual_assessment="likely_authentic",
             audio_assessment="likely_recorded", identity_manipulation="none_detected", evidence_sufficiency="sufficient",
             review_agreement="agree", visual_coverage="adequate", temporal_coverage="adequate", audio_coverage="adequate",
-            invalid_observations=False, duration=20.0, provenance_status="not_found", provenance_trusted=False, disclosed=False,
+            invalid_observations=False, duration=20.0, provenance_status="not_found", provenance_generative=False, provenance_valid=False, provenance_trusted=False, disclosed=False,
             creator_admission=False, moments=[])
 TYPES = ("clip_id int, ai_likelihood double, visual_classification string, visual_assessment string, audio_assessment string, identity_manipulation string, "
          "evidence_sufficiency string, review_agreement string, visual_coverage string, temporal_coverage string, audio_coverage string, invalid_observations boolean, "
-         "duration double, provenance_status string, provenance_trusted boolean, disclosed boolean, creator_admission boolean, "
+         "duration double, provenance_status string, provenance_generative boolean, provenance_valid boolean, provenance_trusted boolean, disclosed boolean, creator_admission boolean, "
          "moments array<struct<timestamp:string,severity:string,category:string>>")
 SEEN = [("00:05", "high", "temporal")]
 MADE = dict(ai_likelihood=85.0, visual_classification="likely_ai_generated", visual_assessment="generated", moments=SEEN)
@@ -45,8 +45,12 @@ CASES = [
     (dict(invalid_observations=True), p.OPEN, "limited"),
     (dict(disclosed=True, ai_likelihood=0.0), p.DISCLOSED, "complete"),
     (dict(creator_admission=True), p.DISCLOSED, "complete"),
-    (dict(provenance_status="found", provenance_trusted=True, disclosed=True), p.VERIFIED, "complete"),
-    (dict(provenance_status="invalid", provenance_trusted=True), p.CLEAR, "complete"),
+    (dict(provenance_status="found", provenance_generative=True, provenance_valid=True, provenance_trusted=True, disclosed=True), p.VERIFIED, "complete"),
+    (dict(provenance_status="invalid", provenance_generative=True, provenance_valid=True, provenance_trusted=True), p.CLEAR, "complete"),
+    # a real camera's trusted credential, one that is not valid, one that is not trusted
+    (dict(provenance_status="found", provenance_valid=True, provenance_trusted=True), p.CLEAR, "complete"),
+    (dict(provenance_status="found", provenance_generative=True, provenance_trusted=True), p.CLEAR, "complete"),
+    (dict(provenance_status="found", provenance_generative=True, provenance_valid=True), p.CLEAR, "complete"),
 ]
 
 

@@ -49,7 +49,7 @@ def verdict_waterfall(reports: DataFrame) -> DataFrame:
     shown = lambda name: truthy(c(name))
 
     rule = first_of(
-        (shown("provenance_trusted") & truthy(c("provenance_status") == "found"), 1),
+        (truthy(c("provenance_status") == "found") & shown("provenance_generative") & shown("provenance_valid") & shown("provenance_trusted"), 1),
         (shown("disclosed") | shown("creator_admission"), 2),
         (F.size(conflicts) > 0, 3), (audio_only, 4),
         (grounded & ~c("evidence_sufficiency").eqNullSafe("insufficient"), 5),
@@ -138,7 +138,7 @@ def pass_agreement(passes: DataFrame) -> DataFrame:
 
     Input: one row per finished or failed pass with clip_id, kind, ordinal,
     status, profile, valid, flawed, sufficiency, audio. The first pass of each
-    kind counts.
+    kind counts. A clip whose first passes both failed stays, as not available.
     """
     c = F.col
     record = F.struct("profile", "valid", "flawed", "sufficiency", "audio", "kind")
@@ -156,7 +156,7 @@ def pass_agreement(passes: DataFrame) -> DataFrame:
     agreement = first_of((resolved, "resolved"), (match & truthy(s["valid"] & r["valid"]) & ~needed, "agree"),
                          (needed, "disagree"), otherwise="not_available")
     return rows.withColumns({"initial": s.isNotNull().cast("int") + r.isNotNull().cast("int"), "needed": needed,
-                             "agreement": agreement, "selected": chosen, "third": third}).filter("initial > 0")
+                             "agreement": agreement, "selected": chosen, "third": third})
 
 
 def clip_coverage(agreed: DataFrame, media: DataFrame) -> DataFrame:
@@ -190,7 +190,7 @@ def assemble_result(scored: DataFrame, context: DataFrame) -> DataFrame:
     extra = codes((~truthy(c("agentic_observed")), "agentic_call_not_observed"),
                   (c("provenance_state").isin("unavailable", "error"), "provenance_unavailable"),
                   (c("context_state").isNotNull() & (c("context_state") != "complete"), "platform_context_incomplete"))
-    return scored.join(context, "clip_id").withColumn("limitations", F.array_distinct(F.concat(
+    return scored.join(context, "clip_id", "left").withColumn("limitations", F.array_distinct(F.concat(
         always, F.coalesce("clip_limitations", F.array().cast("array<string>")), extra)))
 
 

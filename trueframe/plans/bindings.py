@@ -180,6 +180,8 @@ def clips(d: Dialect) -> str:
            {pick(f'({n} + 2) % 4', 'audio', 'identity', 'lighting', 'other')} AS m2_category,
            CASE WHEN {n} % 22 = 3 THEN 'found' ELSE 'not_found' END AS provenance_status,
            CASE WHEN {n} % 44 = 3 THEN TRUE ELSE FALSE END AS provenance_trusted,
+           CASE WHEN {n} % 66 = 3 THEN FALSE ELSE TRUE END AS provenance_valid,
+           CASE WHEN {n} % 5 = 0 THEN NULL WHEN {n} % 5 < 3 THEN TRUE ELSE FALSE END AS provenance_generative,
            CASE WHEN {n} % 19 = 4 THEN TRUE ELSE FALSE END AS disclosed,
            CASE WHEN {n} % 23 = 5 THEN TRUE ELSE FALSE END AS creator_admission,
            {n} AS n_chars

@@ -76,7 +76,7 @@ def _(t):
 WATERFALL = FINDINGS + """, w0 AS (SELECT *, visual_coverage='adequate' AND temporal_coverage='adequate' AND audio_coverage IN ('adequate','no_audio') AS adequate, review_agreement IN ('agree','resolved') AS reviewed,
     evidence_sufficiency='sufficient' AS enough, gv AND (visual_assessment IN ('generated','edited') OR visual_classification='likely_ai_generated') AS beyond, i AND ki AS seen FROM s4),
   w1 AS (SELECT *, adequate AND reviewed AND enough AND bad=0 AND NOT invalid_observations AS complete,
-    CASE WHEN provenance_trusted AND provenance_status='found' THEN 1 WHEN disclosed OR creator_admission THEN 2 WHEN cons<>'' OR review_agreement='disagree' THEN 3
+    CASE WHEN provenance_status='found' AND coalesce(provenance_generative,FALSE) AND provenance_valid AND provenance_trusted THEN 1 WHEN disclosed OR creator_admission THEN 2 WHEN cons<>'' OR review_agreement='disagree' THEN 3
      WHEN (ga OR (gi AND NOT seen)) AND NOT beyond AND NOT seen THEN 4 WHEN (gv OR ga OR gi) AND evidence_sufficiency<>'insufficient' THEN 5 WHEN anyp THEN 6
      WHEN adequate AND reviewed AND enough AND bad=0 AND NOT invalid_observations AND visual_classification='likely_not_ai_generated' AND visual_assessment='likely_authentic'
        AND (audio_assessment='likely_recorded' OR audio_coverage='no_audio') AND identity_manipulation='none_detected' AND NOT (k1 OR k2) THEN 7 ELSE 8 END AS rule FROM w0),
@@ -147,9 +147,9 @@ PICKS = """fs AS (SELECT clip_id, kind, status, 'p' || (n % 2) AS profile, n % 5
      FROM {passes} QUALIFY row_number() OVER (PARTITION BY clip_id, kind ORDER BY turn)=1),
   pk AS (SELECT clip_id, """ + ", ".join(f"max({v}) FILTER (kind='{k}' AND status='complete') AS {k[0]}_{n}" for k in ("sweep", "review", "adjudication") for n, v in (("p", "profile"), ("v", "valid"), ("s", "suf"), ("a", "audio"))) + """ FROM fs GROUP BY 1),
   ag AS (SELECT *, (s_p IS NOT NULL)::INT+(r_p IS NOT NULL)::INT AS initial, coalesce(s_p=r_p,FALSE) AS m, s_p IS NOT NULL AND r_p IS NOT NULL AND (s_p<>r_p OR NOT s_v OR NOT r_v) AS needed FROM pk),
-  ah AS (SELECT *, needed AND a_p IS NOT NULL AS third, needed AND a_p IS NOT NULL AND a_v AND (coalesce(s_v AND s_p=a_p,FALSE) OR coalesce(r_v AND r_p=a_p,FALSE)) AS res FROM ag WHERE initial>0),
+  ah AS (SELECT *, needed AND a_p IS NOT NULL AS third, needed AND a_p IS NOT NULL AND a_v AND (coalesce(s_v AND s_p=a_p,FALSE) OR coalesce(r_v AND r_p=a_p,FALSE)) AS res FROM ag),
   aj AS (SELECT *, CASE WHEN res THEN 'resolved' WHEN m AND s_v AND r_v THEN 'agree' WHEN needed THEN 'disagree' ELSE 'not_available' END AS agreement,
-    CASE WHEN third THEN 'adjudication' WHEN s_v THEN 'sweep' WHEN r_v THEN 'review' WHEN s_p IS NOT NULL THEN 'sweep' ELSE 'review' END AS selected FROM ah)"""
+    CASE WHEN third THEN 'adjudication' WHEN s_v THEN 'sweep' WHEN r_v THEN 'review' WHEN s_p IS NOT NULL THEN 'sweep' WHEN r_p IS NOT NULL THEN 'review' END AS selected FROM ah)"""
 
 
 @query("pass_agreement", "WITH " + PICKS + " SELECT clip_id, initial, needed, agreement, selected FROM aj")
@@ -160,7 +160,7 @@ def _(t):
 @query("clip_coverage", "WITH " + PICKS + """, md AS (SELECT conv_id AS clip_id, CASE WHEN conv_id % 6=0 THEN NULL ELSE 20.0 END AS duration, 200+conv_id % 5*40 AS h, conv_id % 7<>0 AS has_audio FROM {conversations} GROUP BY 1),
   x AS (SELECT aj.*, md.*, CASE selected WHEN 'adjudication' THEN a_p WHEN 'sweep' THEN s_p ELSE r_p END AS cp, CASE selected WHEN 'adjudication' THEN a_s WHEN 'sweep' THEN s_s ELSE r_s END AS cs,
      CASE selected WHEN 'adjudication' THEN a_a WHEN 'sweep' THEN s_a ELSE r_a END AS ca FROM aj JOIN md ON aj.clip_id=md.clip_id),
-  y AS (SELECT *, cs='sufficient' AND h>=240 AND CASE WHEN res THEN NOT coalesce(s_v AND s_p=cp AND s_s<>'sufficient',FALSE) AND NOT coalesce(r_v AND r_p=cp AND r_s<>'sufficient',FALSE) AND NOT coalesce(a_v AND a_p=cp AND a_s<>'sufficient',FALSE)
+  y AS (SELECT *, coalesce(cs='sufficient',FALSE) AND h>=240 AND CASE WHEN res THEN NOT coalesce(s_v AND s_p=cp AND s_s<>'sufficient',FALSE) AND NOT coalesce(r_v AND r_p=cp AND r_s<>'sufficient',FALSE) AND NOT coalesce(a_v AND a_p=cp AND a_s<>'sufficient',FALSE)
      ELSE coalesce(s_s='sufficient',TRUE) AND coalesce(r_s='sufficient',TRUE) END AS readable FROM x)
   SELECT clip_id, agreement, CASE WHEN readable THEN 'adequate' ELSE 'limited' END AS visual_coverage,
    CASE WHEN (coalesce(s_s='sufficient',FALSE) OR (third AND a_s='sufficient')) AND duration>0 THEN 'adequate' ELSE 'limited' END AS temporal_coverage,
