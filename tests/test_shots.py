@@ -7,7 +7,7 @@ from trueframe.operators import shots as s
 
 def windows(spark, duration):
     df = spark.createDataFrame([(1, float(duration))], "id int, duration double")
-    return [(r.start, r.end) for r in s.sliding_windows(df).orderBy("window_no").collect()]
+    return [(r.start, r.end) for r in s.sliding_windows(df).filter("problem IS NULL").orderBy("window_no").collect()]
 
 
 @pytest.mark.parametrize("duration, want", [
@@ -16,8 +16,14 @@ def test_window_plan_and_tail(spark, duration, want):
     assert windows(spark, duration) == want
 
 
+def test_unsupported_clips_are_rejected_not_lost(spark):
+    df = spark.createDataFrame([(1, .4), (2, 121.0), (3, None), (4, 2.0)], "id int, duration double")
+    got = {(r.id, r.window_no, r.problem) for r in s.sliding_windows(df).collect()}
+    assert got == {(1, None, "unsupported_duration"), (2, None, "unsupported_duration"), (3, None, "unsupported_duration"), (4, 0, None)}
+
+
 def test_sql_face_gives_the_same_plan(spark):
-    spark.udtf.register("plan_windows", s.plan_windows)
+    s.register_plan_windows(spark)
     for duration in (.4, .5, 2.0, 3.25, 7.5):
         got = [(r.start, r.end) for r in spark.sql(f"SELECT * FROM plan_windows({duration}D, 2D, 1D)").collect()]
         assert got == windows(spark, duration)

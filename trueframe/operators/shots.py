@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
 from ..functions.rules import codes, first_of, truthy
 from .ordered import adjacent_pairs, as_of, row_rank, running_sums
@@ -24,27 +23,25 @@ def window_starts(duration: Column, width: float, stride: float) -> Column:
 
 def sliding_windows(clips: DataFrame, width: float = 2.0, stride: float = 1.0, *, shortest: float = 0.5,
                     longest: float = 120.0) -> DataFrame:
-    """(id, window_no, start, end); clips outside the supported length have no window."""
-    ok = clips.filter(F.col("duration").between(shortest, longest + 1e-6))
-    return ok.select("*", F.posexplode(window_starts(F.col("duration"), width, stride)).alias("window_no", "start")).withColumn(
-        "end", F.when(F.col("duration") <= width, F.col("duration")).otherwise(F.col("start") + width))
-
-
-@udtf(returnType="window_no int, start double, end double")
-class plan_windows:  # noqa: N801  (the SQL name)
-    """SQL face of ``sliding_windows``: SELECT * FROM clips, LATERAL plan_windows(duration, 2D, 1D)."""
-
-    def eval(self, duration: float, width: float, stride: float):
-        if duration is None or not 0.5 <= duration <= 120 + 1e-6:
-            return
-        if duration <= width:
-            yield 0, 0.0, float(duration)
-            return
-        starts = [i * stride for i in range(int((duration - width) // stride) + 1)]
-        if abs(starts[-1] - (duration - width)) > 1e-6:
-            starts.append(duration - width)
-        for number, start in enumerate(starts):
-            yield number, float(start), float(start + width)
+    """(id, window_no, start, end, problem); a clip outside the supported length has one row with nulls and the problem."""
+    supported = truthy(F.col("duration").between(shortest, longest + 1e-6))
+    planned = F.when(supported, window_starts(F.col("duration"), width, stride))
+    return clips.select("*", F.posexplode_outer(planned).alias("window_no", "start")).withColumns({
+        "end": F.when(F.col("duration") <= width, F.col("start") + F.col("duration")).otherwise(F.col("start") + width),
+        "problem": F.when(~supported, "unsupported_duration")})
+
+
+def register_plan_windows(spark: SparkSession, name: str = "plan_windows") -> None:
+    """SQL face of ``sliding_windows``: SELECT * FROM clips, LATERAL plan_windows(duration, 2D, 1D).
+
+    A SQL table function, so its body is planned with the query around it.
+    """
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION {name}(duration DOUBLE, width DOUBLE, stride DOUBLE)
+        RETURNS TABLE (window_no INT, start DOUBLE, end DOUBLE) RETURN
+        SELECT n, s, IF(duration <= width, duration, s + width) FROM (
+            SELECT posexplode(CASE WHEN duration IS NULL OR duration < 0.5 OR duration > 120.000001 THEN array() WHEN duration <= width THEN array(0D)
+                ELSE concat(transform(sequence(0, CAST(floor((duration - width) / stride) AS INT)), i -> i * stride),
+                     IF(abs(floor((duration - width) / stride) * stride - (duration - width)) > 1e-6, array(duration - width), array())) END) AS (n, s))""")
 
 
 def window_membership(frames: DataFrame, windows: DataFrame, width: float, key: str = "case_id") -> DataFrame:

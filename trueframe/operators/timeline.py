@@ -100,9 +100,12 @@ def temporal_verdict(cases: DataFrame, issues: DataFrame, runs: DataFrame,
 
 def max_score_verdict(samples: DataFrame, cases: DataFrame, order: Sequence[str], bucket: str, *,
                       first_max: float = 0.1, max_gap: float = 0.6, tail_gap: float = 0.6,
-                      hit_from: float = 3.0, hit_to: float = 5.0) -> DataFrame:
-    """The older rule: any positive sample decides, with a 1e-9 tolerance on gaps,
-    and whether every hit of a mixed case falls in its known interval."""
+                      hit_from: float = 3.0, hit_to: float = 5.0, mixed: Column | None = None) -> DataFrame:
+    """The older rule: any positive sample decides, with a 1e-9 tolerance on gaps.
+
+    Every planned case stays; one without samples is not covered. Cases for
+    which ``mixed`` holds also tell whether every hit falls in their interval.
+    """
     pos = F.col("position").cast("double")
     hit = F.col("valid") & (F.col("score") >= SCORE_THRESHOLD)
     by = F.struct(*order)
@@ -114,14 +117,15 @@ def max_score_verdict(samples: DataFrame, cases: DataFrame, order: Sequence[str]
     step = F.col("cur.position").cast("double") - F.col("prev.position").cast("double")
     gaps = adjacent_pairs(samples, ["case_id"], bucket, order, ["position"]).groupBy("case_id").agg(
         F.count_if((step <= 0) | (step > max_gap + 1e-9)).alias("broken"))
-    rows = cases.join(facts, "case_id").join(gaps, "case_id", "left").fillna(0, ["broken"])
-    covered = ((F.col("invalid") == 0) & (F.col("first") <= first_max) & (F.col("broken") == 0)
-               & (F.col("duration") - F.col("last") <= tail_gap + 1e-9))
+    rows = cases.join(facts, "case_id", "left").join(gaps, "case_id", "left").fillna(0, ["broken", "hits"])
+    covered = truthy((F.col("invalid") == 0) & (F.col("first") <= first_max) & (F.col("broken") == 0)
+                     & (F.col("duration") - F.col("last") <= tail_gap + 1e-9))
+    located = (F.col("hits") > 0) & (F.col("hits") == F.col("hits_inside"))
     return rows.select(
         "case_id", "max_score", (F.col("max_score") >= SCORE_THRESHOLD).alias("any_positive"),
         covered.alias("covered"),
         F.when(covered, F.when(F.col("max_score") >= SCORE_THRESHOLD, "ai").otherwise("not_ai")).alias("decision"),
-        ((F.col("hits") > 0) & (F.col("hits") == F.col("hits_inside"))).alias("localized"))
+        (located if mixed is None else F.when(mixed, located)).alias("localized"))
 
 
 def verdict_stability(recomputed: DataFrame, saved: DataFrame) -> DataFrame:

@@ -20,20 +20,21 @@ def durations(t):
     return t.part.select(F.col("p_partkey").alias("id"), (F.col("p_size") + (F.col("p_partkey") % 4) * 0.25).alias("duration"))
 
 
-@query("sliding_windows", "WITH " + DUR + ", " + PLAN + ' SELECT id, window_no::INT AS window_no, start, CASE WHEN duration<=2 THEN duration ELSE start+2 END AS "end" FROM w')
+@query("sliding_windows", "WITH " + DUR + ", " + PLAN + ' SELECT id, window_no::INT AS window_no, start, CASE WHEN duration<=2 THEN duration ELSE start+2 END AS "end", NULL::VARCHAR AS problem FROM w UNION ALL SELECT id, NULL, NULL, NULL, \'unsupported_duration\' FROM d WHERE duration < 0.5 OR duration > 120')
 def _(t):
-    return s.sliding_windows(durations(t)).select("id", "window_no", "start", "end")
+    return s.sliding_windows(durations(t)).select("id", "window_no", "start", "end", "problem")
 
 
 @query("plan_windows_udtf", "WITH " + DUR + ", " + PLAN + " SELECT id, count(*) AS windows, max(start) AS last_start FROM w GROUP BY 1")
 def _(t):
-    t.spark.udtf.register("plan_windows", s.plan_windows)
+    s.register_plan_windows(t.spark)
     return t.spark.sql("SELECT c.id, w.start FROM {clips} c, LATERAL plan_windows(c.duration, 2D, 1D) w", clips=durations(t)).groupBy(
         "id").agg(F.count(F.lit(1)).alias("windows"), F.max("start").alias("last_start"))
 
 
 FRAMES = "f AS (SELECT case_id, at_us, event_id, nano/1e9::DOUBLE AS pts FROM {samples})"
-WINS = "wn AS (SELECT DISTINCT case_id, k AS start, k+2 AS stop FROM f, range(30) r(k))"
+WINS = """lasts AS (SELECT case_id, greatest(0, floor(max(pts)))::BIGINT AS last FROM f GROUP BY 1),
+  wn AS (SELECT case_id, k AS start, k+2 AS stop FROM (SELECT case_id, unnest(range(0, last+1)) AS k FROM lasts))"""
 MEMBERS = "m AS (SELECT f.case_id, f.event_id, f.at_us, f.pts, wn.start FROM f JOIN wn ON f.case_id=wn.case_id AND f.pts>=wn.start AND f.pts<wn.stop)"
 
 
@@ -48,7 +49,9 @@ def bucketed(rows, width_us):
 
 
 def windows(t):
-    return frames(t).select("case_id").distinct().withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(29)))).withColumn(
+    """Two-second windows from each second up to the case's last position."""
+    last = F.greatest(F.lit(0), F.floor(F.max("pts"))).cast("int")
+    return frames(t).groupBy("case_id").agg(last.alias("last")).select("case_id", F.explode(F.sequence(F.lit(0), "last")).alias("start")).withColumn(
         "end", F.col("start") + 2)
 
 

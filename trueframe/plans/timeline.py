@@ -109,11 +109,13 @@ def _(t):
    (SELECT case_id, position - lag(position) OVER (PARTITION BY case_id ORDER BY i) AS gap FROM v) WHERE gap IS NOT NULL GROUP BY 1),
   f AS (SELECT case_id, max(score) FILTER (valid) AS ms, count(*) FILTER (NOT valid) AS bad, count(*) FILTER (valid AND score>=0.5) AS h,
     count(*) FILTER (valid AND score>=0.5 AND position>=3 AND position<5) AS hi, arg_min(position,i) AS f, arg_max(position,i) AS l FROM v GROUP BY 1),
-  x AS (SELECT f.*, bad=0 AND f.f<=2 AND coalesce(broken,0)=0 AND 31-l <= 3+1e-9::DOUBLE AS covered FROM f JOIN {cases} USING (case_id) LEFT JOIN g USING (case_id))
+  x AS (SELECT c.case_id, c.segment, ms, coalesce(h,0) AS h, hi, coalesce(bad=0 AND f.f<=2 AND coalesce(broken,0)=0 AND 31-l <= 3+1e-9::DOUBLE, FALSE) AS covered
+    FROM {cases} c LEFT JOIN f ON c.case_id=f.case_id LEFT JOIN g ON c.case_id=g.case_id)
   SELECT case_id, ms AS max_score, ms>=0.5 AS any_positive, covered, CASE WHEN covered THEN CASE WHEN ms>=0.5 THEN 'ai' ELSE 'not_ai' END END AS decision,
-    h>0 AND h=hi AS localized FROM x""")
+    CASE WHEN segment='BUILDING' THEN h>0 AND h=hi END AS localized FROM x""")
 def _(t):
-    return tl.max_score_verdict(valid(t), t.cases, ORDER, "day", first_max=2.0, max_gap=2.5, tail_gap=3.0)
+    return tl.max_score_verdict(valid(t), t.cases, ORDER, "day", first_max=2.0, max_gap=2.5, tail_gap=3.0,
+                                mixed=F.col("segment") == "BUILDING")
 
 
 @query("sample_flag_counts", "WITH " + VALID + " SELECT case_id, count(*) FILTER (valid AND positive) AS flagged, count(*) AS total FROM v GROUP BY 1")
