@@ -17,6 +17,13 @@ def _(t):
         "id", "decision", "error", "confidence", *comparison.TRUTH)
 
 
+@query("truth_rejects", """SELECT p.id, CASE WHEN m.id IS NULL THEN 'unknown_id' ELSE 'hash_mismatch' END AS problem
+   FROM {before_run} p LEFT JOIN {truth} m ON p.id=m.id WHERE m.id IS NULL OR m.sha256<>p.sha256
+  UNION ALL SELECT id, 'duplicate_id' FROM {before_run} GROUP BY id HAVING count(*) > 1""")
+def _(t):
+    return comparison.truth_mismatches(t.before_run, t.truth)
+
+
 @query("fill_not_attempted", """SELECT m.id, m.label, m.group_id, p.decision,
     CASE WHEN p.id IS NULL THEN 'not_attempted' ELSE p.error END AS error, p.elapsed_ms
     FROM {truth} m LEFT JOIN {before_run} p ON p.id=m.id""")

@@ -5,14 +5,14 @@ from pyspark.sql import functions as F
 from ..operators import joins as j
 from .registry import query
 
-CAND = "cd AS (SELECT doc_id AS id, substr(text,1,40) AS basename, substr(md5(text),1,8) AS crc, length(text) AS size, sha256(text) AS sha256 FROM {documents})"
-KNOWN = """kn AS (SELECT substr(text,1,40) AS basename, substr(md5(text),1,8) AS crc, length(text) AS size, sha256(text) AS sha256 FROM {benchmark}
-   UNION ALL SELECT substr(text,1,40), substr(md5(text),1,8), length(text), sha256(text) FROM {documents} WHERE doc_id % 11 = 4)"""
+CAND = "cd AS (SELECT doc_id AS id, md5(text) AS basename, substr(md5(text),1,8) AS crc, length(text) AS size, sha256(text) AS sha256 FROM {documents})"
+KNOWN = """kn AS (SELECT md5(text) AS basename, substr(md5(text),1,8) AS crc, length(text) AS size, sha256(text) AS sha256 FROM {benchmark}
+   UNION ALL SELECT md5(text), substr(md5(text),1,8), length(text), sha256(text) FROM {documents} WHERE doc_id % 11 = 4)"""
 
 
 def identity(df, *extra):
     text = F.col("text")
-    return df.select(*extra, F.substring(text, 1, 40).alias("basename"), F.substring(F.md5(text), 1, 8).alias("crc"),
+    return df.select(*extra, F.md5(text).alias("basename"), F.substring(F.md5(text), 1, 8).alias("crc"),
                      F.length(text).cast("long").alias("size"), F.sha2(text, 256).alias("sha256"))
 
 

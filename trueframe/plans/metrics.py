@@ -124,10 +124,11 @@ def _grid(name: str, low: str, high: str) -> str:
 @query("temperature_fit", "WITH " + FLAGS + """,
  x AS (SELECT ln(s/(1-s)) AS logit, n, k FROM (SELECT greatest(1e-6::DOUBLE, least(1-1e-6::DOUBLE, score)) AS s,
         count(*) AS n, sum(pos::INT) AS k FROM flags GROUP BY 1)),""" + _grid("one", "0.1::DOUBLE", "5.0::DOUBLE") + "," + _grid(
-    "two", "(SELECT greatest(0.1::DOUBLE, t-4.9::DOUBLE/98) FROM one)", "(SELECT least(5.0::DOUBLE, t+4.9::DOUBLE/98) FROM one)") + """
- SELECT round(t, 6) AS temperature, round(e, 6) AS ece FROM two""")
+    "two", "(SELECT greatest(0.1::DOUBLE, t-4.9::DOUBLE/98) FROM one)", "(SELECT least(5.0::DOUBLE, t+4.9::DOUBLE/98) FROM one)") + ",\n width AS (SELECT (least(5.0::DOUBLE, t+4.9::DOUBLE/98) - greatest(0.1::DOUBLE, t-4.9::DOUBLE/98))/98 AS w FROM one)," + _grid(
+    "three", "(SELECT greatest(0.1::DOUBLE, t-w) FROM two, width)", "(SELECT least(5.0::DOUBLE, t+w) FROM two, width)") + """
+ SELECT round(t, 6) AS temperature, round(e, 6) AS ece FROM three""")
 def _(t):
-    fit = m.temperature_fit(t.judged, rounds=1)
+    fit = m.temperature_fit(t.judged)
     return fit.select(F.round("temperature", 6).alias("temperature"), F.round("ece", 6).alias("ece"))
 
 
