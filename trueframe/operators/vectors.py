@@ -171,15 +171,22 @@ def unit_deltas(frames: DataFrame) -> DataFrame:
 
 def spatial_temporal_agg(frames: DataFrame, spatial: Whitening, temporal: Whitening) -> DataFrame:
     """Largest frame likelihood and smallest step likelihood of each clip; a
-    still step carries no information and never wins the minimum."""
+    still step carries no information and never wins the minimum. A clip of one
+    frame has no step: its temporal value is null and the problem is named."""
     still = whitened_loglik(frames, spatial).groupBy("clip_id").agg(F.max("loglik").alias("spatial"))
     steps = whitened_loglik(unit_deltas(frames), temporal, "unit")
     moving = steps.groupBy("clip_id").agg(F.min(F.when(F.col("still"), float("inf")).otherwise(F.col("loglik"))).alias("temporal"))
-    return still.join(moving, "clip_id")
+    return still.join(moving, "clip_id", "left").withColumn(
+        "problem", F.when(F.col("temporal").isNull(), "too_few_frames"))
 
 
 def percentile_score(scores: DataFrame, reference: DataFrame) -> DataFrame:
-    """Mean of the spatial and temporal percentile against reference clips."""
+    """Mean of the spatial and temporal percentile against reference clips.
+
+    Both tables are read several times: pass written ones. Clips without a
+    temporal value are left to their error row.
+    """
+    scores, reference = (df.filter(F.col("temporal").isNotNull()) for df in (scores, reference))
     from .ranking import calibration_rank
     a = calibration_rank(scores.select("clip_id", F.col("spatial").alias("score")), reference.select(F.col("spatial").alias("score")))
     b = calibration_rank(scores.select("clip_id", F.col("temporal").alias("score")), reference.select(F.col("temporal").alias("score")))
@@ -212,11 +219,21 @@ def head_logits(x: np.ndarray, h: dict[str, np.ndarray]) -> np.ndarray:
     normed = centred / np.sqrt((centred ** 2).mean(-1, keepdims=True) + 1e-5) * h["scale"] + h["shift"]
     hidden = normed @ h["w1"] + h["b1"]
     # exact GELU: x * Phi(x), with Phi from the error function
-    from math import erf
-    active = hidden * 0.5 * (1 + np.vectorize(erf)(hidden / np.sqrt(2.0)))
+    active = hidden * 0.5 * (1 + erf(hidden / np.sqrt(2.0)))
     return active @ h["w2"] + h["b2"]
 
 
+def erf(x: np.ndarray) -> np.ndarray:
+    """Error function by its all-positive series exp(-x^2) sum 2^n x^(2n+1) / (2n+1)!!, which is 1 to the last digit past 6."""
+    inside = np.clip(np.nan_to_num(x), -6.0, 6.0)
+    term, total, n = inside.copy(), inside.copy(), 0
+    while n < 160 and np.any(np.abs(term) > 1e-17 * np.abs(total)):
+        n += 1
+        term = term * (2 * inside * inside / (2 * n + 1))
+        total += term
+    return np.where(np.isnan(x), np.nan, 2 / np.sqrt(np.pi) * np.exp(-inside * inside) * total)
+
+
 def feature_splice(hosts: DataFrame, donors: DataFrame, pairs: DataFrame, length: int = 2) -> DataFrame:
     """Host frames with ``length`` frames from ``start`` on taken from the donor."""
     host = pairs.join(hosts.select(F.col("clip_id").alias("host_id"), "frame_no", F.col("embedding").alias("_h")), "host_id")

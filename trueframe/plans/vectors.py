@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import vectors as v
+from ..session import settled
 from .ranking import rounded
 from .registry import query
 
@@ -65,11 +66,29 @@ def _(t):
         "clip_id", "frame_no", "max_abs", "rel_l2", "passed"), "max_abs", "rel_l2")
 
 
-def fitted(t):
-    frames = t.vectors
-    spatial = v.whitening_fit(v.one_frame_per_clip(frames), DIM)
-    temporal = v.whitening_fit(v.unit_deltas(frames), DIM, "unit")
-    return spatial, temporal
+def formula(shift: float, period: int) -> v.Whitening:
+    """A whitening given by formula, so that plain SQL can follow it: x_i -> (x_i - shift) (1 + i % period / 8)."""
+    gains = 1 + np.arange(DIM) % period / 8
+    return v.Whitening(np.full(DIM, shift), np.diag(gains), 1 / gains ** 2)
+
+
+SPATIAL, TEMPORAL = (0.01, 7), (0.0, 5)
+
+
+def loglik_sql(vector: str, shift: float, period: int) -> str:
+    return (f"(-0.5::DOUBLE*({DIM}*ln(2*pi()) + list_sum(list_transform({vector}::DOUBLE[], "
+            f"lambda x, i: ((x-{shift}::DOUBLE)*(1+((i-1)%{period})/8.0::DOUBLE))**2))))")
+
+
+SCORES = f"""ll AS (SELECT clip_id, max({loglik_sql('embedding', *SPATIAL)}) AS spatial FROM {{vectors}} GROUP BY 1),
+  st AS (SELECT clip_id, list_transform(list_zip(embedding::DOUBLE[], (lead(embedding) OVER (PARTITION BY clip_id ORDER BY frame_no))::DOUBLE[]), lambda q: q[2]-q[1]) AS d FROM {{vectors}}),
+  un AS (SELECT clip_id, d, sqrt(list_sum(list_transform(d, lambda x: x*x))) AS n FROM st WHERE d[1] IS NOT NULL),
+  mv AS (SELECT clip_id, min(CASE WHEN n=0 THEN 'Infinity'::DOUBLE ELSE {loglik_sql('list_transform(d, lambda x: x/n)', *TEMPORAL)} END) AS temporal FROM un GROUP BY 1),
+  sc AS (SELECT ll.clip_id, spatial, temporal FROM ll LEFT JOIN mv ON ll.clip_id=mv.clip_id)"""
+
+
+def scores(t):
+    return settled(v.spatial_temporal_agg(t.vectors, formula(*SPATIAL), formula(*TEMPORAL)), "clip-scores")
 
 
 @query("whitening_fit", """WITH x AS (SELECT unnest(embedding::DOUBLE[]) AS q, generate_subscripts(embedding, 1) AS i, clip_id, frame_no FROM {vectors}),
@@ -82,20 +101,25 @@ def _(t):
         "kept", F.round("total_variance", 6).alias("total_variance"))
 
 
-@query("whitened_loglik")
+@query("whitened_loglik", f"SELECT clip_id, frame_no, round({loglik_sql('embedding', *SPATIAL)}, 6) AS loglik FROM {{vectors}}")
 def _(t):
-    return v.whitened_loglik(t.vectors, v.whitening_fit(t.vectors, DIM)).select("clip_id", "frame_no", F.round("loglik", 6).alias("loglik"))
+    return v.whitened_loglik(t.vectors, formula(*SPATIAL)).select("clip_id", "frame_no", F.round("loglik", 6).alias("loglik"))
 
 
-@query("spatial_temporal_agg")
+@query("spatial_temporal_agg", "WITH " + SCORES + """ SELECT clip_id, round(spatial,6) AS spatial, round(temporal,6) AS temporal,
+   CASE WHEN temporal IS NULL THEN 'too_few_frames' END AS problem FROM sc""")
 def _(t):
-    return rounded(v.spatial_temporal_agg(t.vectors, *fitted(t)), "spatial", "temporal", digits=6)
+    return rounded(v.spatial_temporal_agg(t.vectors, formula(*SPATIAL), formula(*TEMPORAL)), "spatial", "temporal", digits=6)
+
+
+RANK = "round((SELECT count(*) FROM ok r WHERE r.clip_id % 2 = 0 AND r.{0} <= j.{0})::DOUBLE / (SELECT count(*) FROM ok WHERE clip_id % 2 = 0), 9)"
 
 
-@query("percentile_score")
+@query("percentile_score", "WITH " + SCORES + ", ok AS (SELECT clip_id, round(spatial,6) AS spatial, round(temporal,6) AS temporal FROM sc WHERE temporal IS NOT NULL), pr AS (SELECT clip_id, "
+       + RANK.format("spatial") + " AS spatial, " + RANK.format("temporal") + " AS temporal FROM ok j) SELECT *, round(0.5::DOUBLE*(spatial+temporal), 9) AS score FROM pr")
 def _(t):
-    scores = v.spatial_temporal_agg(t.vectors, *fitted(t))
-    return v.percentile_score(scores, scores.filter("clip_id % 2 = 0"))
+    found = rounded(scores(t), "spatial", "temporal", digits=6)
+    return rounded(v.percentile_score(found, found.filter("clip_id % 2 = 0")), "spatial", "temporal", "score")
 
 
 def demo_head(width: int = DIM, hidden: int = 16) -> dict:
