@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -109,3 +110,29 @@ def test_null_key_stops_the_job(spark):
     df = spark.createDataFrame([(None, 1, 0), (1, 2, 0)], "k int, at int, cell int")
     with pytest.raises(Exception, match="null ordering key"):
         o.row_rank(df, ["k"], "cell", [F.col("at")]).collect()
+
+
+def test_score_bands_keep_order_and_spread_piled_scores(spark):
+    rng = np.random.default_rng(4)
+    piled = np.concatenate([1 - 0.001 * rng.random(9000), rng.random(500), 1e-5 * rng.random(480), [0.0, -0.0, 0.5, 1.0, 1e-320, 2.5, -0.3, -7.0, 1 - 2**-53, 30.0]])
+    df = spark.createDataFrame([(float(x),) for x in piled], "score double").select("score", o.score_bucket(F.col("score")).alias("band"))
+    got = sorted((r.score, r.band) for r in df.collect())
+    bands = [band for _, band in got]
+    assert bands == sorted(bands) and None not in bands
+    assert max(np.unique(bands, return_counts=True)[1]) < 0.01 * len(piled)
+
+
+@pytest.mark.parametrize("keys", [[], ["g"]])
+def test_quantiles_equal_sorting(spark, keys):
+    from trueframe.operators.comparison import quantiles
+    rng = np.random.default_rng(5)
+    rows = [(None if i % 5 == 0 else f"g{i % 3}", None if i % 7 == 0 else float(rng.integers(0, 30))) for i in range(200)] + [("none", None)]
+    got = {r["g"] if keys else 0: r for r in quantiles(spark.createDataFrame(rows, "g string, v double"), "v", keys).collect()}
+    for key in got:
+        v = sorted(x for g, x in rows if x is not None and (not keys or g == key))
+        r = got[key]
+        assert r.measured == len(v)
+        if v:
+            assert (r.median, r.p95, r.max) == (pytest.approx(np.quantile(v, .5)), pytest.approx(np.quantile(v, .95)), v[-1])
+            assert r.p95_nearest == v[int(np.ceil(.95 * len(v))) - 1]
+    assert len(got) == (len({g for g, _ in rows}) if keys else 1)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import completed, is_positive, truthy
 from ..functions.stats import mcnemar_exact, ratio
+from .ordered import running_sums, score_bucket
 
 TRUTH = ("group_id", "label", "split", "generator", "platform", "dataset", "transformation")
 
@@ -92,19 +93,36 @@ def mcnemar(paired: DataFrame) -> DataFrame:
 
 
 def quantiles(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Measured count, linear median and p95, nearest-rank p95 and maximum."""
-    grouped = df.groupBy(*keys) if keys else df
-    return grouped.agg(
-        F.count(value).alias("measured"), F.percentile(value, F.lit(0.5)).alias("median"),
-        F.percentile(value, F.lit(0.95)).alias("p95"),
-        F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})").alias("p95_nearest"),
-        F.max(value).alias("max"))
+    """Measured count, linear median and p95, nearest-rank p95 and maximum.
+
+    Exact, from counts per distinct value and their running sums, so no group's
+    values meet in one buffer.
+    """
+    key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))  # a struct, so that null keys join too
+    rows = df.select(key.alias("_key"), F.col(value).alias("_value"))
+    counts = rows.filter("_value IS NOT NULL").groupBy("_key", "_value").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = running_sums(counts.withColumn("_band", score_bucket(F.col("_value"))), ["_key"], "_band", ["_value"], {"_upto": F.col("_n")})
+    every = rows.select("_key").distinct() if keys else df.sparkSession.range(1).select(key.alias("_key"))
+    met = every.join(counts.groupBy("_key").agg(F.sum("_n").alias("_total")), "_key", "left").join(ranked, "_key", "left")
+    total, place = F.col("_total"), lambda q: (F.max("_total") - 1) * q
+    reached = lambda at: F.min(F.when(F.col("_upto") > at, F.col("_value")))
+
+    def linear(q: float) -> Column:
+        low, high = reached(F.floor((total - 1) * q)), reached(F.ceil((total - 1) * q))
+        between = (F.ceil(place(q)) - place(q)) * low + (place(q) - F.floor(place(q))) * high
+        return F.when(F.ceil(place(q)) == F.floor(place(q)), low.cast("double")).otherwise(between)
+
+    return met.groupBy("_key").agg(
+        F.coalesce(F.max("_total"), F.lit(0)).alias("measured"), linear(0.5).alias("median"), linear(0.95).alias("p95"),
+        reached(F.ceil(total * 0.95) - 1).cast("double").alias("p95_nearest"), F.max("_value").alias("max")).select(
+        *[F.col(f"_key.{k}").alias(k) for k in keys], "measured", "median", "p95", "p95_nearest", "max")
 
 
 def execution_by_pass(passes: DataFrame) -> DataFrame:
     """Recorded attempts per pass kind, mode and model; missing counts are not zeros."""
-    c = F.col
-    return passes.groupBy("kind", "mode", "model").agg(
+    c, key = F.col, ("kind", "mode", "model")
+    times = quantiles(passes, "elapsed_ms", key).select(F.struct(*key).alias("_key"), F.col("median").alias("median_ms"), F.col("p95").alias("p95_ms"))
+    return passes.groupBy(F.struct(*key).alias("_key")).agg(
         F.count(F.lit(1)).alias("observed"), F.count_if(c("status") == "complete").alias("complete"),
         F.count_if(c("status") == "failed").alias("failed"),
         F.count_if(~truthy(c("status").isin("complete", "failed"))).alias("unknown"),
@@ -113,8 +131,7 @@ def execution_by_pass(passes: DataFrame) -> DataFrame:
         F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("output_tokens"),
         F.count_if(c("input_tokens").isNull()).alias("missing_input"),
         F.count_if(c("output_tokens").isNull()).alias("missing_output"),
-        F.count("elapsed_ms").alias("measured"), F.percentile("elapsed_ms", F.lit(0.5)).alias("median_ms"),
-        F.percentile("elapsed_ms", F.lit(0.95)).alias("p95_ms"))
+        F.count("elapsed_ms").alias("measured")).join(times, "_key").select("_key.*", "*").drop("_key")
 
 
 def usage_totals(passes: DataFrame) -> DataFrame:

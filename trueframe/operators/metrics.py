@@ -75,13 +75,21 @@ def rates(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def breakdown(df: DataFrame, slices: Sequence[str] = SLICES) -> DataFrame:
-    """Confusion counts overall and by each slice column in one pass."""
+    """Confusion counts overall and by each slice column in one pass.
+
+    Rows are summed per group and combination of slices before they are
+    repeated for every slice.
+    """
+    names = [c for c in COUNTS if c not in ("attempted", "errors", "source_groups")]
     flagged = outcome_flags(df).select(
         "group_id", *[F.coalesce(F.col(s).cast("string"), F.lit("unknown")).alias(s) for s in slices],
-        *[f"is_{c}" for c in COUNTS if c not in ("attempted", "errors", "source_groups")])
+        *[F.col(f"is_{c}").alias(c) for c in names])
+    summed = flagged.groupBy("group_id", *slices).agg(F.count(F.lit(1)).alias("attempted"), *[F.sum(c).alias(c) for c in names])
     sets = [[F.col(s)] for s in slices] + [[]]
-    grouped = flagged.groupingSets(sets, *[F.col(s) for s in slices]).agg(
-        *confusion_aggs(), *[F.grouping(s).alias(f"_g_{s}") for s in slices])
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    grouped = summed.groupingSets(sets, *[F.col(s) for s in slices]).agg(
+        *[total(c).alias(c) for c in ("attempted", *names)], (total("attempted") - total("completed")).alias("errors"),
+        F.count_distinct("group_id").alias("source_groups"), *[F.grouping(s).alias(f"_g_{s}") for s in slices])
     which = F.lit("overall")
     value = F.lit("all")
     for s in slices:

@@ -20,11 +20,11 @@ def dist(a, b):
    round(list_sum(list_transform(list_zip(x,y), lambda q: abs(q[2]-q[1]))),9) AS absolute FROM e WHERE y IS NOT NULL
    UNION ALL SELECT clip_id, frame_no, NULL, NULL, 0 FROM e WHERE y IS NULL""")
 def _(t):
-    signed = v.frame_deltas(t.vectors).select("clip_id", "frame_no", v.norm(F.col("delta")).alias("length"),
-                                              F.col("delta")[0].alias("head"))
-    total = F.aggregate("delta", F.lit(0.0), lambda a, x: a + x)
-    whole = v.frame_deltas(t.vectors, absolute=True).select("clip_id", "frame_no", total.alias("absolute"))
-    return rounded(whole.join(signed, ["clip_id", "frame_no"], "left"), "length", "head", "absolute")
+    a, b = v.as_doubles(F.col("embedding")), v.as_doubles(F.col("next_1"))
+    delta = v.minus(b, a)  # null at the last frame of a clip
+    total = F.coalesce(F.aggregate(delta, F.lit(0.0), lambda acc, x: acc + F.abs(x)), F.lit(0.0))
+    return rounded(v.ahead(t.vectors).select("clip_id", "frame_no", v.norm(delta).alias("length"), delta[0].alias("head"),
+                                             total.alias("absolute")), "length", "head", "absolute")
 
 
 @query("velocity_jerk", "WITH " + E + f""" SELECT clip_id, frame_no, round({dist('x','y')},9) AS speed,
