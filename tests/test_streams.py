@@ -130,3 +130,34 @@ def test_budget_runs_on_over_batches(spark, stream, events, tmp_path):
     for i in range(300):
         total += i % 7 + 1
         assert got[i] == (total, "over_budget" if total > 900 else None)
+
+
+def test_late_rows_come_out_marked_and_change_nothing(spark, events, tmp_path):
+    """Files out of order: what is in order per key equals the batch rule, the rest is counted."""
+    import os
+    parts = [events[100:200], events[:100], events[200:]]
+    source = tmp_path / "late"
+    source.mkdir()
+    for n, rows in enumerate(parts):
+        spark.createDataFrame(rows, SHAPE).coalesce(1).write.parquet(str(tmp_path / f"late{n}"))
+        target = source / f"{n}.parquet"
+        target.write_bytes(next((tmp_path / f"late{n}").glob("*.parquet")).read_bytes())
+        os.utime(target, (1_000_000 + n, 1_000_000 + n))
+    late = spark.readStream.schema(SHAPE).option("maxFilesPerTrigger", 1).parquet(str(source))
+    seen_first = {e[0] for e in parts[0]}
+    dropped = {e[2] for e in parts[1] if e[0] in seen_first}
+    kept = [e for e in events if e[2] not in dropped]
+
+    rows = collected(spark, jobs.coalesce_requests(late, "case_id", 60_000_000).withColumnRenamed("key", "k"), "late")
+    assert {r.event_id for r in rows if r.late} == dropped
+    got = {r.event_id: r.leader for r in rows if not r.late}
+    for items in by_case(kept).values():
+        leader, opened = None, None
+        for _, at, i, *_ in items:
+            if opened is None or at >= opened + 60_000_000:
+                leader, opened = i, at
+            assert got[i] == leader
+    errors = collected(spark, jobs.error_stop(late), "late-errors")
+    assert {r.event_id for r in errors if r.late} == dropped
+    runs = collected(spark, jobs.runs(late, 600_000_000), "late-runs")
+    assert {r.first_event_id for r in runs if r.late} == dropped

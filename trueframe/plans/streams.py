@@ -52,13 +52,13 @@ def _(t):
    FROM w JOIN o ON o.key=w.key AND o.i=w.i+1) SELECT key, event_id, leader, leader=event_id AS opened_flight FROM w""")
 def _(t):
     rows = bound(t, "samples").select(F.col("case_id").alias("key"), "at_us", "event_id")
-    return finished(t, jobs.coalesce_requests(rows, "key", 12 * HOUR_US), "coalesce")
+    return finished(t, jobs.coalesce_requests(rows, "key", 12 * HOUR_US), "coalesce").filter("NOT late").drop("late")
 
 
 @query("stream_runs", "WITH " + VALID + ", " + RUNS + " SELECT case_id, first_event_id, n, f AS first_nano, l AS last_nano, max_score FROM runs")
 def _(t):
     rows = bound(t, "samples").withColumn("valid", F.col("score").isNotNull() & (F.col("nano") >= 0) & (F.col("nano") < 31_000_000_000)).fillna(0.0, ["score"])
-    out = finished(t, jobs.runs(rows, 600_000_000), "runs")
+    out = finished(t, jobs.runs(rows, 600_000_000), "runs").filter("NOT late")
     # a run seen open in one batch and closed in a later one keeps its longest form
     return out.groupBy("case_id", "first_event_id").agg(
         F.max("n").alias("n"), F.min("first_nano").alias("first_nano"), F.max("last_nano").alias("last_nano"), F.max("max_score").alias("max_score"))
@@ -69,7 +69,7 @@ def _(t):
   SELECT case_id, at_us, event_id, error FROM l WHERE error=e1 AND error=e2 QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY i)=1""")
 def _(t):
     rows = bound(t, "samples").withColumn("error", F.when(F.col("event_type").isin("error", "view"), F.col("event_type")))
-    return finished(t, jobs.error_stop(rows), "errors")
+    return finished(t, jobs.error_stop(rows), "errors").filter("NOT late").drop("late")
 
 
 @query("stream_op_budget", """SELECT seq, kind, reserved, CASE WHEN sequence <> rn THEN 'sequence_gap' WHEN kind='reserve' AND reserved > 2000000000 THEN 'over_budget' END AS problem

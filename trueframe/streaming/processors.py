@@ -2,7 +2,9 @@
 
 State is a few numbers per key, whatever the key's traffic. Rows of one key
 arrive in any order inside a micro-batch, so each batch is ordered by time
-first; the source's batch limit bounds it. No processing-time timer is set:
+first; the source's batch limit bounds it. A row older than what an earlier
+batch has settled for its key is late: it comes out marked, changes nothing,
+and can be counted or replayed. No processing-time timer is set:
 with one, a run-until-used-up trigger would never end.
 """
 
@@ -13,21 +15,34 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+
 class Ordered(StatefulProcessor):
-    """Common part: one value state and batch ordering."""
+    """Common part: one value state, batch ordering, and the newest row settled so far."""
 
     schema = ""
     order = ("at_us", "event_id")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", self.schema)
+        self.state = handle.getValueState("state", f"{self.schema}, newest_at bigint, newest_id bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True).sort_values(list(self.order), kind="stable")
-        known = self.state.get() if self.state.exists() else None
-        out, new = self.advance(key, batch, known)
-        self.state.update(new)
-        yield out
+        known = tuple(self.state.get()) if self.state.exists() else None
+        if known:
+            newest_at, newest_id = known[-2:]
+            old = (batch["at_us"] < newest_at) | ((batch["at_us"] == newest_at) & (batch["event_id"] < newest_id))
+            if old.any():
+                yield self.late(key, batch[old]).assign(late=True)
+                batch = batch[~old]
+        if len(batch):
+            out, new = self.advance(key, batch, known[:-2] if known else None)
+            last = batch.iloc[-1]
+            self.state.update((*new, int(last["at_us"]), int(last["event_id"])))
+            yield out.assign(late=False)
+
+    def late(self, key, rows) -> pd.DataFrame:
+        """Output rows of late input."""
+        raise NotImplementedError
 
     def close(self) -> None:
         pass
@@ -39,6 +54,16 @@ class Admission(Ordered):
     reported as late and change nothing."""
 
     schema = "times array<bigint>, seen bigint"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", self.schema)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(list(self.order), kind="stable")
+        out, new = self.advance(key, batch, self.state.get() if self.state.exists() else None)
+        self.state.update(new)
+        yield out
+
     output = "key bigint, event_id bigint, at_us bigint, outcome string, retry_after bigint"
 
     def __init__(self, limit: int, window_us: int, late_us: int | None = None):
@@ -73,7 +98,11 @@ class Coalesce(Ordered):
     """Rows of a key join the flight its first row opened until it has landed."""
 
     schema = "leader bigint, opened bigint"
-    output = "key bigint, event_id bigint, leader bigint, opened_flight boolean"
+    output = "key bigint, event_id bigint, leader bigint, opened_flight boolean, late boolean"
+
+    def late(self, key, rows):
+        return pd.DataFrame({"key": int(key[0]), "event_id": rows["event_id"].astype("int64"),
+                             "leader": pd.array([None] * len(rows), dtype="Int64"), "opened_flight": pd.array([None] * len(rows), dtype="boolean")})
 
     def __init__(self, flight_us: int):
         self.flight_us = flight_us
@@ -96,7 +125,12 @@ class Runs(Ordered):
     still open after a batch is emitted as open, to be replaced later."""
 
     schema = "first bigint, n bigint, start bigint, last bigint, top double"
-    output = "case_id bigint, first_event_id bigint, n bigint, first_nano bigint, last_nano bigint, max_score double, open boolean"
+    output = "case_id bigint, first_event_id bigint, n bigint, first_nano bigint, last_nano bigint, max_score double, open boolean, late boolean"
+
+    def late(self, key, rows):
+        """A late sample as a run of no samples at its own position."""
+        return pd.DataFrame({"case_id": int(key[0]), "first_event_id": rows["event_id"].astype("int64"), "n": 0, "first_nano": rows["nano"].astype("int64"),
+                             "last_nano": rows["nano"].astype("int64"), "max_score": rows["score"].astype(float), "open": False})
 
     def __init__(self, max_gap_nano: int, threshold: float = 0.5):
         self.max_gap, self.threshold = max_gap_nano, threshold
@@ -126,7 +160,10 @@ class ErrorStop(Ordered):
     """Emits a key once, at its ``length``-th identical consecutive error."""
 
     schema = "error string, streak int, stopped boolean"
-    output = "case_id bigint, at_us bigint, event_id bigint, error string"
+    output = "case_id bigint, at_us bigint, event_id bigint, error string, late boolean"
+
+    def late(self, key, rows):
+        return pd.DataFrame({"case_id": int(key[0]), "at_us": rows["at_us"].astype("int64"), "event_id": rows["event_id"].astype("int64"), "error": rows["error"]})
 
     def __init__(self, length: int = 3):
         self.length = length
