@@ -67,11 +67,10 @@ def round_robin(df: DataFrame, digest: Column, labels: Sequence[str], final: Col
 
 def stratified_split(df: DataFrame, source: str, name: str, cap: int, salt: str = "sample-v1:") -> DataFrame:
     """Up to ``cap`` rows of each source by hash, a tenth (at least one) of them validation."""
-    ranked = hash_rank(df, [source], sha(salt, F.col(name)), name, total="_n")
-    kept = F.least(F.col("_n"), F.lit(cap))
+    picked = hash_ranked_sample(df, source, name, cap, salt)
+    kept = F.count(F.lit(1)).over(W.partitionBy(source))  # of at most ``cap`` rows
     held = F.greatest(F.lit(1), F.floor(kept * 0.1))
-    return ranked.filter(F.col("rank") <= cap).withColumn(
-        "split", F.when(F.col("rank") <= held, "validation").otherwise("train")).drop("_n")
+    return picked.withColumn("split", F.when(F.col("rank") <= held, "validation").otherwise("train"))
 
 
 def split_three_way(df: DataFrame, source: str, name: str, train: float = 0.8, val: float = 0.1,

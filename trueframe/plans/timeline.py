@@ -26,6 +26,11 @@ def valid(t):
     return tl.sample_validity(placed(t.samples), F.lit(31))
 
 
+def judged_rows(t):
+    """The same without buckets, for what needs no order."""
+    return tl.sample_validity(positioned(t.samples), F.lit(31))
+
+
 VALID = """v AS (SELECT *, nano/1e9::DOUBLE AS position, score IS NOT NULL AND nano >= 0 AND nano < 31000000000 AS valid,
     CASE WHEN score IS NOT NULL AND nano >= 0 AND nano < 31000000000 THEN score >= 0.5 END AS positive,
     row_number() OVER (PARTITION BY case_id ORDER BY at_us, event_id) AS i FROM {samples})"""
@@ -45,7 +50,7 @@ RUNS = RUNS.replace("""  b AS (SELECT *, sum(CASE WHEN pp AND gap > 0 AND gap <=
   'position_not_in_media' || CASE WHEN score IS NULL THEN '|score_not_in_unit_interval' ELSE '' END
   WHEN score IS NULL THEN 'score_not_in_unit_interval' ELSE '' END AS issues FROM v""")
 def _(t):
-    return valid(t).select("event_id", "case_id", "valid", "positive", F.array_join("issues", "|").alias("issues"))
+    return judged_rows(t).select("event_id", "case_id", "valid", "positive", F.array_join("issues", "|").alias("issues"))
 
 
 @query("persistent_runs", "WITH " + VALID + ", " + RUNS + """ SELECT case_id, first_event_id, n, f/1e9::DOUBLE AS first_position,
@@ -69,8 +74,8 @@ COVER = """ends AS (SELECT case_id, count(*) FILTER (NOT valid) AS bad, arg_min(
 LIMITS = dict(first_max=Decimal("2"), max_gap=Decimal("2.5"), tail_gap=Decimal("3"))
 
 
-def issues(t):
-    return tl.coverage_issues(valid(t), t.cases, ORDER, "day", **LIMITS)
+def issues(t, rows=None):
+    return tl.coverage_issues(valid(t) if rows is None else rows, t.cases, ORDER, "day", **LIMITS)
 
 
 @query("coverage_gaps", "WITH " + VALID + ", " + COVER + " SELECT case_id, issue, \"at\" FROM iss")
@@ -87,7 +92,8 @@ ALL_VERDICT = VALID + ", " + RUNS + ", " + COVER + ", " + VERDICT
 
 
 def verdicts(t):
-    return tl.temporal_verdict(t.cases, issues(t), tl.persistent_runs(valid(t), ORDER, "day"))
+    rows = valid(t)
+    return tl.temporal_verdict(t.cases, issues(t, rows), tl.persistent_runs(rows, ORDER, "day"))
 
 
 @query("temporal_verdict", "WITH " + ALL_VERDICT + """ SELECT case_id, ci AS coverage_issues, np AS persistent, ni AS isolated, complete,
@@ -120,7 +126,7 @@ def _(t):
 
 @query("sample_flag_counts", "WITH " + VALID + " SELECT case_id, count(*) FILTER (valid AND positive) AS flagged, count(*) AS total FROM v GROUP BY 1")
 def _(t):
-    return tl.sample_flag_counts(valid(t))
+    return tl.sample_flag_counts(judged_rows(t))
 
 
 @query("op_reservation", """SELECT id, reserved, CASE WHEN operations IS NULL THEN 'unknown_operations' ELSE '' END
