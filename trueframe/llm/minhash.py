@@ -12,10 +12,12 @@ anywhere else needs no posting at all (skip). So frequent passages are posted
 only by documents that consist of little else.
 
 Links are only needed up to connectivity, and a group of near copies is never
-expanded into all pairs: first each posting list is tried against a few heads,
-the confirmed links are closed to components, and only pairs of a list that
-still lie in different components are counted and confirmed in full, so no link
-between different components is left out.
+expanded into rows of all pairs: first each posting list is tried against a few
+heads and the confirmed links are closed to components. Lists that still hold
+several components are then counted block against block inside tasks: a pair of
+different components is taken up under the smallest key both are posted under,
+confirmed where it was counted, and only a spanning set of the links leaves the
+task. So no link between different components is left out.
 
 Defined results. Null or empty text, or only white space: an empty set, linked
 with nothing, its own component. Fewer than five words: the whole sequence is
@@ -31,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -152,37 +155,137 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long").distinct()
 
 
+_OPEN = "key long, low long, high long, docs array<long>, pairs binary"
+
+
+def _counted(key: int, mine: np.ndarray, rep: np.ndarray, component: np.ndarray, size: np.ndarray, sig: np.ndarray,
+             posted: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (a, b) of a block pair that agree enough, lie in different components and have no smaller common key."""
+    if len(rep) <= 64:
+        agree = (sig[:, None, :] == sig[None, :, :]).sum(axis=2)
+    else:
+        agree = np.zeros((len(rep), len(rep)), np.uint8)
+        for j in range(sig.shape[1]):
+            agree += sig[:, None, j] == sig[None, :, j]
+    near = (agree >= AGREE) & (component[:, None] != component[None, :]) & (rep[:, None] < rep[None, :])
+    near &= 100 * np.minimum(size[:, None], size[None, :]) >= percent * np.maximum(size[:, None], size[None, :])
+    if mine.min() != mine.max():
+        near &= mine[:, None] != mine[None, :]
+    if near.any():
+        owner = np.repeat(np.arange(len(rep)), [len(k) for k in posted])
+        keys = np.concatenate(posted)
+        owner, keys = owner[keys < key], keys[keys < key]
+        _, column, n = np.unique(keys, return_inverse=True, return_counts=True)
+        common = np.flatnonzero(n[column] > 1) if len(keys) else np.zeros(0, np.int64)
+        if len(common):
+            _, column = np.unique(column[common], return_inverse=True)
+            for at in range(0, int(column.max()) + 1, 2048):
+                part = (column >= at) & (column < at + 2048)
+                has = np.zeros((len(rep), 2048), np.float32)
+                has[owner[common][part], column[part] - at] = 1
+                near &= has @ has.T == 0
+    return np.nonzero(near)
+
+
+def _open_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs of each block pair, packed: the documents and pairs of their places."""
+    def emit(group: pa.Table) -> tuple | None:
+        column = lambda name: group[name].to_numpy()
+        rep = column("rep")
+        if len(rep) < 2:
+            return None
+        key = int(group["key"][0].as_py())
+        sig = group["sig"].combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
+        a, b = _counted(key, column("mine"), rep, column("component"), column("n"), sig, [np.asarray(k) for k in group["posted"].to_pylist()], percent)
+        if not len(a):
+            return None
+        docs, places = np.unique(np.concatenate([a, b]), return_inverse=True)
+        return key, group["low"][0].as_py(), group["high"][0].as_py(), rep[docs].tolist(), places.astype(np.int32).tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+        waiting: list[pa.Table] = []
+        last = None
+
+        def done(tables: list[pa.Table]) -> list[pa.RecordBatch]:
+            row = emit(pa.concat_tables(tables)) if tables else None
+            return [pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=["key", "low", "high", "docs", "pairs"])] if row else []
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            ids = np.stack([table[c].to_numpy() for c in ("key", "low", "high")], axis=1)
+            cuts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1).tolist(), len(ids)]
+            for i, j in zip(cuts, cuts[1:]):
+                if i == j:
+                    continue
+                now = tuple(ids[i].tolist())
+                if now != last:
+                    yield from done(waiting)
+                    waiting, last = [], now
+                waiting.append(table.slice(i, j - i))
+        yield from done(waiting)
+
+    dealt = lists.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return dealt.select("key", "low", "high", "mine", "rep", "component", "n", "sig", "posted").mapInArrow(run, _OPEN)
+
+
+def _spanning(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that span what the packed pairs confirm, block pair by block pair."""
+    def run(found: pa.Table, packed: pa.Table) -> pa.Table:
+        known, sets, links = WordHashes(), {}, []
+        for doc, text in zip(found["doc"].to_pylist(), found["text"].to_pylist()):
+            sets.setdefault(doc, []).append(shingle_hashes(blank_split(text), known))
+        for docs, blob in zip(packed["docs"].to_pylist(), packed["pairs"].to_pylist()):
+            a, b = np.frombuffer(blob, np.int32).reshape(2, -1)
+            root = np.arange(len(docs))
+            for i, j in zip(a.tolist(), b.tolist()):
+                if root[i] != root[j] and any(similar(x, y, percent) for x in sets.get(docs[i], ()) for y in sets.get(docs[j], ())):
+                    links.append((docs[i], docs[j]))
+                    root[root == root[j]] = root[i]
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    key = ["key", "low", "high"]
+    asked = pairs.select(*[F.col(c).alias(f"for_{c}") for c in key], F.explode("docs").alias("doc"))
+    wanted = asked.join(texts.select(F.col("doc_id").alias("doc"), "text"), "doc")
+    return wanted.groupBy(*[f"for_{c}" for c in key]).cogroup(pairs.groupBy(*key)).applyInArrow(run, "a long, b long")
+
+
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets of hashes reach the similarity."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    at = np.searchsorted(b, a)
+    both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     rows = written(signed(docs, id_col, text_col), "signed")
     classes = written(rows.filter("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(
-        F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
+        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
     postings = written(_postings(classes), "postings")
-    posted = postings.select("rep").distinct()
-    sigs = written(classes.join(posted, "rep", "left_semi").select("rep", "sig"), "posted")
+    posted = postings.groupBy("rep").agg(F.collect_set("key").alias("posted"))
+    sigs = written(classes.join(posted, "rep").select("rep", "n", "sig", "posted"), "posted")
     texts = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).join(
         sigs.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "posted-texts")
 
     # a few heads per list
     drawn = F.xxhash64("rep", F.pmod(F.xxhash64("key"), F.lit(HEADS)))
-    heads = postings.groupBy("key").agg(F.min_by("rep", drawn).alias("head"), F.count(F.lit(1)).alias("n"))
+    heads = postings.groupBy("key").agg(F.min_by("rep", drawn).alias("head"))
     stars = postings.join(heads, "key").filter("rep <> head").select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b")).distinct()
     first = written(_confirmed(_agree(stars, sigs), texts, percent), "first-links")
     labels = components(first)
 
-    # what is left: pairs of a list in different components
+    # what is left: lists with several components, block against block
     placed = postings.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         "key", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).filter(
-        "low <> high").select("key", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    open_ = written(placed.join(mixed, "key").join(sigs, "rep").select("key", "rep", "component", "sig", "blocks"), "open-lists")
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks"))
-    one = open_.select("key", block.alias("block"), F.col("rep").alias("a"), F.col("component").alias("component_a"), F.col("sig").alias("sig_a"))
-    two = open_.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("rep").alias("b"),
-                       F.col("component").alias("component_b"), F.col("sig").alias("sig_b"))
-    met = one.join(two, (one["key"] == two["key"]) & (one["block"] == two["block"]) & (F.col("a") < F.col("b")) & (
-        F.col("component_a") != F.col("component_b")) & (_agreeing(F.col("sig_a"), F.col("sig_b")) >= AGREE)).select("a", "b").distinct()
-    second = _confirmed(met.join(stars, ["a", "b"], "left_anti"), texts, percent)
+    several = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("posts")).filter(
+        "least <> most").select("key", F.ceil(F.col("posts") / BLOCK).alias("blocks"))
+    dealt = placed.join(several, "key").join(sigs, "rep").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn(
+        "low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other"))
+    second = _spanning(written(_open_pairs(dealt, percent), "open-pairs"), texts, percent)
     final = components(first.unionByName(second))
 
     reps = classes.select(F.col("set_id").alias("class_id"), "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
