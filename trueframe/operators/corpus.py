@@ -96,7 +96,7 @@ SKIPPED_SOURCES = ("zeroscope",)
 
 def generator_family(name: Column) -> Column:
     """Exact name first, then the first family name that contains or is contained."""
-    word = F.translate(F.lower(F.trim(name)), "- ", "__")
+    word = F.translate(F.lower(F.regexp_replace(name, r"(?U)^\s+|\s+$", "")), "- ", "__")
     exact = [(word == key, kind) for key, kind in GENERATOR_FAMILIES]
     loose = [(F.contains(word, F.lit(key)) | F.contains(F.lit(key), word), kind) for key, kind in GENERATOR_FAMILIES]
     return first_of(*exact, *loose, otherwise="unknown")

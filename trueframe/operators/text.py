@@ -36,8 +36,8 @@ def comment_batch(comments: DataFrame, order: str, block: int = 4096, limit: int
     return ranked.withColumn("text", ft.one_line(F.col("text"), limit)).drop("_b")
 
 
-RECORD = ("extractor string, extractorKey string, id string, displayId string, playlistCount double, "
-          "playlistIndex double, description string")
+RECORD = ("extractor string, extractorKey string, id string, displayId string, playlistCount string, "
+          "playlistIndex string, description string")
 
 
 def match_metadata(posts: DataFrame, record: str = "record") -> DataFrame:
@@ -53,7 +53,8 @@ def match_metadata(posts: DataFrame, record: str = "record") -> DataFrame:
     name = F.when(F.col("platform") == "x", "twitter").otherwise(F.col("platform"))
     pretty = first_of((F.col("platform") == "x", "Twitter"), (F.col("platform") == "instagram", "Instagram"), (F.col("platform") == "tiktok", "TikTok"))
     media, shown = safe(c("id")), safe(c("displayId"))
-    count, index = F.coalesce(c("playlistCount"), F.lit(0.0)), F.coalesce(c("playlistIndex"), F.lit(0.0))
+    number = lambda f: F.coalesce(c(f).try_cast("double"), F.lit(0.0))  # noqa: E731  (a count may come as text)
+    count, index = number("playlistCount"), number("playlistIndex")
     asked = F.when(F.col("platform") == "x", shown).otherwise(media)
     reject = first_of(
         (~F.col("platform").isin("instagram", "tiktok", "x"), "platform_not_supported"),
