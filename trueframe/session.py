@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import sys
 import tempfile
 import uuid
@@ -41,7 +43,7 @@ def local_session(cores: str | int = "*", app: str = "trueframe") -> SparkSessio
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-"))
+        .config("spark.checkpoint.dir", _own_folder(app))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -64,7 +66,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 @cache
 def _own_folder(application: str) -> str:
-    return tempfile.mkdtemp(prefix="spark-")
+    """A local folder for one process, removed when it ends."""
+    folder = tempfile.mkdtemp(prefix="spark-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def spread(df: DataFrame) -> DataFrame:
