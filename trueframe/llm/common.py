@@ -13,9 +13,17 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows in one Arrow batch: whole texts travel, so a batch is kept to a few megabytes.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let closures carry this package, so executors need no installed copy."""
+    """Let closures carry this package, so executors need no installed copy, and
+    bound the batches that go to Python workers."""
     cloudpickle.register_pickle_by_value(sys.modules[__package__])
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     return spark
 
 

@@ -62,7 +62,7 @@ class WordHashes(dict):
 
     def __missing__(self, word: str) -> int:
         value = int.from_bytes(hashlib.blake2b(word.translate(_UP).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = value
         return value
