@@ -267,13 +267,14 @@ def _marks(chunked: DataFrame, copies: DataFrame, buckets: int) -> tuple[DataFra
             first, number = distinct(got, low, high)
             least = np.full(len(first), FAR)
             np.minimum.at(least, number, ids[of])
-            out.append((b, chunk, got[first].tobytes(), low[first].astype(np.uint8).tobytes(), high[first].astype(np.uint8).tobytes(),
+            out.append((b, chunk, pa.compress(got[first].tobytes(), codec="zstd", asbytes=True), low[first].astype(np.uint8).tobytes(), high[first].astype(np.uint8).tobytes(),
                         least.tobytes(), number.astype(np.int32).tobytes(), ids[of].tobytes(), of.astype(np.int32).tobytes(),
                         place.astype(np.int32).tobytes()))
         return _table(_CONTEXTS, out)
 
     def marked(table: pa.Table) -> pa.Table:
-        parts = [a.reshape(-1, WIDTH) for a in _arrays(table["context"], np.uint8)]
+        parts = [np.frombuffer(pa.decompress(packed, len(low) * WIDTH, codec="zstd"), np.uint8).reshape(-1, WIDTH)
+                 for packed, low in zip(table["context"].to_pylist(), table["low"].to_pylist())]
         sizes = np.cumsum([0, *map(len, parts)])
         every = np.concatenate(parts)
         low, high = (np.concatenate(_arrays(table[c], np.uint8)).astype(np.int64) for c in ("low", "high"))
