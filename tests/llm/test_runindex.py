@@ -91,6 +91,12 @@ def test_cleaned_texts_and_other_columns(documents):
     assert texts[2][0] == "twofin" and texts[4][0] == "" and texts[6][0] == "a"
 
 
+def test_many_rows_without_an_id(documents):
+    rng = random.Random(4)
+    rows = [(None, words(rng, 30)) for _ in range(700)] + [(1, words(rng, 30))]
+    assert got(runindex.removal(documents(rows))) == plain(rows)
+
+
 def test_empty_table(documents):
     assert got(runindex.removal(documents([]))) == []
     assert runindex.cleaned(documents([])).count() == 0

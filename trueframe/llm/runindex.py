@@ -209,7 +209,9 @@ def _chunked(docs: DataFrame, id_col: str, text_col: str, also: list[str]) -> tu
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(text_of(text_col), "UTF-8").alias("body"),
                        *[F.col(f"`{c}`").alias(f"also_{i}") for i, c in enumerate(also)])
     count, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()
-    chunk = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-count // CHUNK)))).alias("chunk")
+    # rows without an id are dealt by their text, so that they do not meet in one chunk
+    dealt = F.xxhash64(F.when(F.col("doc_id").isNull(), F.col("body")), "doc_id")
+    chunk = F.pmod(dealt, F.lit(max(1, -(-count // CHUNK)))).alias("chunk")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = rows.filter(F.octet_length("body") >= LENGTH).select("doc_id", chunk, F.sha2("body", 256).alias("digest"))
     # copies of a digest in a document with a larger id than its least
