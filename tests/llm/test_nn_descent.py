@@ -57,6 +57,24 @@ def test_saturated_lists_are_enlarged(work):
     assert got(nn_descent.near_duplicates(make(work, rows))) == plain(rows)
 
 
+def test_full_lists_of_two_tight_groups_and_a_vector_between(work):
+    rng = np.random.default_rng(6)
+
+    def around(angle, size, noise=0.002):
+        centre = np.zeros(32)
+        centre[:2] = np.cos(angle), np.sin(angle)
+        return [(centre + noise * rng.standard_normal(32)).tolist() for _ in range(size)]
+
+    # 0.985 between the groups, 0.9998 inside
+    near = float(np.arccos(0.985))
+    rows = [(i, v, 0) for i, v in enumerate(around(0, 100) + around(near, 100))]
+    # two groups out of each other's reach, and one vector that links with both
+    far = [(500 + i, v, 1) for i, v in enumerate(around(0, 60) + around(1.8 * near, 60) + around(0.88 * near, 1, 0))]
+    found = got(nn_descent.near_duplicates(make(work, rows + far)))
+    assert found == plain(rows + far)
+    assert {r[1] for r in found if r[0] < 500} == {199} and {r[2] for r in found} == {0, 500}
+
+
 def test_rounds_find_what_the_leaves_missed(work):
     vectors = clusters(4, [1] * 150 + [6] * 15, 0.01)
     _, points = nn_descent.nodes(make(work, [(i, v, 0) for i, v in enumerate(vectors)]))

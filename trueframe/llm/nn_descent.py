@@ -13,7 +13,10 @@ enlarged and refined again while it is too low.
 A list that holds only neighbours above the threshold is saturated: there may
 be more. Saturated lists are enlarged to all vectors that can be reached through
 threshold edges, block against block, and the links are counted there, so large
-groups of near copies give exact counts without a row per pair.
+groups of near copies give exact counts without a row per pair. A pair that no
+list holds because both its lists are full is found apart: full vectors of a
+component form balls (centre and largest angle), and two balls of different
+components are compared whole unless their angle rules a link out.
 
 Defined results. Null vectors, vectors of length zero, with null or non-finite
 components, or without a label link with nothing: n_links 0, component their own
@@ -44,6 +47,8 @@ ROUNDS, CHANGED = 3, 0.01
 #: Vectors audited, and the recall they must show.
 AUDITED, RECALL = 512, 0.99
 GROUP_BLOCK = 512
+#: Balls compared with each other in one task.
+BALL_BLOCK = 1024
 EDGES = "a long, b long, near double"
 
 
@@ -181,9 +186,65 @@ def _audit(lists: DataFrame, points: DataFrame, threshold: float) -> float:
     return counted[1] / counted[0] if counted[0] else 1.0
 
 
-def neighbour_lists(points: DataFrame, threshold: float, k: int = NEIGHBOURS) -> tuple[DataFrame, float]:
-    """The refined graph (a, b, near) and its audited recall."""
-    lists = recall = None
+def _bridges(placed: DataFrame, lists: DataFrame, threshold: float, k: int) -> DataFrame:
+    """Links (a, b) between components whose vectors' lists are full, at least one for any two that are linked.
+
+    A vector whose list is not full lists its links itself, so only full ones are compared.
+    """
+    full = lists.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("near").alias("least")).filter(
+        (F.col("n") >= k) & (F.col("least") >= threshold - 1e-9)).select("node")
+    full = written(placed.join(full, "node").select("space", "component", "node", "vec"), "full")
+    balls = full.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / GROUP_BLOCK).alias("balls"))
+    full = written(full.join(balls, "component").select("space", "component", F.pmod(F.xxhash64("node"), F.col("balls")).alias("ball"), "node", "vec"), "balls")
+    reach = float(np.arccos(np.clip(threshold, -1, 1))) + 1e-6
+
+    def ball(frame: pd.DataFrame) -> pd.DataFrame:
+        unit = _unit([bytes(v) for v in frame["vec"]])
+        centre = unit.mean(axis=0)
+        norm = np.sqrt(centre @ centre)
+        centre = centre / norm if norm > 1e-9 else unit[0]
+        first = frame[["space", "component", "ball"]].head(1)
+        return first.assign(centre=[centre.tobytes()], radius=float(np.arccos(np.clip(unit @ centre, -1, 1)).max()))
+
+    found = written(full.groupBy("space", "component", "ball").applyInPandas(
+        ball, "space string, component long, ball long, centre binary, radius double"), "centres")
+    blocks = found.groupBy("space").agg(F.ceil(F.count(F.lit(1)) / BALL_BLOCK).alias("blocks"))
+    dealt = found.join(blocks, "space").withColumn("mine", F.pmod(F.xxhash64("component", "ball"), F.col("blocks"))).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other"))
+
+    def meet(frame: pd.DataFrame) -> pd.DataFrame:
+        unit = _unit([bytes(v) for v in frame["centre"]])
+        component, which, mine, radius = (frame[c].to_numpy() for c in ("component", "ball", "mine", "radius"))
+        near = np.arccos(np.clip(unit @ unit.T, -1, 1)) <= radius[:, None] + radius[None, :] + reach
+        near &= component[:, None] < component[None, :]
+        if frame["low"].iloc[0] != frame["high"].iloc[0]:
+            near &= mine[:, None] != mine[None, :]
+        i, j = np.nonzero(near)
+        return pd.DataFrame({"component_a": component[i], "ball_a": which[i], "component_b": component[j], "ball_b": which[j]})
+
+    pair = ["component_a", "ball_a", "component_b", "ball_b"]
+    met = written(dealt.groupBy("space", "low", "high").applyInPandas(meet, ", ".join(f"{c} long" for c in pair)), "near-balls")
+    sides = [met.join(full.select(F.col("component").alias(f"component_{c}"), F.col("ball").alias(f"ball_{c}"), "node", "vec"),
+                      [f"component_{c}", f"ball_{c}"]).select(*pair, F.lit(c).alias("end"), "node", "vec") for c in "ab"]
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        unit, ids, a = _unit([bytes(v) for v in frame["vec"]]), frame["node"].to_numpy(), (frame["end"] == "a").to_numpy()
+        i, j = np.nonzero(unit[a] @ unit[~a].T >= threshold - 1e-9)
+        return pd.DataFrame({"a": ids[a][i[:1]], "b": ids[~a][j[:1]]})
+
+    return sides[0].unionByName(sides[1]).groupBy(*pair).applyInPandas(compare, "a long, b long")
+
+
+def _placed(points: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes with their component."""
+    return written(points.join(components(edges), "node", "left").select(
+        "space", "node", "copies", "vec", F.coalesce("component", "node").alias("component")), "placed")
+
+
+def neighbour_lists(points: DataFrame, threshold: float, k: int = NEIGHBOURS) -> tuple[DataFrame, int]:
+    """The refined graph (a, b, near) and the length of its full lists."""
+    lists = None
     reach = float(np.cos(min(3 * np.arccos(min(threshold, 1.0)), np.pi)))
     for attempt in range(DOUBLINGS):
         start = _leaves(points, k, attempt)
@@ -195,19 +256,19 @@ def neighbour_lists(points: DataFrame, threshold: float, k: int = NEIGHBOURS) ->
             lists = better
             if changed <= CHANGED * total:
                 break
-        recall = _audit(lists, points, threshold)
-        if recall >= RECALL:
+        if attempt == DOUBLINGS - 1 or _audit(lists, points, threshold) >= RECALL:
             break
         k *= 2
-    return lists, recall
+    return lists, k
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, k: int = NEIGHBOURS) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     rows, points = nodes(vectors)
-    lists, _ = neighbour_lists(points, threshold, k)
+    lists, k = neighbour_lists(points, threshold, k)
     # a little below the threshold: the exact test is made on the enlarged lists
     edges = written(lists.filter(F.col("near") >= threshold - 1e-9).select("a", "b"), "edges")
+    edges = written(edges.unionByName(_bridges(_placed(points, edges), lists, threshold, k)), "bridged")
     found = components(edges)
     members = found.select("node", "component").unionByName(found.select(F.col("component").alias("node"), "component").distinct())
     members = written(members.join(points.select("node", "copies", "vec"), "node"), "members")
