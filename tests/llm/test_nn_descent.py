@@ -75,6 +75,30 @@ def test_full_lists_of_two_tight_groups_and_a_vector_between(work):
     assert {r[1] for r in found if r[0] < 500} == {199} and {r[2] for r in found} == {0, 500}
 
 
+def test_labels_that_miss_the_recall_are_compared_whole(work, monkeypatch):
+    monkeypatch.setattr(nn_descent, "AUDITED", 40)
+    # a search that finds nothing: label 0 has many lone pairs, label 1 one that the first sample need not show
+    monkeypatch.setattr(nn_descent, "neighbour_lists", lambda points, threshold, k: (work.createDataFrame([], "a long, b long, near double"), k))
+    vectors = clusters(7, [2] * 60, 0.01)
+    rows = [(i, v, 0) for i, v in enumerate(vectors)] + [(500 + i, v, 1) for i, v in enumerate(clusters(8, [1] * 90 + [2], 0.01))]
+    assert got(nn_descent.near_duplicates(make(work, rows))) == plain(rows)
+
+
+def test_tables_grow_and_crowded_leaves_keep_pairs(work):
+    bits = work.createDataFrame([(0,), (8,), (12,), (19,)], "bits int")
+    chance = 1 - np.arccos(0.98) / np.pi
+    for r in bits.select("bits", nn_descent._tables(bits["bits"], 0.98).alias("t")).collect():
+        assert r.t >= nn_descent.TABLES and (1 - chance ** r.bits) ** r.t <= 1e-3
+    rng = np.random.default_rng(9)
+    centre = rng.standard_normal(32)
+    # a narrow cone: planes through the origin leave almost all vectors in one leaf
+    base = centre / np.linalg.norm(centre) + 0.02 * rng.standard_normal((1000, 32))
+    vectors = np.concatenate([base, base + 0.001 * rng.standard_normal((1000, 32))])
+    _, points = nn_descent.nodes(make(work, [(i, v.tolist(), 0) for i, v in enumerate(vectors)]))
+    met = {(r.a, r.b) for r in nn_descent._leaves(points, 3, 0).collect()}
+    assert sum((i, i + 1000) in met for i in range(1000)) >= 995
+
+
 def test_rounds_find_what_the_leaves_missed(work):
     vectors = clusters(4, [1] * 150 + [6] * 15, 0.01)
     _, points = nn_descent.nodes(make(work, [(i, v, 0) for i, v in enumerate(vectors)]))

@@ -8,7 +8,14 @@ Only neighbours within three times the threshold's angle are followed: farther
 ones lead to a link by chance alone, and what that leaves out the audit shows.
 Rounds end when few lists change; a brute-force audit of a bounded sample of
 vectors then measures the recall of pairs above the threshold, and lists are
-enlarged and refined again while it is too low.
+enlarged and refined again while it is too low. Tables grow with the label's
+size, so that a lone pair at the threshold is missed once in a thousand by
+calculation; crowded leaves are cut by planes through their own centre.
+
+The finished components are audited label by label: sampled vectors are compared
+with all of their label, and one that has a link out of its component is missed.
+The sample grows until enough vectors with links were seen, or it is the whole
+label; a label below the target recall is compared whole, block against block.
 
 A list that holds only neighbours above the threshold is saturated: there may
 be more. Saturated lists are enlarged to all vectors that can be reached through
@@ -32,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -43,10 +50,12 @@ from .components import components
 NEIGHBOURS, DOUBLINGS = 10, 3
 #: Random-hyperplane tables and aimed leaf size; a leaf beyond the block size is dealt into blocks.
 TABLES, LEAF, BLOCK = 8, 32, 256
+#: Chance that all leaf tables miss a lone pair at the threshold, most tables, and planes that cut a crowded leaf.
+MISS, MOST_TABLES, PLANES = 1e-3, 64, 24
 ROUNDS, CHANGED = 3, 0.01
-#: Vectors audited, and the recall they must show.
-AUDITED, RECALL = 512, 0.99
-GROUP_BLOCK = 512
+#: Vectors audited at least, the recall they must show, and how many with links must be seen.
+AUDITED, RECALL, SHOWN = 512, 0.99, 100
+GROUP_BLOCK, AUDIT_BLOCK = 512, 2048
 #: Balls compared with each other in one task.
 BALL_BLOCK = 1024
 EDGES = "a long, b long, near double"
@@ -89,27 +98,58 @@ def _top(edges: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")
 
 
-def _leaves(points: DataFrame, k: int, seed: int) -> DataFrame:
+def _tables(bits: Column, threshold: float) -> Column:
+    """Tables after which a pair at the threshold has missed all of them with chance MISS."""
+    together = F.pow(F.lit(1 - float(np.arccos(np.clip(threshold, -1, 1))) / np.pi), bits)
+    wanted = F.when(together < 1, F.ceil(F.log(F.lit(MISS)) / F.log(1 - together)))
+    return F.least(F.greatest(F.lit(TABLES), wanted), F.lit(MOST_TABLES)).cast("int")
+
+
+def _uncrowded(dealt: DataFrame) -> DataFrame:
+    """Leaves with a ``cut``: those above the block size are cut by planes through their mean."""
+    leaf = ["space", "side", "leaf"]
+    crowds = written(dealt.groupBy(*leaf).agg(F.count(F.lit(1)).alias("crowd")).filter(F.col("crowd") > BLOCK), "crowds")
+    if crowds.isEmpty():
+        return dealt.withColumn("cut", F.lit(0).cast("long"))
+
+    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for (side, width), part in batch.groupby([batch["side"], batch["vec"].map(len)]):
+                unit = _unit(part["vec"].tolist())
+                planes = np.random.default_rng((7, side, width)).standard_normal((unit.shape[1], PLANES))
+                yield part.assign(at=list(unit @ planes))
+
+    found = written(dealt.join(crowds, leaf).select("node", "space", "vec", "side", "leaf", "crowd").mapInPandas(
+        project, "node long, space string, vec binary, side int, leaf long, crowd long, at array<double>"), "crowded")
+    centres = found.groupBy(*leaf).agg(F.array(*[F.avg(F.col("at")[i]) for i in range(PLANES)]).alias("centre"))
+    bits = F.least(F.ceil(F.log2(F.col("crowd") / BLOCK)) + 2, F.lit(PLANES))
+    cut = sum((F.when((F.lit(i) < bits) & (F.col("at")[i] > F.col("centre")[i]), 1 << i).otherwise(0) for i in range(PLANES)), F.lit(0)).cast("long")
+    return dealt.join(crowds, leaf, "left_anti").withColumn("cut", F.lit(0).cast("long")).unionByName(
+        found.join(centres, leaf).select("node", "space", "vec", "side", "leaf", cut.alias("cut")))
+
+
+def _leaves(points: DataFrame, k: int, seed: int, threshold: float = 0.98) -> DataFrame:
     """Each vector's nearest within its leaves, both ways."""
     sizes = points.groupBy("space").agg(F.count(F.lit(1)).alias("n"))
     bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / LEAF))).cast("int")
-    placed = points.join(sizes, "space").select("node", "space", "vec", bits.alias("bits"))
+    placed = points.join(sizes, "space").select("node", "space", "vec", bits.alias("bits"), _tables(bits, threshold).alias("tables"))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for width, part in batch.groupby(batch["vec"].map(len)):
                 unit = _unit(part["vec"].tolist())
-                for t in range(TABLES):
+                tables = part["tables"].to_numpy()
+                for t in range(int(tables.max())):
                     planes = np.random.default_rng((seed, t, width)).standard_normal((unit.shape[1], 30))
                     code = ((unit @ planes > 0) << np.arange(30)).sum(axis=1)
                     yield pd.DataFrame({"node": part["node"], "space": part["space"], "vec": part["vec"], "side": t,
-                                        "leaf": code & ((1 << np.minimum(part["bits"].to_numpy(np.int64), 30)) - 1)})
+                                        "leaf": code & ((1 << np.minimum(part["bits"].to_numpy(np.int64), 30)) - 1)})[t < tables]
 
-    dealt = placed.mapInPandas(place, "node long, space string, vec binary, side int, leaf long")
-    crowd = dealt.groupBy("space", "side", "leaf").agg(F.count(F.lit(1)).alias("crowd"))
-    dealt = dealt.join(crowd, ["space", "side", "leaf"]).withColumn(
+    dealt = _uncrowded(placed.mapInPandas(place, "node long, space string, vec binary, side int, leaf long"))
+    crowd = dealt.groupBy("space", "side", "leaf", "cut").agg(F.count(F.lit(1)).alias("crowd"))
+    dealt = dealt.join(crowd, ["space", "side", "leaf", "cut"]).withColumn(
         "part", F.pmod(F.xxhash64("node", "side"), F.ceil(F.col("crowd") / BLOCK)))
-    grouped = dealt.groupBy("space", "side", "leaf", "part").agg(F.collect_list(F.struct("node", "vec")).alias("members"))
+    grouped = dealt.groupBy("space", "side", "leaf", "cut", "part").agg(F.collect_list(F.struct("node", "vec")).alias("members"))
     return grouped.select("members").mapInPandas(_meet(k), EDGES)
 
 
@@ -242,12 +282,68 @@ def _placed(points: DataFrame, edges: DataFrame) -> DataFrame:
         "space", "node", "copies", "vec", F.coalesce("component", "node").alias("component")), "placed")
 
 
+def _against(asked: DataFrame, placed: DataFrame, threshold: float) -> DataFrame:
+    """Asked vectors against all of their space: rows (space, a, b, pairs, missed).
+
+    A row with b = a counts a's pairs above the threshold in one block, and those
+    that lead to another component; the other rows are links to other components.
+    """
+    def blocks(side: DataFrame, name: str) -> DataFrame:
+        return side.groupBy("space").agg(F.ceil(F.count(F.lit(1)) / AUDIT_BLOCK).alias(name))
+
+    cells = written(blocks(asked, "rows").join(blocks(placed, "columns"), "space"), "cells")
+
+    def dealt(side: DataFrame, mine: str, other: str, asks: bool) -> DataFrame:
+        counts = {"row": "rows", "column": "columns"}
+        return side.join(cells, "space").withColumn(mine, F.pmod(F.xxhash64("node"), F.col(counts[mine]))).withColumn(
+            other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(counts[other]) - 1))).select(
+            "space", "row", "column", "node", "component", "vec", F.lit(asks).alias("asks"))
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        asks = frame["asks"].to_numpy()
+        empty = pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("space", str), ("a", int), ("b", int), ("pairs", int), ("missed", int))})
+        if asks.all() or not asks.any():
+            return empty
+        unit, ids, component = _unit([bytes(v) for v in frame["vec"]]), frame["node"].to_numpy(), frame["component"].to_numpy()
+        link = unit[asks] @ unit[~asks].T >= threshold
+        link &= ids[asks][:, None] != ids[~asks][None, :]
+        apart = link & (component[asks][:, None] != component[~asks][None, :])
+        pairs, missed, a = link.sum(axis=1), apart.sum(axis=1), ids[asks]
+        seen = pairs > 0
+        i, j = np.nonzero(apart)
+        _, once = np.unique(np.stack([component[asks][i], component[~asks][j]], axis=1), axis=0, return_index=True)
+        i, j = i[once], j[once]
+        return pd.DataFrame({"space": frame["space"].iloc[0], "a": np.concatenate([a[seen], a[i]]), "b": np.concatenate([a[seen], ids[~asks][j]]),
+                             "pairs": np.concatenate([pairs[seen], np.zeros(len(i), int)]), "missed": np.concatenate([missed[seen], np.zeros(len(i), int)])})
+
+    return dealt(asked, "row", "column", True).unionByName(dealt(placed, "column", "row", False)).groupBy(
+        "space", "row", "column").applyInPandas(compare, "space string, a long, b long, pairs long, missed long")
+
+
+def _completed(points: DataFrame, edges: DataFrame, threshold: float) -> DataFrame:
+    """The edges, with those that the audit of each space finds until its recall is shown or it was compared whole."""
+    sizes = points.groupBy("space").agg(F.count(F.lit(1)).alias("n"))
+    open_ = written(sizes.select("space", "n", F.least("n", F.greatest(F.lit(AUDITED), F.ceil(F.sqrt("n")))).cast("long").alias("asked")), "audits")
+    while not open_.isEmpty():
+        placed = _placed(points, edges).join(open_, "space")
+        drawn = F.pmod(F.xxhash64("node", F.lit("audit")), F.lit(1 << 30)) * F.col("n") < F.lit(1 << 30) * F.col("asked").cast("double")
+        seen = written(_against(placed.filter(drawn), placed, threshold), "audited")
+        edges = written(edges.unionByName(seen.filter("a <> b").select("a", "b")), "completed")
+        shown = seen.filter("a = b").groupBy("space", "a").agg(F.sum("missed").alias("missed")).groupBy("space").agg(
+            F.count(F.lit(1)).alias("shown"), F.count_if(F.col("missed") > 0).alias("missed"))
+        held = open_.join(shown, "space", "left").filter("asked < n").fillna(0, ["shown", "missed"])
+        low = F.col("missed") > (1 - RECALL) * F.col("shown")
+        open_ = written(held.filter(low | (F.col("shown") < SHOWN)).select(
+            "space", "n", F.when(low, F.col("n")).otherwise(F.least("n", 8 * F.col("asked"))).cast("long").alias("asked")), "audits")
+    return edges
+
+
 def neighbour_lists(points: DataFrame, threshold: float, k: int = NEIGHBOURS) -> tuple[DataFrame, int]:
     """The refined graph (a, b, near) and the length of its full lists."""
     lists = None
     reach = float(np.cos(min(3 * np.arccos(min(threshold, 1.0)), np.pi)))
     for attempt in range(DOUBLINGS):
-        start = _leaves(points, k, attempt)
+        start = _leaves(points, k, attempt, threshold)
         lists = written(_top(start if lists is None else lists.unionByName(start), k), "lists")
         for _ in range(ROUNDS):
             better = written(_refined(lists, points, k, reach), "lists")
@@ -269,6 +365,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, k: int = NEIGHB
     # a little below the threshold: the exact test is made on the enlarged lists
     edges = written(lists.filter(F.col("near") >= threshold - 1e-9).select("a", "b"), "edges")
     edges = written(edges.unionByName(_bridges(_placed(points, edges), lists, threshold, k)), "bridged")
+    edges = _completed(points, edges, threshold)
     found = components(edges)
     members = found.select("node", "component").unionByName(found.select(F.col("component").alias("node"), "component").distinct())
     members = written(members.join(points.select("node", "copies", "vec"), "node"), "members")
