@@ -84,6 +84,24 @@ def test_rows_of_one_id_and_deduplicated(documents):
     assert sorted((str(r.doc_id) for r in left.collect())) == ["1", "3", "4", "None", "None"]
 
 
+def test_deduplicated_at_80_percent(documents):
+    rng = random.Random(6)
+    rows = []
+    for g in range(40):
+        base = words(rng, 204, 10**6).split(" ")
+        copy = list(base)
+        for k in range(3 + g % 4):
+            copy[20 + 40 * k if k < 5 else 190] = f"c{k}"
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(copy))]
+    sets = [shingles(t) for _, t in rows]
+    gone = {2 * g + 1 for g in range(40) if 100 * len(sets[2 * g] & sets[2 * g + 1]) >= 80 * len(sets[2 * g] | sets[2 * g + 1])}
+    between = {d for d in gone if 100 * len(sets[d] & sets[d - 1]) < 85 * len(sets[d] | sets[d - 1])}
+    assert between and len(gone) < 40
+    left = minhash.deduplicated(documents(rows), 80)
+    assert {r.doc_id for r in left.collect()} == {d for d, _ in rows} - gone
+    assert minhash.agreeing(85) == 38 and 30 <= minhash.agreeing(80) < 38
+
+
 def test_empty_table(documents):
     assert got(minhash.near_duplicates(documents([]))) == []
     assert minhash.deduplicated(documents([])).count() == 0

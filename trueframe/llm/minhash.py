@@ -2,8 +2,8 @@
 
 A document's set is its distinct five-word shingles. Of K minwise coordinates,
 two sets of similarity s agree in about s K. A pair is a candidate if at least
-T agree; at s = 0.85, K = 64, T = 38 a pair is missed with a chance of about
-one in ten million. Candidates are confirmed on the full sets of words.
+T agree; T is the largest count at which a pair at the asked similarity is
+missed with a chance of about one in ten million (38 of 64 at 0.85). Candidates are confirmed on the full sets of words.
 
 Documents are posted under (coordinate, value) pairs. With all documents'
 pairs in one order, rarest first, two that share T of K meet within the first
@@ -29,6 +29,7 @@ component null, kept. An empty table gives no rows. Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,9 @@ from pyspark.sql import functions as F
 from .common import blank_split, text_of, written
 from .components import components
 
-WORDS, COORDINATES, AGREE = 5, 64, 38
+WORDS, COORDINATES = 5, 64
+#: Chance that a pair at exactly the asked similarity is no candidate.
+MISS = 1.6e-7
 #: Heads each posting list's members may be tried against first; lists longer than a block are joined block by block.
 HEADS, BLOCK = 6, 512
 _UP = {i: i + 32 for i in range(65, 91)}
@@ -53,6 +56,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def agreeing(percent: int) -> int:
+    """Coordinates that must agree: the most that miss a pair of that similarity with chance MISS at most."""
+    s, below, need = percent / 100, 0.0, 0
+    while need < COORDINATES:
+        below += math.comb(COORDINATES, need) * s ** need * (1 - s) ** (COORDINATES - need)
+        if below > MISS:
+            break
+        need += 1
+    return max(need, 1)
+
+
 _SEEDS = _mix(np.arange(1, 2 * COORDINATES + WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _XOR, _ODD, _PLACE = _SEEDS[:COORDINATES, None], _SEEDS[COORDINATES:2 * COORDINATES, None] | np.uint64(1), _SEEDS[2 * COORDINATES:] | np.uint64(1)
 
@@ -110,13 +124,13 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInPandas(run, SIGNED)
 
 
-def _postings(classes: DataFrame) -> DataFrame:
+def _postings(classes: DataFrame, agree: int) -> DataFrame:
     """(key, rep) of the pairs under which each class representative is posted, rarest first."""
     key = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("col").cast("long").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
     tokens = classes.select("rep", F.posexplode("sig")).select("rep", key.alias("key"))
     often = tokens.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     return tokens.join(often, "key").groupBy("rep").agg(F.count(F.lit(1)).alias("shared"), F.collect_list(F.struct("n", "key")).alias("all")).filter(
-        F.col("shared") >= AGREE).select("rep", F.explode(F.slice(F.sort_array("all"), F.lit(1), F.col("shared").cast("int") - (AGREE - 1))).alias("p")).select(
+        F.col("shared") >= agree).select("rep", F.explode(F.slice(F.sort_array("all"), F.lit(1), F.col("shared").cast("int") - (agree - 1))).alias("p")).select(
         "rep", F.col("p.key").alias("key"))
 
 
@@ -124,10 +138,10 @@ def _agreeing(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
 
 
-def _agree(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+def _agree(pairs: DataFrame, sigs: DataFrame, agree: int) -> DataFrame:
     """Pairs with enough agreeing coordinates."""
     left, right = (sigs.select(F.col("rep").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "ab")
-    return pairs.join(left, "a").join(right, "b").filter(_agreeing(F.col("sig_a"), F.col("sig_b")) >= AGREE).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").filter(_agreeing(F.col("sig_a"), F.col("sig_b")) >= agree).select("a", "b")
 
 
 def shingle_set(text: str) -> frozenset:
@@ -167,7 +181,7 @@ def _counted(key: int, mine: np.ndarray, rep: np.ndarray, component: np.ndarray,
         agree = np.zeros((len(rep), len(rep)), np.uint8)
         for j in range(sig.shape[1]):
             agree += sig[:, None, j] == sig[None, :, j]
-    near = (agree >= AGREE) & (component[:, None] != component[None, :]) & (rep[:, None] < rep[None, :])
+    near = (agree >= agreeing(percent)) & (component[:, None] != component[None, :]) & (rep[:, None] < rep[None, :])
     near &= 100 * np.minimum(size[:, None], size[None, :]) >= percent * np.maximum(size[:, None], size[None, :])
     if mine.min() != mine.max():
         near &= mine[:, None] != mine[None, :]
@@ -264,7 +278,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     rows = written(signed(docs, id_col, text_col), "signed")
     classes = written(rows.filter("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
-    postings = written(_postings(classes), "postings")
+    postings = written(_postings(classes, agreeing(percent)), "postings")
     posted = postings.groupBy("rep").agg(F.collect_set("key").alias("posted"))
     sigs = written(classes.join(posted, "rep").select("rep", "n", "sig", "posted"), "posted")
     texts = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).join(
@@ -274,7 +288,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     drawn = F.xxhash64("rep", F.pmod(F.xxhash64("key"), F.lit(HEADS)))
     heads = postings.groupBy("key").agg(F.min_by("rep", drawn).alias("head"))
     stars = postings.join(heads, "key").filter("rep <> head").select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b")).distinct()
-    first = written(_confirmed(_agree(stars, sigs), texts, percent), "first-links")
+    first = written(_confirmed(_agree(stars, sigs, agreeing(percent)), texts, percent), "first-links")
     labels = components(first)
 
     # what is left: lists with several components, block against block
