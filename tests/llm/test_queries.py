@@ -24,4 +24,4 @@ def test_matches_check_sql(work, name):
 
 
 def test_one_query_per_operator():
-    assert [sum(n.startswith(f"op{k}_") for n in queries.QUERIES) for k in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{k}_") for n in queries.QUERIES) for k in range(1, 14)] == [1] * 13

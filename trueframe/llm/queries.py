@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, curriculum, minhash, nn_descent, order_minhash, packing, quality, runindex, toxicity, warc
+from . import chat, curriculum, hnsw, minhash, nn_descent, order_minhash, packing, periodic, prefix_trie, quality, runindex, toxicity, warc
 from .common import prepare, table, written
 
 WORD_BPE = "word_bpe_49k.json"
@@ -58,6 +58,18 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(prepare(spark), sf_dir, "documents"))
 
 
+def op11_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest(table(prepare(spark), sf_dir, "embeddings"))
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.summaries(table(prepare(spark), sf_dir, "documents"), edit=True)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(prepare(spark), sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_nn_descent": op1_nn_descent,
     "op2_order_minhash": op2_order_minhash,
@@ -69,6 +81,9 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_warc": op9_warc,
     "op10_minhash": op10_minhash,
+    "op11_hnsw": op11_hnsw,
+    "op12_periodic": op12_periodic,
+    "op13_prefix_trie": op13_prefix_trie,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
@@ -122,4 +137,40 @@ SELECT doc_id, size, source_size, target,
        (size * (passes + CASE WHEN source_size > 0 AND 2 * start + size <= 2 * (target - passes * source_size)
                               THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM placed""",
+    "op13_prefix_trie": r"""
+WITH RECURSIVE bits AS (
+    SELECT i, 0 AS k, i::UBIGINT AS c FROM range(256) t(i)
+    UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS tab FROM bits WHERE k = 8),
+turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+coded AS (
+    SELECT *, substr(sha256(octet_length(encode(role)) || ':' || role || text), 1, 32) AS id, octet_length(encode(text)) AS size FROM turns),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, id) AS place FROM coded),
+convs AS (
+    SELECT conv_id, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::UBIGINT)),
+        lambda a, b: xor(a >> 8, tab[((xor(a, b) & 255) + 1)::BIGINT])), 4294967295::UBIGINT) % 9 AS h
+    FROM (SELECT DISTINCT conv_id FROM turns), crc),
+rebuilt AS (
+    SELECT c.conv_id, p.place, p.id, p.size FROM convs c JOIN placed p ON p.conv_id = c.conv_id - c.conv_id % 5 AND p.place <= c.h
+    UNION ALL SELECT c.conv_id, p.place, p.id, p.size FROM convs c JOIN placed p ON p.conv_id = c.conv_id AND p.place > c.h),
+steps AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY place) AS depth,
+           string_agg(id, '') OVER (PARTITION BY conv_id ORDER BY place ROWS UNBOUNDED PRECEDING) AS node, size
+    FROM rebuilt
+    UNION ALL SELECT conv_id, 0, '', 0 FROM convs),
+ends AS (SELECT conv_id, arg_max(node, depth) AS node FROM steps GROUP BY 1),
+ended AS (SELECT node, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM ends GROUP BY 1),
+nodes AS (
+    SELECT node, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+           CASE WHEN node <> '' THEN substr(node, 1, length(node) - 32) END AS parent
+    FROM steps GROUP BY node),
+kids AS (SELECT parent AS node, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY 1),
+every AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM nodes n LEFT JOIN kids k USING (node)),
+subtrees AS (
+    SELECT substr(node, 1, (32 * d)::BIGINT) AS node, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * size) AS saved_tokens
+    FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM every) GROUP BY 1)
+SELECT e.conv_id, e.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, e.n_convs, e.n_children::BIGINT AS n_children,
+       s.n_leaves, s.saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(x.ids, '')) AS ends_sha256
+FROM every e JOIN subtrees s USING (node) LEFT JOIN every p ON p.node = e.parent LEFT JOIN ended x ON x.node = e.node""",
 }
