@@ -1,9 +1,11 @@
 """Source-group bootstrap on sufficient counts.
 
 Every resampled metric is a ratio of sums, so rows are reduced to one count
-vector per group first; a replicate is a set of group multiplicities. Three
+vector per group first; a replicate is a set of group multiplicities. Four
 ways to draw them:
 
+* ``split``, the default: counts are split down a tree of group cells, so
+  multiplicities arise beside the vectors and no draw is a row (``splitting``).
 * ``addressed``: draw (replicate, slot) is a hash of its address; repeatable in
   any engine and on any partitioning.
 * ``lcg``: the 32-bit congruential sequence of the published results, each
@@ -30,7 +32,8 @@ from ..functions.rules import completed, is_positive, truthy
 from ..functions.stats import ratio
 from ..session import settled
 from .metrics import RATES, outcome_flags
-from .ordered import hash_bucket, row_rank
+from .ordered import hash_bucket, row_rank, score_bucket
+from .splitting import split_histograms, split_sums
 
 MULTIPLIER, INCREMENT, MODULUS = 1664525, 1013904223, 1 << 32
 
@@ -139,7 +142,9 @@ def _multinomial(vectors: DataFrame, names: Sequence[str], replicates: int, seed
 
 
 def replicate_sums(vectors: DataFrame, names: Sequence[str], replicates: int, seed: int,
-                   method: str = "addressed") -> DataFrame:
+                   method: str = "split") -> DataFrame:
+    if method == "split":
+        return split_sums(vectors, names, replicates, seed)
     if method == "multinomial":
         return _multinomial(vectors, names, replicates, seed)
     return draws(vectors, replicates, seed, method).join(vectors, "ordinal").groupBy("replicate").agg(
@@ -161,7 +166,7 @@ def resampled(vectors: DataFrame) -> DataFrame:
     return vectors if vectors.limit(2).count() == 2 else vectors.limit(0)
 
 
-def cluster_bootstrap(df: DataFrame, replicates: int = 1000, seed: int = 5149304, method: str = "addressed",
+def cluster_bootstrap(df: DataFrame, replicates: int = 1000, seed: int = 5149304, method: str = "split",
                       first_seen: Column | None = None) -> DataFrame:
     """Percentile interval of every rate; undefined replicates are left out and counted."""
     flagged = outcome_flags(df)
@@ -177,25 +182,41 @@ def cluster_bootstrap(df: DataFrame, replicates: int = 1000, seed: int = 5149304
     return every.join(found, "rate", "left").withColumn("valid_replicates", F.coalesce("valid_replicates", F.lit(0).cast("long")))
 
 
-def auroc_bootstrap(df: DataFrame, replicates: int = 1000, seed: int = 1937303, method: str = "addressed",
-                    score: str = "score", first_seen: Column | None = None) -> DataFrame:
+def score_bands(cells: DataFrame, bands: int) -> DataFrame:
+    """Adds ``band``, from 0 along the distinct scores: one score each while there are no more than ``bands`` of them."""
+    scores = settled(row_rank(cells.select("score").distinct().withColumn("_b", score_bucket(F.col("score"))), [], "_b",
+                              [F.col("score")], "at", start=0).drop("_b"), "scores")
+    wide = max(1, -(-scores.count() // bands))
+    return cells.join(scores.select("score", F.floor(F.col("at") / wide).cast("long").alias("band")), "score")
+
+
+def auroc_bootstrap(df: DataFrame, replicates: int = 1000, seed: int = 1937303, method: str = "split",
+                    score: str = "score", first_seen: Column | None = None, bands: int = 4096) -> DataFrame:
     """Interval of AUROC over group resamples, from counts per group and score.
 
-    Groups differ in their scores, so there is no shorter exact form than
-    replicates x groups draws; they are spread over all tasks, and each task
-    reduces its draws to counts per (replicate, score) before the shuffle.
+    ``split`` sums multiplicities into score bands inside tasks. While there are
+    no more than ``bands`` distinct scores each is its own band and the AUROC of a
+    replicate is exact; beyond, scores of one band count as ties, which moves it
+    by at most half the share of positive-negative pairs that meet in a band,
+    about 1 / (2 bands) where scores do not repeat. The other methods keep every
+    score and cost replicates x groups rows.
     """
-    vectors = settled(group_vectors(df, {"n": F.count(F.lit(1))}, first_seen).select("group_id", "ordinal"), "ordinals")
+    vectors = group_vectors(df, {"n": F.count(F.lit(1))}, first_seen).select("group_id", "ordinal")
     pos = is_positive(F.col("label"))
     cells = settled(df.groupBy("group_id", F.col(score).alias("score")).agg(
         F.count_if(pos).alias("pos"), F.count_if(~pos).alias("neg")).join(vectors, "group_id").drop("group_id"), "cells")
-    weighted = draws(resampled(vectors), replicates, seed, method).join(cells, "ordinal").groupBy("replicate", "score").agg(
-        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    if method == "split":
+        groups = resampled(vectors).count()
+        banded = score_bands(cells, bands)
+        weighted = split_histograms(banded if groups else banded.limit(0), groups, replicates, seed).withColumnRenamed("band", "score")
+    else:
+        weighted = draws(resampled(vectors), replicates, seed, method).join(cells, "ordinal").groupBy("replicate", "score").agg(
+            F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     from .ranking import auroc_from_counts
     return percentile_interval(auroc_from_counts(weighted, ["replicate"]), [], "auroc")
 
 
-def paired_bootstrap(pairs: DataFrame, replicates: int = 10_000, seed: int = 9183327, method: str = "addressed",
+def paired_bootstrap(pairs: DataFrame, replicates: int = 10_000, seed: int = 9183327, method: str = "split",
                      first_seen: Column | None = None) -> DataFrame:
     """Interpolated 2.5/97.5% of the recall difference over positive pairs.
 

@@ -86,6 +86,11 @@ def _(t):
     sum((after='ai')::INT - (before='ai')::INT) AS d FROM pr WHERE pos GROUP BY 1), """ + ordinals(9183327, 10000) + """,
   rep AS (SELECT r, sum(d*m)::DOUBLE/sum(n*m) AS x FROM drawn JOIN ord USING (o) GROUP BY 1)
   SELECT round(quantile_cont(x, 0.025),9) AS low, round(quantile_cont(x, 0.975),9) AS high, count(*) AS replicates FROM rep""")
+def _(t):
+    return rounded(bootstrap.paired_bootstrap(_pairs(t), method="addressed"), "low", "high")
+
+
+@query("paired_bootstrap_split")
 def _(t):
     return rounded(bootstrap.paired_bootstrap(_pairs(t)), "low", "high")
 

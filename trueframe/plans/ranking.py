@@ -111,7 +111,7 @@ RATE_PAIRS = {
  SELECT rate, len(v)::BIGINT AS valid_replicates, round(v[floor(len(v)*0.025)::INT+1],9) AS low,
    round(v[least(len(v)-1, floor(len(v)*0.975))::INT+1],9) AS high FROM s""")
 def _(t):
-    return rounded(bootstrap.cluster_bootstrap(t.judged), "low", "high")
+    return rounded(bootstrap.cluster_bootstrap(t.judged, method="addressed"), "low", "high")
 
 
 @query("auroc_bootstrap", "WITH " + FLAGS + """, vec AS (SELECT group_id FROM flags GROUP BY 1), """ + ordinals(1937303, 1000) + """,
@@ -120,5 +120,21 @@ def _(t):
  s AS (SELECT list(auroc ORDER BY auroc) AS v FROM area WHERE auroc IS NOT NULL)
  SELECT len(v)::BIGINT AS valid_replicates, round(v[floor(len(v)*0.025)::INT+1],9) AS low,
    round(v[least(len(v)-1, floor(len(v)*0.975))::INT+1],9) AS high FROM s""")
+def _(t):
+    return rounded(bootstrap.auroc_bootstrap(t.judged, method="addressed"), "low", "high")
+
+
+@query("bootstrap_totals", "SELECT r AS replicate, (SELECT count(DISTINCT group_id) FROM {judged})::DOUBLE AS draws FROM range(1000) x(r)")
+def _(t):
+    vectors = bootstrap.group_vectors(t.judged, {"draws": F.first(F.lit(1))})
+    return bootstrap.replicate_sums(vectors, ["draws"], 1000, 5149304)
+
+
+@query("cluster_bootstrap_split")
+def _(t):
+    return rounded(bootstrap.cluster_bootstrap(t.judged), "low", "high")
+
+
+@query("auroc_bootstrap_split")
 def _(t):
     return rounded(bootstrap.auroc_bootstrap(t.judged), "low", "high")

@@ -91,13 +91,19 @@ def _(t):
     return out.select("doc_id", F.array_join(short, "|").alias("types"), "status", "valid", "trusted")
 
 
-@query("known_hashes", """SELECT DISTINCT h AS sha256 FROM (SELECT sha256(text) AS h FROM {documents} WHERE doc_id % 3<>0 UNION ALL SELECT sha256('p'||doc_id) FROM {documents} WHERE doc_id % 2=0 UNION ALL SELECT sha256('c'||doc_id) FROM {documents} WHERE doc_id % 10=4)""")
+@query("known_hashes", """SELECT DISTINCT h AS sha256 FROM (SELECT sha256(text) AS h FROM {documents} WHERE doc_id % 3<>0 UNION ALL SELECT sha256('p'||doc_id) FROM {documents} WHERE doc_id % 2=0 UNION ALL SELECT sha256('c'||doc_id) FROM {documents} WHERE doc_id % 10=4
+   UNION ALL SELECT sha256('d'||doc_id) FROM {documents} WHERE doc_id % 7=2 UNION ALL SELECT sha256('e'||doc_id) FROM {documents} WHERE doc_id % 7<>2)""")
 def _(t):
     k = F.col("doc_id")
     digest = lambda c: F.sha2(c, 256)
     parent = F.struct(F.when(k % 2 == 0, "B.MOV").otherwise("notes.txt").alias("path"), digest(F.concat(F.lit("p"), k.cast("string"))).alias("sha256"),
                       F.when(k % 10 == 4, digest(F.concat(F.lit("c"), k.cast("string")))).when(k % 10 == 5, "short").alias("cgiSourceSha256"))
-    doc = F.to_json(F.struct(F.when(k % 3 != 0, "a.mp4").otherwise("a.json").alias("path"), digest(F.col("text")).alias("sha256"), F.array(parent).alias("parents")))
+    # six levels down, through arrays in arrays and objects in objects
+    leaf = F.struct(F.when(k % 7 == 2, "deep.MKV").otherwise("deep.txt").alias("path"), digest(F.concat(F.lit("d"), k.cast("string"))).alias("sha256"),
+                    F.when(k % 7 != 2, digest(F.concat(F.lit("e"), k.cast("string")))).alias("cgiSourceSha256"))
+    deep = F.array(F.array(F.struct(F.struct(F.array(leaf, leaf).alias("items")).alias("batch"), F.lit(1).alias("n"))))
+    doc = F.to_json(F.struct(F.when(k % 3 != 0, "a.mp4").otherwise("a.json").alias("path"), digest(F.col("text")).alias("sha256"), F.array(parent).alias("parents"),
+                           deep.alias("archive")))
     return fl.known_hashes(t.documents.select(doc.alias("document")))
 
 

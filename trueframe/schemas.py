@@ -12,5 +12,3 @@ COMMENTS = ("items array<struct<snippet:struct<topLevelComment:struct<snippet:st
             "authorChannelId:struct<value:string>>>>>>")
 CREDENTIALS = ("active_manifest string, validation_state string, manifests map<string,struct<assertions:array<struct<label:string,"
                "data:struct<actions:array<struct<action:string,digitalSourceType:string>>>>>>>")
-MEDIA_DOCUMENT = ("path string, sha256 string, cgiSourceSha256 string, "
-                  "parents array<struct<path:string,sha256:string,cgiSourceSha256:string>>")

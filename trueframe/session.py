@@ -19,6 +19,8 @@ RUNTIME = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # a repeated name in a JSON object keeps its last value, as common readers do
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 

@@ -72,10 +72,37 @@ def flatten_assertions(docs: DataFrame, key: str, document: str = "document") ->
 
 
 def known_hashes(docs: DataFrame, document: str = "document") -> DataFrame:
-    """Distinct media digests a document or its parents register."""
-    d = docs.select(F.from_json(document, schemas.MEDIA_DOCUMENT).alias("d"))
-    node = F.array(F.struct("d.path", "d.sha256", "d.cgiSourceSha256"))
-    nodes = d.select(F.explode(F.concat(node, F.coalesce("d.parents", F.slice(node, 1, 0)))).alias("n"))
-    pairs = nodes.select(F.explode(F.array(
-        F.when(F.col("n.path").rlike(MEDIA_NAME), F.col("n.sha256")), F.col("n.cgiSourceSha256"))).alias("sha256"))
-    return pairs.filter(F.col("sha256").rlike(DIGEST)).distinct()
+    """Distinct media digests that documents register, at any depth.
+
+    Each object names a digest beside a media path, or the digest of its source.
+    A document is walked level by level inside its row: a fold holds the values
+    of one level and puts their children in their place until none is left. No
+    document is deeper than it has opening brackets, and steps past its depth do
+    nothing. Objects may hold arrays and the reverse, in any mixture.
+    """
+    text = F.col(document)
+    nothing = F.array().cast("array<variant>")
+    levels = F.greatest(F.lit(1), F.length(F.regexp_replace(text, r"[^\[{]", "")))
+
+    def children(v: Column) -> Column:
+        return F.concat(F.coalesce(F.map_values(F.try_variant_get(v, "$", "map<string,variant>")), nothing),
+                        F.coalesce(F.try_variant_get(v, "$", "array<variant>"), nothing))
+
+    def named(v: Column) -> Column:
+        at = lambda path: F.try_variant_get(v, path, "string")
+        return F.array(F.when(at("$.path").rlike(MEDIA_NAME), at("$.sha256")), at("$.cgiSourceSha256"))
+
+    def step(seen: Column, _) -> Column:
+        level = seen["level"]
+        return F.when(F.size(level) == 0, seen).otherwise(F.struct(
+            F.flatten(F.transform(level, children)).alias("level"),
+            F.array_distinct(F.concat(seen["found"], F.array_compact(F.flatten(F.transform(level, named))))).alias("found")))
+
+    start = F.struct(F.array(F.try_parse_json(text)).alias("level"), F.array().cast("array<string>").alias("found"))
+    found = F.aggregate(F.sequence(F.lit(1), levels), start, step, lambda seen: seen["found"])
+    return docs.select(F.explode(found).alias("sha256")).filter(F.col("sha256").rlike(DIGEST)).distinct()
+
+
+def unreadable_documents(docs: DataFrame, key: str, document: str = "document") -> DataFrame:
+    """Keys of documents that are no JSON, whose digests nobody can know."""
+    return docs.filter(F.col(document).isNotNull() & F.try_parse_json(document).isNull()).select(key)
