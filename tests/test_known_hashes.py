@@ -48,7 +48,7 @@ def test_equals_a_recursion_over_every_document(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None), (-2, "no json {"), (-3, "")], "n long, document string")
     want = set().union(*map(plain, docs))
     got = [r.sha256 for r in flatten.known_hashes(df).collect()]
-    assert len(want) > 300 and "9" * 64 in want
+    assert len(want) > 150 and "9" * 64 in want
     assert len(got) == len(set(got)) and set(got) == want
     assert {r.n for r in flatten.unreadable_documents(df, "n").collect()} == {-2, -3}
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_folder
 from ..sources import sinks
-from ..streaming import jobs
+from ..streaming import jobs, tables
 from .registry import BINDINGS, SPARK, query
 from .timeline import VALID, RUNS
 
@@ -87,9 +87,10 @@ LATEST = "lt AS (SELECT * FROM {cached} WHERE status='complete' AND canonical_ke
 @query("stream_cache_upsert", "WITH " + LATEST + " SELECT canonical_key, event_id, platform, analyzer_version, final_score, expires_us FROM lt")
 def _(t):
     folder = shared_folder(t.spark, "upsert")
-    table = f"{folder}/table"
-    jobs.cache_upsert(bound(t, "cached"), table, f"{folder}/stage", f"{folder}/checkpoint", F.expr(REUSABLE), buckets=8).awaitTermination()
-    return t.spark.read.schema("canonical_key string, event_id long, platform string, analyzer_version string, final_score long, expires_us long").parquet(table).drop("bucket")
+    rows = bound(t, "cached").select("canonical_key", "analyzed_us", "event_id", "status", "platform", "analyzer_version", "final_score", "expires_us")
+    tables.keep_latest(rows, f"{folder}/table", f"{folder}/checkpoint", F.expr(REUSABLE)).awaitTermination()
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return tables.cache_table(t.spark, f"{folder}/table", schema).latest().drop("status", "analyzed_us")
 
 
 @query("stream_cache_join", "WITH " + LATEST + """ SELECT s.event_id, 'upload:'||s.user_id AS canonical_key, lt.final_score AS cached_score, lt.final_score IS NOT NULL AS served

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.joins import dedupe_by_key
-from ..operators.timeline import byte_ledger
 from .processors import Admission, Coalesce, ErrorStop, Ordered, Runs
+from .tables import account
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 WINDOW_US = 15 * 60 * 1_000_000
@@ -94,36 +95,14 @@ def cache_upsert(stream: DataFrame, table: str, staging: str, checkpoint: str, r
 
 def existing(spark: SparkSession, table: str, like: DataFrame) -> DataFrame | None:
     """The table as it is, or None before its first batch."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(table)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    try:
+        return spark.read.schema(like.schema).parquet(table)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
-    return spark.read.schema(like.schema).parquet(table)
 
 
 def op_budget(stream: DataFrame, budget: int, folder: str, checkpoint: str) -> StreamingQuery:
-    """Running reserved amount over all rows and the rows past the budget.
-
-    One global sum would put the stream into one task, so each batch is summed
-    by block and starts from the totals the earlier batches wrote. Totals are
-    kept per batch number: a repeated batch replaces its own.
-    """
-    reserve = F.when(F.col("kind") == "reserve", F.col("bytes")).otherwise(0)
-    shape = "batch long, reserved long, rows long"
-
-    def account(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        totals = f"{folder}/totals"
-        path = spark._jvm.org.apache.hadoop.fs.Path(totals)
-        known = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-        earlier = spark.read.schema(shape).parquet(totals + "/*").filter(F.col("batch") < number) if known else spark.createDataFrame([], shape)
-        before = earlier.agg(F.coalesce(F.sum("reserved"), F.lit(0)).alias("carry"), F.coalesce(F.sum("rows"), F.lit(0)).alias("count"))
-        rows = byte_ledger(batch.crossJoin(F.broadcast(before)).withColumn("sequence", F.col("sequence") - F.col("count")).drop("carry", "count"), 1 << 62)
-        placed = rows.crossJoin(F.broadcast(before)).withColumn("reserved", F.col("reserved") + F.col("carry")).select(
-            "seq", "kind", "reserved", F.when(F.col("problem").isNotNull(), F.col("problem")).when(
-                (F.col("kind") == "reserve") & (F.col("reserved") > budget), "over_budget").alias("problem"))
-        placed.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
-        batch.agg(F.lit(number).cast("long").alias("batch"), F.coalesce(F.sum(reserve), F.lit(0)).alias("reserved"),
-                  F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(f"{totals}/{number}")
-
-    return (stream.writeStream.foreachBatch(account).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+    """Running reserved amount over all rows and the rows past the budget (``tables.account``)."""
+    return account(stream, budget, folder, checkpoint)
