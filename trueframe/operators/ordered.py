@@ -83,6 +83,70 @@ def row_rank(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[Co
               .withColumn(out, _found(F.col("_before"), "long") + F.col("_at") + F.lit(start - 1)).drop("_before", "_at"))
 
 
+def _span(df: DataFrame, position: Column) -> tuple[int, int]:
+    """The lowest position and how far the highest lies above it."""
+    ends = df.agg(F.min(position).cast("long").alias("low"), F.max(position).cast("long").alias("high")).first()
+    return (0, 0) if ends["low"] is None else (ends["low"], ends["high"] - ends["low"])
+
+
+def prefix_sums(df: DataFrame, keys: Sequence[str], position: Column, order: Sequence[Column], sums: dict[str, Column],
+                fan: int = 4096) -> DataFrame:
+    """Running total (inclusive) of each named value along one long order, over as many levels as it takes.
+
+    ``position`` is a whole number that does not decrease along the order. Blocks
+    of ``fan`` positions are scanned on their own; their totals are the rows of
+    the next level, whose positions are the blocks' numbers, and so on until
+    every key has one block. The carries then come down again, level by level, by
+    joins on (key, block). No window is wider than ``fan`` rows above the first
+    level, however long the order is and however many rows one key has.
+    """
+    names = list(sums)
+    low, wide = _span(df, position)
+    levels = [df.withColumns({"_at": position.cast("long") - low, **{f"_v_{n}": v for n, v in sums.items()}})]
+    while wide >= fan:
+        wide //= fan
+        above = levels[-1].withColumn("_block", F.floor(F.col("_at") / fan)).groupBy(*keys, "_block").agg(
+            *[F.sum(f"_v_{n}").alias(f"_v_{n}") for n in names])
+        levels.append(settled(above.withColumnRenamed("_block", "_at"), "blocks"))
+    carry = None
+    for depth in range(len(levels) - 1, -1, -1):
+        rows = levels[depth].withColumn("_block", F.floor(F.col("_at") / fan))
+        inside = W.partitionBy(*keys, "_block").orderBy(*(order if depth == 0 else [F.col("_at")]))
+        scanned = rows.withColumns({n: F.coalesce(F.sum(f"_v_{n}").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow)), F.lit(0)) for n in names})
+        if carry is not None:
+            kinds = {f.name: f.dataType.simpleString() for f in carry.schema}
+            scanned = scanned.join(carry, [*keys, "_block"], "left")
+            scanned = scanned.withColumns({n: F.col(n) + _found(F.col(f"_c_{n}"), kinds[f"_c_{n}"]) for n in names})
+        if depth:
+            # what stands before a block: its own running total without itself
+            carry = scanned.select(*keys, F.col("_at").alias("_block"), *[
+                (F.col(n) - F.coalesce(F.col(f"_v_{n}"), F.lit(0))).alias(f"_c_{n}") for n in names])
+    return scanned.drop("_at", "_block", *[f"_v_{n}" for n in names], *[f"_c_{n}" for n in names])
+
+
+def next_in_order(df: DataFrame, keys: Sequence[str], position: str, order: Sequence[str], fan: int = 4096) -> DataFrame:
+    """Each row with ``_next``, the struct of ``order`` of the row behind it, over as many levels as it takes.
+
+    Inside a block of ``fan`` positions the next row is a lead. A block's last row
+    needs the first row of the next block that has any, which is the same question
+    one level up, asked of one row per block.
+    """
+    def link(rows: DataFrame, by: list[Column], wide: int) -> DataFrame:
+        """``rows`` has keys, ``_at`` up to ``wide``, and ``_first``, the struct it begins with; gives ``_next``."""
+        blocked = rows.withColumn("_block", F.floor(F.col("_at") / fan))
+        local = W.partitionBy(*keys, "_block").orderBy(*by)
+        led = blocked.withColumn("_next", F.lead("_first").over(local))
+        if wide < fan:
+            return led.drop("_block")
+        heads = settled(blocked.groupBy(*keys, "_block").agg(F.min("_first").alias("_first")).withColumnRenamed("_block", "_at"), "heads")
+        above = link(heads, [F.col("_at")], wide // fan).select(*keys, F.col("_at").alias("_block"), F.col("_next").alias("_behind"))
+        return led.join(above, [*keys, "_block"], "left").withColumn("_next", F.coalesce("_next", "_behind")).drop("_block", "_behind")
+
+    low, wide = _span(df, F.col(position))
+    start = df.withColumns({"_at": F.col(position).cast("long") - low, "_first": F.struct(*order)})
+    return link(start, [F.col(c) for c in order], wide).drop("_at", "_first")
+
+
 def adjacent_pairs(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str],
                    cols: Sequence[str] = ()) -> DataFrame:
     """One row per pair of neighbouring rows: ``prev`` and ``cur`` structs.

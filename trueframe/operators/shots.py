@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rules import codes, first_of, truthy
-from .ordered import adjacent_pairs, as_of, row_rank, running_sums
+from .ordered import adjacent_pairs, as_of, next_in_order, row_rank, running_sums
 
 
 def window_starts(duration: Column, width: float, stride: float) -> Column:
@@ -203,17 +203,19 @@ def asof_frame(frames: DataFrame, centres: DataFrame, bucket_of) -> DataFrame:
         F.col("at") < F.col("_hit.ends"), F.col("_hit.frame_id")).alias("frame_id"))
 
 
-def entry_boundary(entries: DataFrame, central: int, block: int = 1 << 20) -> DataFrame:
-    """End of each archive entry: the next entry's offset, or the central directory."""
-    at = entries.select("name", "local_header_offset").withColumn("_b", F.floor(F.col("local_header_offset") / block))
-    pairs = adjacent_pairs(at, [], "_b", ["local_header_offset", "name"])
-    last = at.agg(F.max_by("name", F.struct("local_header_offset", "name")).alias("name"),
-                  F.max("local_header_offset").alias("local_header_offset"))
-    return pairs.select(F.col("prev.name").alias("name"), F.col("prev.local_header_offset").alias("local_header_offset"),
-                        F.col("cur.local_header_offset").alias("boundary"),
-                        (F.col("cur.local_header_offset") == F.col("prev.local_header_offset")).alias("duplicate")
-                        ).unionByName(last.select("name", "local_header_offset", F.lit(central).cast("long").alias("boundary"),
-                                                  F.lit(False).alias("duplicate")))
+def entry_boundary(entries: DataFrame, central: int | Column, block: int = 1 << 20, keys: Sequence[str] = ()) -> DataFrame:
+    """End of each archive entry: the next entry's offset, or the central directory.
+
+    ``keys`` name the archive where there are several; ``central`` is then a
+    column of its own offset. Entries are linked by block of offsets, and blocks
+    by their first entries, level over level.
+    """
+    extra = [central.alias("_central")] if isinstance(central, Column) else [F.lit(central).cast("long").alias("_central")]
+    at = entries.select(*keys, "name", "local_header_offset", *extra)
+    linked = next_in_order(at, keys, "local_header_offset", ["local_header_offset", "name"], block)
+    following = F.col("_next.local_header_offset")
+    return linked.select(*keys, "name", "local_header_offset", F.coalesce(following, F.col("_central")).alias("boundary"),
+                         F.coalesce(following == F.col("local_header_offset"), F.lit(False)).alias("duplicate"))
 
 
 def hash_window(clips: DataFrame, salt: str = "window-v1:", length: float = 2.0) -> DataFrame:

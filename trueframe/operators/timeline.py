@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import codes, first_of, truthy
-from .ordered import adjacent_pairs, islands, running_sums
+from .ordered import adjacent_pairs, islands, prefix_sums
 
 SCORE_THRESHOLD = 0.5
 MAX_POSITIVE_GAP = Decimal("0.6")
@@ -151,8 +151,7 @@ def op_reservation(runs: DataFrame) -> DataFrame:
 def op_ledger(runs: DataFrame, cap: int, block: int = 4096) -> DataFrame:
     """Running total of reported operations in run order, checked against the
     saved total, with the rows past the cap marked."""
-    scanned = running_sums(runs.withColumn("band", F.floor(F.col("run_no") / block)), [], "band", [F.col("run_no")],
-                           {"observed": F.coalesce(F.col("reported"), F.lit(0))})
+    scanned = prefix_sums(runs, [], F.col("run_no"), [F.col("run_no")], {"observed": F.coalesce(F.col("reported"), F.lit(0))}, block)
     return scanned.select("run_no", "reported", "observed", "saved",
                           (~F.col("observed").eqNullSafe(F.col("saved"))).alias("ledger_mismatch"),
                           (F.col("observed") > cap).alias("over_cap"))
@@ -161,8 +160,7 @@ def op_ledger(runs: DataFrame, cap: int, block: int = 4096) -> DataFrame:
 def byte_ledger(events: DataFrame, budget: int, block: int = 4096) -> DataFrame:
     """Reservations accumulate and are never refunded; sequence must be gapless."""
     reserve = F.when(F.col("kind") == "reserve", F.col("bytes")).otherwise(0)
-    scanned = running_sums(events.withColumn("band", F.floor(F.col("seq") / block)), [], "band", [F.col("seq")],
-                           {"reserved": reserve, "expected": F.lit(1)})
+    scanned = prefix_sums(events, [], F.col("seq"), [F.col("seq")], {"reserved": reserve, "expected": F.lit(1)}, block)
     return scanned.select("seq", "kind", "reserved", first_of(
         (F.col("sequence") != F.col("expected") - 1, "sequence_gap"),
         ((F.col("kind") == "reserve") & (F.col("bytes") <= 0), "invalid_reservation"),

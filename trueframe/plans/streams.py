@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_folder
 from ..sources import sinks
-from ..streaming import jobs, tables
+from ..streaming import jobs, tables, timed
 from .registry import BINDINGS, SPARK, query
 from .timeline import VALID, RUNS
 
@@ -44,32 +44,30 @@ WALK = """WITH RECURSIVE o AS (SELECT case_id AS key, event_id, at_us, row_numbe
   SELECT key, event_id, at_us, CASE WHEN ok THEN 'admitted' ELSE 'refused' END AS outcome, retry AS retry_after FROM w""")
 def _(t):
     rows = bound(t, "samples").select(F.col("case_id").alias("key"), "at_us", "event_id")
-    return finished(t, jobs.admission(rows, "key", limit=3, window_us=24 * HOUR_US), "admission")
+    out = timed.finished(rows, lambda s: timed.by_time(s, "key", timed.TimedAdmission(3, 24 * HOUR_US)), "admission")
+    return out.drop("late")
 
 
 @query("stream_coalesce", WALK + f""" w AS (SELECT key, event_id, at_us, i, event_id AS leader, at_us AS opened FROM o WHERE i=1
    UNION ALL SELECT o.key, o.event_id, o.at_us, o.i, CASE WHEN o.at_us >= w.opened+{12*HOUR_US} THEN o.event_id ELSE w.leader END, CASE WHEN o.at_us >= w.opened+{12*HOUR_US} THEN o.at_us ELSE w.opened END
-   FROM w JOIN o ON o.key=w.key AND o.i=w.i+1) SELECT key, event_id, leader, leader=event_id AS opened_flight FROM w""")
+   FROM w JOIN o ON o.key=w.key AND o.i=w.i+1) SELECT key, event_id, leader, leader=event_id AS opened_flight, FALSE AS late FROM w""")
 def _(t):
     rows = bound(t, "samples").select(F.col("case_id").alias("key"), "at_us", "event_id")
-    return finished(t, jobs.coalesce_requests(rows, "key", 12 * HOUR_US), "coalesce").filter("NOT late").drop("late")
+    return timed.finished(rows, lambda s: timed.by_time(s, "key", timed.TimedCoalesce(12 * HOUR_US)), "coalesce")
 
 
-@query("stream_runs", "WITH " + VALID + ", " + RUNS + " SELECT case_id, first_event_id, n, f AS first_nano, l AS last_nano, max_score FROM runs")
+@query("stream_runs", "WITH " + VALID + ", " + RUNS + " SELECT case_id, first_event_id, n, f AS first_nano, l AS last_nano, max_score, FALSE AS late FROM runs")
 def _(t):
     rows = bound(t, "samples").withColumn("valid", F.col("score").isNotNull() & (F.col("nano") >= 0) & (F.col("nano") < 31_000_000_000)).fillna(0.0, ["score"])
-    out = finished(t, jobs.runs(rows, 600_000_000), "runs").filter("NOT late")
-    # a run seen open in one batch and closed in a later one keeps its longest form
-    return out.groupBy("case_id", "first_event_id").agg(
-        F.max("n").alias("n"), F.min("first_nano").alias("first_nano"), F.max("last_nano").alias("last_nano"), F.max("max_score").alias("max_score"))
+    return timed.finished(rows, lambda s: timed.by_time(s, "case_id", timed.TimedRuns(600_000_000, 30 * 24 * HOUR_US)), "runs")
 
 
 @query("stream_error_stop", """WITH e AS (SELECT case_id, at_us, event_id, CASE WHEN event_type IN ('error','view') THEN event_type END AS error, row_number() OVER (PARTITION BY case_id ORDER BY at_us, event_id) AS i FROM {samples}),
   l AS (SELECT *, lag(error) OVER w AS e1, lag(error,2) OVER w AS e2 FROM e WINDOW w AS (PARTITION BY case_id ORDER BY i))
-  SELECT case_id, at_us, event_id, error FROM l WHERE error=e1 AND error=e2 QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY i)=1""")
+  SELECT case_id, at_us, event_id, error, FALSE AS late FROM l WHERE error=e1 AND error=e2 QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY i)=1""")
 def _(t):
     rows = bound(t, "samples").withColumn("error", F.when(F.col("event_type").isin("error", "view"), F.col("event_type")))
-    return finished(t, jobs.error_stop(rows), "errors").filter("NOT late").drop("late")
+    return timed.finished(rows, lambda s: timed.by_time(s, "case_id", timed.TimedErrorStop(3, 365 * 24 * HOUR_US)), "errors")
 
 
 @query("stream_op_budget", """SELECT seq, kind, reserved, CASE WHEN sequence <> rn THEN 'sequence_gap' WHEN kind='reserve' AND reserved > 2000000000 THEN 'over_budget' END AS problem
