@@ -97,3 +97,19 @@ def test_entry_boundaries(spark):
     df = spark.createDataFrame([("a", 0), ("b", 50), ("c", 50), ("d", 900)], "name string, local_header_offset long")
     got = {r.name: (r.boundary, r.duplicate) for r in s.entry_boundary(df, 1000, block=64).collect()}
     assert got == {"a": (50, False), "b": (50, True), "c": (900, False), "d": (1000, False)}
+
+
+def test_sql_face_with_problems_and_frames_of_the_case(spark):
+    s.register_plan_windows(spark)
+    rows = spark.sql("SELECT id, w.* FROM VALUES (1, 0.4D), (2, NULL), (3, 2.5D) AS c(id, d), LATERAL plan_windows_checked(c.d, 2D, 1D) w").collect()
+    assert sorted(((r.id, r.start, r.problem) for r in rows), key=str) == [
+        (1, None, "unsupported_duration"), (2, None, "unsupported_duration"), (3, 0.0, None), (3, .5, None)]
+    cases = spark.createDataFrame([(1, "hardcut", 50), (2, "blend", 130), (3, "hardcut", None)],
+                                  "case_id int, composition string, frames int").selectExpr("*", "false host_ai", "true donor_ai", "'h' host_id", "'d' donor_id")
+    built = s.lineage_build(cases)
+    assert {r.case_id: r["count"] for r in built.groupBy("case_id").count().collect()} == {1: 50, 2: 130, 3: 1}
+    stored = built.filter("case_id <> 1 OR output_index <> 7").filter("output_index is not null").unionByName(
+        built.filter("case_id = 1 AND output_index = 40").withColumn("output_index", built.output_index + 20).withColumn("master_index", built.master_index + 20))
+    problems = s.lineage_check(stored.drop("host_id", "donor_id").withColumn("donor_frame", F.when(F.col("alpha") > 0, 1)), cases.drop("host_id", "donor_id"))
+    assert {(r.case_id, r.output_index, r.problem) for r in problems.collect()} == {
+        (1, 7, "missing_frame"), (1, 60, "past_the_end"), (3, None, "unknown_frames")}

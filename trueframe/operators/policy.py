@@ -116,14 +116,20 @@ def decision_of_verdict(verdict: Column) -> Column:
 
 
 def score_replay(reports: DataFrame, saved: DataFrame, fields: Sequence[str] = SCORE_FIELDS) -> DataFrame:
-    """Saved reports scored again: which fields changed, and whether the decision did."""
-    again = verdict_waterfall(reports).select("clip_id", *fields)
-    old = saved.select("clip_id", *[F.col(f).alias(f"_old_{f}") for f in fields])
-    changed = codes(*[(~F.col(f).eqNullSafe(F.col(f"_old_{f}")), f) for f in fields])
+    """Saved reports scored again: which fields changed, and whether the decision did.
+
+    A report without a saved row, and a saved row without a report, is a row with
+    its problem and nothing compared.
+    """
+    again = verdict_waterfall(reports).select("clip_id", F.lit(True).alias("_new"), *fields)
+    old = saved.select("clip_id", F.lit(True).alias("_old"), *[F.col(f).alias(f"_old_{f}") for f in fields])
+    both = F.col("_new").isNotNull() & F.col("_old").isNotNull()
+    changed = codes(*[(both & ~F.col(f).eqNullSafe(F.col(f"_old_{f}")), f) for f in fields])
     was, now = decision_of_verdict(F.col("_old_verdict")), decision_of_verdict(F.col("verdict"))
-    return again.join(old, "clip_id").select(
+    return again.join(old, "clip_id", "full_outer").select(
         "clip_id", was.alias("original_decision"), now.alias("replayed_decision"),
-        (~was.eqNullSafe(now)).alias("decision_changed"), changed.alias("changed_fields"))
+        F.when(both, ~was.eqNullSafe(now)).alias("decision_changed"), changed.alias("changed_fields"),
+        first_of((F.col("_old").isNull(), "not_saved"), (F.col("_new").isNull(), "not_replayed")).alias("problem"))
 
 
 def pass_validity(reports: DataFrame, has_audio: Column) -> DataFrame:

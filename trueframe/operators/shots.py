@@ -32,16 +32,22 @@ def sliding_windows(clips: DataFrame, width: float = 2.0, stride: float = 1.0, *
 
 
 def register_plan_windows(spark: SparkSession, name: str = "plan_windows") -> None:
-    """SQL face of ``sliding_windows``: SELECT * FROM clips, LATERAL plan_windows(duration, 2D, 1D).
+    """SQL faces of ``sliding_windows``: SELECT * FROM clips, LATERAL plan_windows(duration, 2D, 1D).
 
-    A SQL table function, so its body is planned with the query around it.
+    SQL table functions, so their bodies are planned with the query around them.
+    ``plan_windows_checked`` gives one more column and, for a clip outside the
+    supported length, one row with its problem; ``plan_windows`` gives windows only.
     """
-    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION {name}(duration DOUBLE, width DOUBLE, stride DOUBLE)
-        RETURNS TABLE (window_no INT, start DOUBLE, end DOUBLE) RETURN
-        SELECT n, s, IF(duration <= width, duration, s + width) FROM (
-            SELECT posexplode(CASE WHEN duration IS NULL OR duration < 0.5 OR duration > 120.000001 THEN array() WHEN duration <= width THEN array(0D)
+    checked = f"{name}_checked"
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION {checked}(duration DOUBLE, width DOUBLE, stride DOUBLE)
+        RETURNS TABLE (window_no INT, start DOUBLE, end DOUBLE, problem STRING) RETURN
+        SELECT n, s, IF(duration <= width, s + duration, s + width), IF(s IS NULL, 'unsupported_duration', NULL) FROM (
+            SELECT posexplode_outer(CASE WHEN duration IS NULL OR duration < 0.5 OR duration > 120.000001 THEN NULL WHEN duration <= width THEN array(0D)
                 ELSE concat(transform(sequence(0, CAST(floor((duration - width) / stride) AS INT)), i -> i * stride),
                      IF(abs(floor((duration - width) / stride) * stride - (duration - width)) > 1e-6, array(duration - width), array())) END) AS (n, s))""")
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION {name}(duration DOUBLE, width DOUBLE, stride DOUBLE)
+        RETURNS TABLE (window_no INT, start DOUBLE, end DOUBLE) RETURN
+        SELECT w.window_no, w.start, w.end FROM {checked}(duration, width, stride) w WHERE w.problem IS NULL""")
 
 
 def window_membership(frames: DataFrame, windows: DataFrame, width: float, key: str = "case_id") -> DataFrame:
@@ -133,17 +139,28 @@ def ai_share(alpha: Column) -> Column:
     return (F.when(F.col("host_ai"), 1 - alpha).otherwise(0.0) + F.when(F.col("donor_ai"), alpha).otherwise(0.0))
 
 
-def lineage_build(cases: DataFrame, frames: int = 120) -> DataFrame:
-    """Per output frame of each edit: donor share and known AI share."""
-    rows = cases.withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(frames - 1))))
-    alpha = donor_alpha(F.col("composition"), F.col("frame"))
+def _frames(cases: DataFrame) -> Column:
+    """Frame numbers of a case: as many as its own ``frames`` say, 120 where cases have no such column."""
+    last = (F.col("frames").cast("int") if "frames" in cases.columns else F.lit(120)) - 1
+    return F.when(last >= 0, F.sequence(F.lit(0), last))
+
+
+def lineage_build(cases: DataFrame) -> DataFrame:
+    """Per output frame of each edit: donor share and known AI share.
+
+    A case whose number of frames is unknown or not positive has one row without them.
+    """
+    rows = cases.withColumn("frame", F.explode_outer(_frames(cases)))
+    alpha = F.when(F.col("frame").isNotNull(), donor_alpha(F.col("composition"), F.col("frame")))
+    share = F.when(F.col("frame").isNotNull(), ai_share(alpha))
     return rows.select("case_id", F.col("frame").alias("output_index"), F.col("frame").alias("master_index"),
-                       "host_id", "donor_id", alpha.alias("alpha"), ai_share(alpha).alias("ai_share"))
+                       "host_id", "donor_id", alpha.alias("alpha"), share.alias("ai_share"))
 
 
-def lineage_check(lineage: DataFrame, cases: DataFrame, frames: int = 120, tolerance: float = 1e-7) -> DataFrame:
-    """Problems of recorded lineage: missing frames, backward master index, and
-    shares or donor frames that differ from the plan."""
+def lineage_check(lineage: DataFrame, cases: DataFrame, tolerance: float = 1e-7) -> DataFrame:
+    """Problems of recorded lineage: missing frames, frames past the case's end,
+    backward master index, shares or donor frames that differ from the plan, and
+    cases whose number of frames is unknown."""
     rows = lineage.join(cases, "case_id")
     planned = donor_alpha(F.col("composition"), F.col("master_index"))
     wrong = rows.select("case_id", "output_index", F.explode(codes(
@@ -154,10 +171,14 @@ def lineage_check(lineage: DataFrame, cases: DataFrame, frames: int = 120, toler
                           ["output_index"], ["master_index"]).filter(
         "cur.master_index <= prev.master_index").select("case_id", F.col("cur.output_index").alias("output_index"),
                                                         F.lit("master_not_increasing").alias("problem"))
-    wanted = cases.select("case_id", F.explode(F.sequence(F.lit(0), F.lit(frames - 1))).alias("output_index"))
+    planned_frames = cases.select("case_id", F.explode_outer(_frames(cases)).alias("output_index"))
+    unknown = planned_frames.filter("output_index is null").withColumn("problem", F.lit("unknown_frames"))
+    wanted = planned_frames.filter("output_index is not null")
+    extra = lineage.select("case_id", "output_index").join(wanted, ["case_id", "output_index"], "left_anti").join(
+        cases.select("case_id"), "case_id", "left_semi").withColumn("problem", F.lit("past_the_end"))
     lost = wanted.join(lineage.select("case_id", "output_index"), ["case_id", "output_index"], "left_anti").withColumn(
         "problem", F.lit("missing_frame"))
-    return wrong.unionByName(back).unionByName(lost)
+    return wrong.unionByName(back).unionByName(lost).unionByName(extra).unionByName(unknown)
 
 
 def lineage_counts(picks: DataFrame, lineage: DataFrame) -> DataFrame:
@@ -246,7 +267,8 @@ def overlap_free_topk(clips: DataFrame, seconds: Column, reach: float = 2.0, lim
     """Up to three non-overlapping intervals around the gravest moments of a clip.
 
     ``moments`` is the clip's own short array, so the greedy choice is a fold
-    inside the row: no shuffle and no Python. ``limit`` is part of the rule.
+    inside the row: no shuffle and no Python. ``limit`` is part of the rule;
+    ``left_out`` counts the moments that got no interval.
     """
     rank = lambda m: F.when(m["severity"] == "high", 0).when(m["severity"] == "medium", 1).otherwise(2)
     listed = F.array_sort(F.transform("moments", lambda m, i: F.struct(
@@ -260,4 +282,5 @@ def overlap_free_topk(clips: DataFrame, seconds: Column, reach: float = 2.0, lim
         return F.when(usable & ~clash & (F.size(kept) < limit),
                       F.concat(kept, F.array(F.struct(start.alias("start"), end.alias("end"))))).otherwise(kept)
 
-    return clips.withColumn("windows", F.aggregate(listed, empty, keep))
+    kept = clips.withColumn("windows", F.aggregate(listed, empty, keep))
+    return kept.withColumn("left_out", F.greatest(F.size("moments"), F.lit(0)) - F.size("windows"))

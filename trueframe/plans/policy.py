@@ -37,9 +37,10 @@ FINDINGS = "s0 AS (SELECT *, " + SECS("m1_time") + " AS s1, " + SECS("m2_time")
 text = lambda c: F.concat(F.when(F.size(c) > 0, "|").otherwise(""), F.array_join(c, "|"))
 
 
-@query("moment_seconds", "SELECT clip_id, " + SECS("m1_time") + " AS seconds FROM {clips} WHERE m1_time IS NOT NULL")
+@query("moment_seconds", "SELECT clip_id, m1_time AS timestamp, " + SECS("m1_time") + " AS seconds FROM {clips} WHERE m1_time IS NOT NULL UNION ALL SELECT clip_id, m2_time, "
+       + SECS("m2_time") + " FROM {clips} WHERE m2_time IS NOT NULL")
 def _(t):
-    return t.clips.filter("m1_time is not null").select("clip_id", fp.moment_seconds(F.col("m1_time")).alias("seconds"))
+    return reports(t).select("clip_id", F.explode("moments.timestamp").alias("timestamp")).withColumn("seconds", fp.moment_seconds(F.col("timestamp")))
 
 
 @query("invalid_moments", "WITH " + FINDINGS + " SELECT clip_id, m1_time AS timestamp FROM s2 WHERE bad1 UNION ALL SELECT clip_id, m2_time FROM s2 WHERE bad2")
@@ -125,14 +126,18 @@ def _(t):
 
 
 @query("score_replay", "WITH " + WATERFALL + """, sv AS (SELECT *, CASE WHEN clip_id % 6=0 THEN 'Inconclusive' ELSE verdict END AS ov, CASE WHEN clip_id % 9=0 THEN 42 ELSE base_score END AS ob FROM wf),
-  d AS (SELECT *, CASE ov WHEN 'Inconclusive' THEN 'abstain' WHEN 'No clear AI indicators' THEN 'not_ai' ELSE 'ai' END AS od, CASE verdict WHEN 'Inconclusive' THEN 'abstain' WHEN 'No clear AI indicators' THEN 'not_ai' ELSE 'ai' END AS nd FROM sv)
-  SELECT clip_id, od AS original_decision, nd AS replayed_decision, od<>nd AS decision_changed, concat_ws('|', CASE WHEN ov<>verdict THEN 'verdict' END, CASE WHEN ob<>base_score THEN 'base_score' END) AS changed_fields FROM d""")
+  d AS (SELECT *, CASE ov WHEN 'Inconclusive' THEN 'abstain' WHEN 'No clear AI indicators' THEN 'not_ai' ELSE 'ai' END AS od, CASE verdict WHEN 'Inconclusive' THEN 'abstain' WHEN 'No clear AI indicators' THEN 'not_ai' ELSE 'ai' END AS nd FROM sv),
+  h AS (SELECT *, clip_id % 13 <> 5 AS old, clip_id % 17 <> 3 AS new FROM d)
+  SELECT clip_id, CASE WHEN old THEN od END AS original_decision, CASE WHEN new THEN nd END AS replayed_decision, CASE WHEN old AND new THEN od<>nd END AS decision_changed,
+    CASE WHEN old AND new THEN concat_ws('|', CASE WHEN ov<>verdict THEN 'verdict' END, CASE WHEN ob<>base_score THEN 'base_score' END) ELSE '' END AS changed_fields,
+    CASE WHEN NOT old THEN 'not_saved' WHEN NOT new THEN 'not_replayed' END AS problem FROM h WHERE old OR new""")
 def _(t):
     rows = reports(t)
     saved = p.verdict_waterfall(rows).withColumns({
         "verdict": F.when(F.col("clip_id") % 6 == 0, "Inconclusive").otherwise(F.col("verdict")),
         "base_score": F.when(F.col("clip_id") % 9 == 0, 42).otherwise(F.col("base_score"))})
-    return p.score_replay(rows, saved).withColumn("changed_fields", F.array_join("changed_fields", "|"))
+    # some rows of either side are missing
+    return p.score_replay(rows.filter("clip_id % 17 <> 3"), saved.filter("clip_id % 13 <> 5")).withColumn("changed_fields", F.array_join("changed_fields", "|"))
 
 
 def pass_rows(t):
@@ -200,13 +205,15 @@ def _(t):
 
 
 @query("overlap_free_topk", "WITH " + FINDINGS + """, o AS (SELECT clip_id, duration, CASE WHEN m2_time IS NOT NULL AND (m1_time IS NULL OR
-      (CASE m2_severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END) < (CASE m1_severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END)) THEN [s2, CASE WHEN m1_time IS NOT NULL THEN s1 END] ELSE [s1, s2] END AS q FROM s1),
-  z AS (SELECT clip_id, list_transform(list_filter(q, lambda s: s IS NOT NULL AND s<=duration AND least(duration, s+2) > greatest(0, s-2)), lambda s: [greatest(0,s-2), least(duration,s+2)]) AS w FROM o)
-  SELECT clip_id, CASE WHEN len(w)=0 THEN 0 WHEN len(w)=1 OR (w[1][1]<=w[2][2] AND w[1][2]>=w[2][1]) THEN 1 ELSE 2 END AS kept, w[1][1] AS first_start, w[1][2] AS first_end FROM z""")
+      (CASE m2_severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END) < (CASE m1_severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END)) THEN [s2, CASE WHEN m1_time IS NOT NULL THEN s1 END] ELSE [s1, s2] END AS q, (m1_time IS NOT NULL)::INT + (m2_time IS NOT NULL)::INT AS moments FROM s1),
+  z AS (SELECT clip_id, moments, list_transform(list_filter(q, lambda s: s IS NOT NULL AND s<=duration AND least(duration, s+2) > greatest(0, s-2)), lambda s: [greatest(0,s-2), least(duration,s+2)]) AS w FROM o),
+  k AS (SELECT *, CASE WHEN len(w)=0 THEN 0 WHEN len(w)=1 OR (w[1][1]<=w[2][2] AND w[1][2]>=w[2][1]) THEN 1 ELSE 2 END AS kept FROM z)
+  SELECT clip_id, i::INT AS window_no, w[i+1][1] AS start, w[i+1][2] AS "end", moments-kept AS left_out FROM (SELECT *, unnest(range(kept)) AS i FROM k)
+  UNION ALL SELECT clip_id, NULL, NULL, NULL, moments FROM k WHERE kept=0""")
 def _(t):
     out = overlap_free_topk(reports(t), fp.moment_seconds)
-    first = F.get("windows", F.lit(0))
-    return out.select("clip_id", F.size("windows").alias("kept"), first["start"].alias("first_start"), first["end"].alias("first_end"))
+    return out.select("clip_id", F.posexplode_outer("windows").alias("window_no", "w"), "left_out").select(
+        "clip_id", "window_no", "w.start", "w.end", "left_out")
 
 
 @query("severity_top", """SELECT clip_id, timestamp, severity FROM (SELECT clip_id, m1_time AS timestamp, m1_severity AS severity, 1 AS k FROM {clips} WHERE m1_time IS NOT NULL

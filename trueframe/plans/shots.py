@@ -25,11 +25,12 @@ def _(t):
     return s.sliding_windows(durations(t)).select("id", "window_no", "start", "end", "problem")
 
 
-@query("plan_windows_udtf", "WITH " + DUR + ", " + PLAN + " SELECT id, count(*) AS windows, max(start) AS last_start FROM w GROUP BY 1")
+@query("plan_windows_udtf", "WITH " + DUR + ", " + PLAN + """ SELECT id, count(*) AS windows, max(start) AS last_start, NULL::VARCHAR AS problem FROM w GROUP BY 1
+  UNION ALL SELECT id, 0, NULL, 'unsupported_duration' FROM d WHERE duration < 0.5 OR duration > 120""")
 def _(t):
     s.register_plan_windows(t.spark)
-    return t.spark.sql("SELECT c.id, w.start FROM {clips} c, LATERAL plan_windows(c.duration, 2D, 1D) w", clips=durations(t)).groupBy(
-        "id").agg(F.count(F.lit(1)).alias("windows"), F.max("start").alias("last_start"))
+    return t.spark.sql("SELECT c.id, w.start, w.problem FROM {clips} c, LATERAL plan_windows_checked(c.duration, 2D, 1D) w", clips=durations(t)).groupBy(
+        "id").agg(F.count("start").alias("windows"), F.max("start").alias("last_start"), F.max("problem").alias("problem"))
 
 
 FRAMES = "f AS (SELECT case_id, at_us, event_id, nano/1e9::DOUBLE AS pts FROM {samples})"
@@ -115,18 +116,23 @@ def _(t):
 
 
 LINEAGE = """ln AS (SELECT e.*, i AS output_index, CASE WHEN NOT (i>=36 AND i<84) THEN 0 WHEN composition='hardcut' THEN 1
-     WHEN composition='blend' THEN least(1, (2*(i-36)+1)/12.0::DOUBLE, (95-2*(i-36))/12.0::DOUBLE) ELSE 0 END::DOUBLE AS alpha FROM {edits} e, range(120) r(i)),
+     WHEN composition='blend' THEN least(1, (2*(i-36)+1)/12.0::DOUBLE, (95-2*(i-36))/12.0::DOUBLE) ELSE 0 END::DOUBLE AS alpha FROM (SELECT *, unnest(range(96 + 24 * (case_id % 3))) AS i FROM {edits}) e),
   lb AS (SELECT *, (CASE WHEN host_ai THEN 1-alpha ELSE 0 END + CASE WHEN donor_ai THEN alpha ELSE 0 END)::DOUBLE AS ai_share, case_id*120+output_index AS key FROM ln)"""
 
 
+def edits(t):
+    """Edits of 96, 120 or 144 frames."""
+    return t.edits.withColumn("frames", 96 + 24 * (F.col("case_id") % 3))
+
+
 @query("lineage_build", "WITH " + LINEAGE + " SELECT case_id, output_index::INT AS output_index, output_index::INT AS master_index, host_id, donor_id, round(alpha,9) AS alpha, round(ai_share,9) AS ai_share FROM lb")
 def _(t):
-    return rounded(s.lineage_build(t.edits), "alpha", "ai_share")
+    return rounded(s.lineage_build(edits(t)), "alpha", "ai_share")
 
 
 def recorded(t):
     """Built lineage with known defects, as a stored copy would have."""
-    built = s.lineage_build(t.edits).withColumn("key", F.col("case_id") * 120 + F.col("output_index"))
+    built = s.lineage_build(edits(t)).withColumn("key", F.col("case_id") * 120 + F.col("output_index"))
     return built.filter("key % 307 <> 0").select(
         "case_id", "output_index", "host_id", "donor_id", "key",
         F.when(F.col("key") % 401 == 0, F.col("master_index") - 3).otherwise(F.col("master_index")).alias("master_index"),
@@ -150,7 +156,7 @@ RECORDED = LINEAGE + """, rc AS (SELECT case_id, composition, host_ai, donor_ai,
    UNION ALL SELECT case_id, output_index, 'master_not_increasing' FROM (SELECT *, lag(master_index) OVER (PARTITION BY case_id ORDER BY output_index) AS pm FROM rc) WHERE master_index<=pm
    UNION ALL SELECT case_id, output_index, 'missing_frame' FROM lb WHERE key % 307=0)""")
 def _(t):
-    plan = t.edits.select("case_id", "composition", "host_ai", "donor_ai")
+    plan = edits(t).select("case_id", "composition", "host_ai", "donor_ai", "frames")
     return s.lineage_check(recorded(t).drop("host_id", "donor_id"), plan)
 
 
@@ -160,7 +166,7 @@ def _(t):
 def _(t):
     picks = t.edits.select("case_id").withColumn("window_no", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(
         "output_index", F.explode(F.transform(s.evenly(16, F.lit(96)), lambda i: i + F.col("window_no") * 24)))
-    return s.lineage_counts(picks, s.lineage_build(t.edits))
+    return s.lineage_counts(picks, s.lineage_build(edits(t)))
 
 
 @query("lineage_source_match", "WITH " + RECORDED + """ SELECT case_id, output_index::INT AS output_index, CASE WHEN host_frame IS DISTINCT FROM master_index*3 THEN 'host_frame_differs' ELSE 'donor_frame_differs' END AS problem
@@ -168,7 +174,7 @@ def _(t):
 def _(t):
     parents = t.edits.select(F.col("host_id").alias("parent_id"), F.lit(3).alias("step")).unionByName(
         t.edits.filter("donor_id is not null").select(F.col("donor_id").alias("parent_id"), F.lit(2).alias("step"))).distinct()
-    native = parents.withColumn("master_index", F.explode(F.sequence(F.lit(-3), F.lit(119)))).select(
+    native = parents.withColumn("master_index", F.explode(F.sequence(F.lit(-3), F.lit(143)))).select(
         "parent_id", "master_index", (F.col("master_index") * F.col("step")).alias("native_frame"))
     return s.lineage_source_match(recorded(t), native).select("case_id", "output_index", "problem")
 
@@ -189,11 +195,12 @@ def _(t):
     return s.presentation_coverage(shown(t), "day", F.lit(72 * HOUR_US), F.lit(96 * HOUR_US))
 
 
-@query("asof_frame", "WITH " + SHOWN + f""", c AS (SELECT DISTINCT case_id, i AS slot, {12*HOUR_US}*(2*i+1) AS at_ FROM sf, range(30) r(i))
+@query("asof_frame", "WITH " + SHOWN + f""", c AS (SELECT *, {12*HOUR_US}*(2*slot+1) AS at_ FROM (SELECT case_id, unnest(range(max(at_)//{24*HOUR_US} + 1)) AS slot FROM sf GROUP BY 1))
   SELECT c.case_id, slot::INT AS slot, c.at_ AS "at", CASE WHEN c.at_ < sf.raw THEN frame_id END AS frame_id
   FROM c ASOF LEFT JOIN sf ON c.case_id=sf.case_id AND c.at_ >= sf.at_""")
 def _(t):
-    centres = t.samples.select("case_id").distinct().withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(29)))).withColumn(
+    last = F.floor(F.max("at_us") / (24 * HOUR_US)).cast("int")
+    centres = t.samples.groupBy("case_id").agg(last.alias("last")).select("case_id", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("slot")).withColumn(
         "at", F.lit(12 * HOUR_US) * (2 * F.col("slot") + 1))
     return s.asof_frame(shown(t), centres, lambda at: F.floor(at / (24 * HOUR_US)))
 
