@@ -155,7 +155,11 @@ def long_matches(context: np.ndarray, low: np.ndarray, high: np.ndarray, doc: np
 
 
 def _texts(docs: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Table]:
-    """Bytes, ends, ids and usability of a chunk's documents, in a fixed order."""
+    """Bytes, ends, ids and usability of a chunk's documents, in a fixed order.
+
+    Rows of one id are separate documents, so whole copies are told by ``row_key``,
+    a hash of id and text, and not by the id.
+    """
     docs = docs.append_column("_digest", pa.array([hashlib.md5(b).digest() for b in docs["body"].to_pylist()], pa.binary()))
     docs = docs.sort_by([("doc_id", "ascending"), ("_digest", "ascending")]).drop_columns("_digest").combine_chunks()
     bodies = docs["body"].to_pylist()
@@ -174,11 +178,11 @@ def _copies(other: pa.Table) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
-def _searched(buf: np.ndarray, ends: np.ndarray, ids: np.ndarray, known: np.ndarray, copies: np.ndarray):
+def _searched(buf: np.ndarray, ends: np.ndarray, docs: pa.Table, known: np.ndarray, copies: np.ndarray):
     """Anchors of the chunk's documents that have an id and are no whole copies: position, hash, document."""
     at, h = anchors(buf, ends)
     local = np.searchsorted(ends, at, side="right")
-    use = (known & ~np.isin(ids, copies))[local]
+    use = (known & ~np.isin(docs["row_key"].to_numpy(), copies))[local]
     return at[use], h[use], local[use]
 
 
@@ -212,23 +216,24 @@ def _chunked(docs: DataFrame, id_col: str, text_col: str, also: list[str]) -> tu
     # rows without an id are dealt by their text, so that they do not meet in one chunk
     dealt = F.xxhash64(F.when(F.col("doc_id").isNull(), F.col("body")), "doc_id")
     chunk = F.pmod(dealt, F.lit(max(1, -(-count // CHUNK)))).alias("chunk")
+    row_key = F.xxhash64("doc_id", "body").alias("row_key")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = rows.filter(F.octet_length("body") >= LENGTH).select("doc_id", chunk, F.sha2("body", 256).alias("digest"))
+    keyed = rows.filter(F.octet_length("body") >= LENGTH).select("doc_id", row_key, chunk, F.sha2("body", 256).alias("digest"))
     # copies of a digest in a document with a larger id than its least
     first = keyed.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("digest", "first")
-    copies = keyed.join(first, "digest").filter("doc_id > first").select("chunk", "doc_id")
-    return rows.select("*", chunk).repartition(parts, "chunk"), copies, max(1, -(-size // BUCKET_BYTES))
+    copies = keyed.join(first, "digest").filter("doc_id > first").select("chunk", "row_key")
+    return rows.select("*", row_key, chunk).repartition(parts, "chunk"), copies, max(1, -(-size // BUCKET_BYTES))
 
 
 def _marks(chunked: DataFrame, copies: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
     """(copies by chunk, marks by chunk): packed places and lengths to remove."""
-    flagged = copies.groupBy("chunk").agg(F.sort_array(F.collect_set("doc_id")).alias("copies"))
+    flagged = copies.groupBy("chunk").agg(F.sort_array(F.collect_set("row_key")).alias("copies"))
 
     def hashes_out(docs: pa.Table, other: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return _table(_HASHES, [])
         buf, ends, ids, known, docs = _texts(docs)
-        _, h, local = _searched(buf, ends, ids, known, _copies(other))
+        _, h, local = _searched(buf, ends, docs, known, _copies(other))
         # once per chunk; the last bit says that two documents of the chunk have it
         order = np.lexsort((ids[local], h))
         h, doc = h[order], ids[local][order]
@@ -255,7 +260,7 @@ def _marks(chunked: DataFrame, copies: DataFrame, buckets: int) -> tuple[DataFra
         if not docs.num_rows or not other.num_rows:
             return _table(_CONTEXTS, [])
         buf, ends, ids, known, docs = _texts(docs)
-        at, h, local = _searched(buf, ends, ids, known, _copies(other))
+        at, h, local = _searched(buf, ends, docs, known, _copies(other))
         wanted = np.sort(np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(b, np.uint64) for b in other["hashes"].to_pylist() if b is not None]]))
         if not len(wanted) or not len(at):
             return _table(_CONTEXTS, [])
@@ -334,7 +339,7 @@ def _applied(docs: DataFrame, id_col: str, text_col: str, also: list[str], schem
                 turns -= np.bincount(at + np.frombuffer(length, np.int32), minlength=len(turns)).astype(np.int32)
         gone = np.cumsum(turns[:-1]) > 0
         bounds = list(zip([0, *ends[:-1].tolist()], ends.tolist()))
-        copied = known & np.isin(ids, _copies(other))
+        copied = known & np.isin(docs["row_key"].to_numpy(), _copies(other))
         for i in np.flatnonzero(copied).tolist():
             start, end = bounds[i]
             gone[start:end] = True
