@@ -119,18 +119,23 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """The training stream: the documents' columns, one row per copy, range-sorted by position.
 
     Documents the mix does not take are absent, those it repeats come again at
-    a later position. Identical rows are matched as a group, so each still
-    appears as often as it was taken.
+    a later position. Rows of equal id, source and text are numbered, by their
+    other columns here and by their positions there, and joined one to one, so
+    each keeps its own columns and appears as often as it was taken.
     """
     key = ["mix_id", "mix_source", "mix_text"]
-    plan = takes(written(sized(docs), "sized"), **options).groupBy(
-        F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("text_hash").alias("mix_text")).agg(
-        F.flatten(F.collect_list("positions")).alias("mix_positions"))
-    keyed = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("doc_id").alias(key[0]), F.col("source").alias(key[1]),
-                        F.xxhash64(text_of()).alias(key[2])).dropDuplicates(key)
-    joined = keyed.alias("d").join(plan.alias("p"), F.expr(" AND ".join(f"d.{k} <=> p.{k}" for k in key)))
-    return joined.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.explode("mix_positions").alias("mix_position")).sort(
-        "mix_position").drop("mix_position")
+    alike = W.partitionBy(*key)
+    plan = takes(written(sized(docs), "sized"), **options).select(
+        F.col("doc_id").alias(key[0]), F.col("source").alias(key[1]), F.col("text_hash").alias(key[2]), "positions")
+    plan = plan.withColumn("mix_no", F.row_number().over(alike.orderBy("positions")))
+    # the row travels as one column, whatever its columns are called
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(whole.alias("mix_row"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("mix_hash"),
+                        F.col("doc_id").alias(key[0]), F.col("source").alias(key[1]), F.xxhash64(text_of()).alias(key[2]))
+    keyed = keyed.withColumn("mix_no", F.row_number().over(alike.orderBy("mix_hash"))).drop("mix_hash")
+    joined = keyed.alias("d").join(plan.alias("p"), F.expr(" AND ".join(f"d.{k} <=> p.{k}" for k in [*key, "mix_no"])))
+    placed = joined.select("mix_row", F.explode("positions").alias("mix_position")).sort("mix_position")
+    return placed.select(*[F.col("mix_row").getField(c).alias(c) for c in docs.columns])
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:

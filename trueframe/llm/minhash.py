@@ -312,10 +312,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 def deduplicated(docs: DataFrame, percent: int = 85) -> DataFrame:
     """The documents that stay: the least id of each group, once; rows without an id all stay."""
     found = written(near_duplicates(docs, percent), "near-duplicates")
-    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    left = docs.join(written(gone, "gone"), F.col("doc_id") == F.col("gone_id"), "left_anti")
-    again = written(found.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("again_id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("again_id"), "again")
+    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
+    left = docs.join(written(gone, "gone"), "doc_id", "left_anti")
+    again = written(found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"), "again")
     if again.isEmpty():
         return left
-    once = left.join(again, F.col("doc_id") == F.col("again_id"), "left_semi").dropDuplicates(["doc_id"])
-    return left.join(again, F.col("doc_id") == F.col("again_id"), "left_anti").unionByName(once)
+    once = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return left.join(again, "doc_id", "left_anti").unionByName(once)
