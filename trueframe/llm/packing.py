@@ -24,6 +24,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +34,10 @@ from .common import blank_split, text_of, written
 CAPACITY = 4096
 BLOCK = 65_536
 END_ID = 1
-#: Words in one generation of a worker's memory of ids.
-REMEMBERED = 400_000
+#: Words in one generation of a worker's memory of ids; longer ones are encoded anew each time.
+REMEMBERED, LONGEST = 400_000, 64
+#: Bytes of text worked on together; a longer text stands alone.
+CHUNK_BYTES = 4 << 20
 
 
 class Memory:
@@ -94,56 +98,93 @@ class Encoder:
     def letters(word: str) -> bool:
         return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
 
+    def ids_of(self, parts: list[str]) -> list[bytes]:
+        """Ids of different parts. What this worker has met before is looked up."""
+        known, old = self.memory.turn(), self.memory.old
+        met: dict[str, bytes] = {}
+        cut, words, others = {}, set(), set()
+        for p in parts:
+            if p in known:
+                continue
+            if (ids := old.get(p)) is not None:
+                known[p] = ids
+            elif self.letters(p):
+                words.add(p)
+            elif p[-1] in self.MARKS and self.letters(p[:-1]):
+                cut[p] = p[:-1], p[-1]
+            else:
+                others.add(p)
+        for word, mark in cut.values():
+            if word not in known:
+                words.add(word)
+            if mark not in known:
+                others.add(mark)
+        for group, encode in ((list(words), self._words), (list(others), self._plain)):
+            if group:
+                met.update(zip(group, encode(group)))
+        for p, (word, mark) in cut.items():
+            met[p] = b"".join(met[x] if x in met else known[x] for x in (word, mark))
+        found = [met[p] if p in met else known[p] for p in parts]
+        known.update((p, ids) for p, ids in met.items() if len(p) <= LONGEST)
+        return found
+
     def __call__(self, text: str) -> bytes:
         parts = blank_split(text)
-        known, old = self.memory.turn(), self.memory.old
-        fresh = {p for p in parts if p not in known}
-        if fresh:
-            cut, words, others = {}, set(), set()
-            for p in fresh:
-                if (ids := old.get(p)) is not None:
-                    known[p] = ids
-                elif self.letters(p):
-                    words.add(p)
-                elif p[-1] in self.MARKS and self.letters(p[:-1]):
-                    cut[p] = p[:-1], p[-1]
-                else:
-                    others.add(p)
-            for word, mark in cut.values():
-                if word not in known:
-                    words.add(word)
-                if mark not in known:
-                    others.add(mark)
-            for group, encode in ((list(words), self._words), (list(others), self._plain)):
-                if group:
-                    known.update(zip(group, encode(group)))
-            for p, (word, mark) in cut.items():
-                known[p] = known[word] + known[mark]
-        return b"".join(map(known.__getitem__, parts))
+        different = list(dict.fromkeys(parts))
+        return b"".join(map(dict(zip(different, self.ids_of(different))).__getitem__, parts))
+
+    def batch(self, texts: pa.Array, closing: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, each followed by ``closing``, and how many each text has.
+
+        Parts are numbered over the whole batch, the different ones are encoded,
+        and every part's ids are gathered from theirs by index.
+        """
+        split = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        flat, owner = split.flatten(), pc.list_parent_indices(split).to_numpy()
+        filled = pc.greater(pc.binary_length(flat), 0)
+        coded = flat.filter(filled).dictionary_encode()
+        owner = owner[filled.to_numpy(zero_copy_only=False)]
+        raw = [*self.ids_of(coded.dictionary.to_pylist()), np.asarray([closing], "<u4").tobytes()]
+        table = np.frombuffer(b"".join(raw), "<u4")
+        width = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        begin = np.cumsum(width) - width
+        parts = np.bincount(owner, minlength=len(texts))
+        # the closing part stands behind the last part of its text
+        code = np.insert(coded.indices.to_numpy(), np.cumsum(parts), len(raw) - 1)
+        size = width[code]
+        ends = np.cumsum(size)
+        ids = table[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin[code] - (ends - size), size)]
+        return ids, np.diff(ends[np.cumsum(parts + 1) - 1], prepend=0) if len(texts) else parts
 
 
 def tokenised(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of every document: doc_id, piece, start, length, ids_crc32."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    tail = np.asarray([END_ID], dtype="<u4").tobytes()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+
+    def pieces(encode: Encoder, doc_ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+        ids, lengths = encode.batch(texts, END_ID)
+        count = -(-lengths // capacity)
+        of = np.repeat(np.arange(len(lengths)), count)
+        piece = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+        start = piece * capacity
+        length = np.minimum(lengths[of] - start, capacity)
+        first = np.repeat(np.cumsum(lengths) - lengths, count) + start
+        view = memoryview(np.ascontiguousarray(ids)).cast("B")
+        crc = [zlib.crc32(view[4 * i:4 * (i + n)]) for i, n in zip(first.tolist(), length.tolist())]
+        return pa.RecordBatch.from_arrays(
+            [doc_ids.take(pa.array(of)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
+            ["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(tokenizer)
         for batch in batches:
-            at, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(batch["text"]):
-                ids = encode(text) + tail
-                for k, begin in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[begin:begin + 4 * capacity]
-                    at.append(i)
-                    piece.append(k)
-                    start.append(begin // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64").to_numpy()[at] if at else [], "piece": piece, "start": start,
-                                "length": length, "ids_crc32": crc})
-
-    return rows.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+            weight = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)) // CHUNK_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(weight)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo < hi:
+                    yield pieces(encode, batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo))
+
+    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
