@@ -87,7 +87,8 @@ class Encoder:
 
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of words of letters. A word is at least one pre-token, so as many ends as words means one each."""
-        ids = np.asarray(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
+        # the fast form leaves out the offsets into the text
+        ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) != len(words):
             return self._plain(words)
@@ -103,9 +104,7 @@ class Encoder:
         known, old = self.memory.turn(), self.memory.old
         met: dict[str, bytes] = {}
         cut, words, others = {}, set(), set()
-        for p in parts:
-            if p in known:
-                continue
+        for p in [p for p in parts if p not in known]:
             if (ids := old.get(p)) is not None:
                 known[p] = ids
             elif self.letters(p):
@@ -124,8 +123,11 @@ class Encoder:
                 met.update(zip(group, encode(group)))
         for p, (word, mark) in cut.items():
             met[p] = b"".join(met[x] if x in met else known[x] for x in (word, mark))
-        found = [met[p] if p in met else known[p] for p in parts]
-        known.update((p, ids) for p, ids in met.items() if len(p) <= LONGEST)
+        long = [p for p in met if len(p) > LONGEST]
+        known.update(met)
+        found = list(map(known.__getitem__, parts))
+        for p in long:
+            del known[p]
         return found
 
     def __call__(self, text: str) -> bytes:
