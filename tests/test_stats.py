@@ -43,3 +43,19 @@ def test_exact_p_does_not_underflow(spark, a, b):
     top = max(log_terms)
     want = min(1.0, 2 * math.exp(top) * math.fsum(math.exp(x - top) for x in log_terms))
     assert p_value(spark, a, b) == pytest.approx(want, rel=1e-6)
+
+
+@pytest.mark.parametrize("a, b", [(0, 300), (1, 299), (127, 128), (128, 128), (2000, 2100), (4999, 5001), (3000, 7000), (20, 4000)])
+def test_exact_p_equals_the_sum(spark, a, b):
+    n = a + b
+    want = min(1.0, float(2 * sum(math.comb(n, k) for k in range(min(a, b) + 1)) / 2 ** n)) if n < 1000 else min(
+        1.0, 2 * sum(math.comb(n, k) for k in range(min(a, b) + 1)) * 10 ** 40 // 2 ** n / 10 ** 40)
+    assert p_value(spark, a, b) == pytest.approx(want, rel=1e-9, abs=1e-39)
+
+
+@pytest.mark.parametrize("sigmas, p", [(1.0, 0.31731050786), (3.0, 0.00269979606), (5.0, 5.733031437e-7)])
+def test_exact_p_of_very_many_pairs(spark, sigmas, p):
+    # at 10^12 pairs the binomial is the normal distribution, but for its half-step
+    n = 10 ** 12
+    few = n // 2 - round(sigmas * math.sqrt(n) / 2)
+    assert p_value(spark, few, n - few) == pytest.approx(p, rel=1e-4)

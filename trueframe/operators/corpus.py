@@ -172,17 +172,69 @@ def set_fingerprint(rows: DataFrame, tie: str, fan: int = 1024, levels: int = 4)
     """Digest of a whole set in fingerprint order.
 
     Digests are combined ``fan`` at a time, level by level, so no task ever
-    joins more than ``fan`` of them; four levels hold 2^40 rows.
+    joins more than ``fan`` of them. There are at least ``levels`` levels, so
+    that small sets' digests keep their form, and as many more as it takes to
+    be left with one row.
     """
     level = hash_rank(rows.select("fingerprint", tie), [], F.col("fingerprint"), tie, "at").select(
         (F.col("at") - 1).alias("at"), F.col("fingerprint").alias("d"))
-    for _ in range(levels):
+    left, done = rows.count(), 0
+    while done < levels or left > 1:
         level = level.groupBy(F.floor(F.col("at") / fan).alias("up")).agg(
             F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "d"))), lambda x: x["d"]), ""), 256).alias("d")
         ).select(F.col("up").alias("at"), "d")
+        left, done = -(-left // fan), done + 1
     return level.select(F.col("d").alias("digest"))
 
 
+def tree_depth(rows: int, leaf: int = 4096) -> int:
+    """Levels below the root at which a leaf of a 256-fold tree holds about ``leaf`` rows or fewer."""
+    depth = 0
+    while rows > leaf:
+        rows, depth = rows // 256, depth + 1
+    return depth
+
+
+def fingerprint_tree(rows: DataFrame, depth: int) -> DataFrame:
+    """Digest tree of a set of fingerprints: level, prefix, rows, digest.
+
+    A node covers the fingerprints that begin with its prefix, so equal subsets
+    have equal nodes wherever else two sets differ. Equal rows are counted
+    before they are joined into a leaf, and a node has at most 256 children.
+    """
+    counted = rows.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("rows"))
+    at = lambda level, name: F.substring(name, 1, 2 * level).alias("prefix")
+    digest = lambda name: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(name), F.col("rows"), *(
+        [F.col("digest")] if name == "prefix" else [])))), lambda x: F.to_json(x)), ","), 256).alias("digest")
+    level = settled(counted.groupBy(at(depth, "fingerprint")).agg(digest("fingerprint"), F.sum("rows").alias("rows")), "tree-leaves")
+    tree = level.withColumn("level", F.lit(depth))
+    for up in range(depth - 1, -1, -1):
+        level = level.groupBy(at(up, "prefix")).agg(digest("prefix"), F.sum("rows").alias("rows"))
+        tree = tree.unionByName(level.withColumn("level", F.lit(up)))
+    return settled(tree.select("level", "prefix", "rows", "digest"), "tree")
+
+
+def fingerprint_differences(first: DataFrame, second: DataFrame, first_tree: DataFrame, second_tree: DataFrame, depth: int) -> DataFrame:
+    """Fingerprints that two sets hold unequally often: fingerprint, in_first, in_second.
+
+    Both trees are descended from the root, only below nodes that differ; rows
+    are read for the leaves that are left. Equal sets end at the root.
+    """
+    open_nodes = None
+    for level in range(depth + 1):
+        sides = [t.filter(F.col("level") == level).select("prefix", F.col("digest").alias(name))
+                 for t, name in ((first_tree, "a"), (second_tree, "b"))]
+        if open_nodes is not None:
+            sides = [s.join(open_nodes, F.substring("prefix", 1, 2 * (level - 1)) == F.col("parent"), "left_semi") for s in sides]
+        open_nodes = sides[0].join(sides[1], "prefix", "full_outer").filter(
+            ~F.col("a").eqNullSafe(F.col("b"))).select(F.col("prefix").alias("parent"))
+    below = lambda rows, name: rows.select("fingerprint").join(
+        open_nodes, F.substring("fingerprint", 1, 2 * depth) == F.col("parent"), "left_semi").groupBy("fingerprint").agg(
+        F.count(F.lit(1)).alias(name))
+    return below(first, "in_first").join(below(second, "in_second"), "fingerprint", "full_outer").fillna(
+        0, ["in_first", "in_second"]).filter("in_first <> in_second")
+
+
 def budget_filter(df: DataFrame, size: str, item_cap: int, total_cap: int) -> tuple[DataFrame, DataFrame]:
     kept = df.filter(F.col(size) <= item_cap)
     total = kept.agg(F.count(F.lit(1)).alias("members"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).withColumn(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import first_of
@@ -12,13 +12,61 @@ from ..functions.rules import first_of
 IDENTITY_KEYS = (("basename",), ("crc", "size"), ("sha256",))
 
 
-def exclude_known(candidates: DataFrame, known: DataFrame, keys: Sequence[Sequence[str]] = IDENTITY_KEYS) -> DataFrame:
-    """Candidates that match no registered item on any identity: one anti-join
-    per key, since an OR condition would fall back to a nested loop."""
-    left = candidates
+#: Bits of a membership filter: 4,096 bitmaps of 4 KiB, at most 16 MiB.
+FILTER_BITS = 1 << 27
+
+
+def _bit(key: Sequence[str], bits: int) -> Column:
+    """A row's bit for one identity, from 1 as the bitmap functions count; null if part of the key is."""
+    whole = F.lit(True)
+    for name in key:
+        whole &= F.col(name).isNotNull()
+    return F.when(whole, F.pmod(F.xxhash64(*key), F.lit(bits)) + 1)
+
+
+def membership_filter(known: DataFrame, key: Sequence[str], bits: int = FILTER_BITS) -> DataFrame:
+    """(bucket, bitmap) with one bit set for each known value of an identity.
+
+    Bitmaps of 32,768 bits are merged before and after the shuffle, so what
+    leaves a task, and the whole filter, is bounded by ``bits`` and not by the
+    number of known rows.
+    """
+    return known.select(_bit(key, bits).alias("bit")).filter("bit is not null").groupBy(
+        F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bitmap"))
+
+
+def mark_suspects(candidates: DataFrame, known: DataFrame, keys: Sequence[Sequence[str]] = IDENTITY_KEYS,
+                  bits: int = FILTER_BITS, out: str = "suspect") -> DataFrame:
+    """Marks candidates that may be known by some identity; an unmarked row is surely unknown.
+
+    The filters are broadcast (their size is bounded by ``bits``), so no candidate is shuffled.
+    """
+    rows, hit = candidates, F.lit(False)
+    for i, key in enumerate(keys):
+        sieve = membership_filter(known, key, bits).select(F.col("bucket").alias(f"_bucket{i}"), F.col("bitmap").alias(f"_bitmap{i}"))
+        rows = rows.withColumn(f"_bit{i}", _bit(key, bits)).withColumn(f"_bucket{i}", F.bitmap_bucket_number(f"_bit{i}"))
+        rows = rows.join(F.broadcast(sieve), f"_bucket{i}", "left")
+        at = F.bitmap_bit_position(f"_bit{i}")
+        byte = F.conv(F.hex(F.substring(f"_bitmap{i}", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+        hit |= F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    return rows.select(*candidates.columns, hit.alias(out))
+
+
+def exclude_known(candidates: DataFrame, known: DataFrame, keys: Sequence[Sequence[str]] = IDENTITY_KEYS,
+                  bits: int = FILTER_BITS) -> DataFrame:
+    """Candidates that match no registered item on any identity.
+
+    A filter of the known values clears most candidates where they are read;
+    only suspects are shuffled, once per identity, to exact anti-joins (an OR
+    condition would fall back to a nested loop). With more known values than
+    ``bits`` nearly everything is a suspect, and the result is the same. A
+    candidate with a null in an identity cannot match by it.
+    """
+    marked = mark_suspects(candidates, known, keys, bits, "_suspect")
+    left = marked.filter("_suspect")
     for key in keys:
         left = left.join(known.select(*key).dropna().distinct(), list(key), "left_anti")
-    return left
+    return marked.filter("not _suspect").unionByName(left).select(*candidates.columns)
 
 
 def overlap_audit(first: DataFrame, second: DataFrame, keys: Sequence[Sequence[str]] = IDENTITY_KEYS) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import corpus as c
+from ..session import settled
 from .registry import query
 
 MEDIA = "md AS (SELECT *, CASE WHEN name LIKE 'train/real/%' THEN 'real' ELSE split_part(name,'/',3) END AS bucket FROM {census} WHERE name LIKE '%.mp4')"
@@ -145,3 +146,20 @@ def _(t):
     whole = c.set_fingerprint(rows, "doc_id")
     return rows.select("doc_id", "fingerprint").unionByName(whole.select(
         F.lit(None).cast("long").alias("doc_id"), F.col("digest").alias("fingerprint")))
+
+
+EDITED = """ed AS (SELECT doc_id, CASE WHEN doc_id % 37=5 THEN 'xx' ELSE lang END AS lang, n_chars FROM {documents} WHERE doc_id % 41<>7
+   UNION ALL SELECT doc_id, lang, n_chars FROM {documents} WHERE doc_id % 53=11),
+ fe AS (SELECT sha256('{{"doc_id":'||doc_id||',"lang":"'||lang||'","n_chars":'||n_chars||'}}') AS fingerprint FROM ed)"""
+
+
+@query("fingerprint_differences", "WITH " + FP + ", " + EDITED + """ SELECT coalesce(a.fingerprint, b.fingerprint) AS fingerprint, coalesce(a.n, 0) AS in_first, coalesce(b.n, 0) AS in_second
+  FROM (SELECT fingerprint, count(*) AS n FROM fp GROUP BY 1) a FULL JOIN (SELECT fingerprint, count(*) AS n FROM fe GROUP BY 1) b ON a.fingerprint=b.fingerprint
+  WHERE a.n IS DISTINCT FROM b.n""")
+def _(t):
+    docs, names = t.documents.select("doc_id", "lang", "n_chars"), ["n_chars", "lang", "doc_id"]
+    edited = docs.filter("doc_id % 41 <> 7").withColumn("lang", F.when(F.col("doc_id") % 37 == 5, "xx").otherwise(F.col("lang"))).unionByName(
+        docs.filter("doc_id % 53 = 11"))
+    first, second = (settled(c.row_fingerprint(rows, names).select("fingerprint"), "fingerprints") for rows in (docs, edited))
+    depth = c.tree_depth(max(first.count(), second.count()), leaf=64)
+    return c.fingerprint_differences(first, second, c.fingerprint_tree(first, depth), c.fingerprint_tree(second, depth), depth)
