@@ -54,3 +54,21 @@ def test_wrong_bytes_stop_the_reader(work):
 
 def test_empty_table(work):
     assert warc.read_catalogue(work, warc.write_archive(make(work, []))).count() == 0
+
+
+def test_hot_payload_is_rebuilt_in_shares(work):
+    rows = [(i, f"http://{i % 3}/", LONG) for i in range(2000)] + [(5, "http://2/", LONG)] * 300 + [(9000, "x", "other")]
+    folder = warc.write_archive(make(work, rows))
+    assert work.read.parquet(f"{folder}/payloads").count() == 2
+    got = warc.read_catalogue(work, folder)
+    assert sorted((r.page_id, r.payload_bytes) for r in got.collect()) == sorted((p, len(h.encode())) for p, _, h in rows)
+    assert got.filter("record_type = 'response'").count() == 2
+
+
+def test_wrong_length_stops_the_reader(work):
+    folder = warc.write_archive(make(work, ROWS))
+    work.read.parquet(f"{folder}/headers").selectExpr(
+        "page_id", "digest", "uses", "replace(header, 'Content-Length: 5', 'Content-Length: 6') AS header").write.parquet(f"{folder}/bad/headers")
+    work.read.parquet(f"{folder}/payloads").write.parquet(f"{folder}/bad/payloads")
+    with pytest.raises(PySparkException, match="length and digest"):
+        warc.read_catalogue(work, f"{folder}/bad").collect()

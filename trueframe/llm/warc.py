@@ -15,8 +15,10 @@ page_id: never the referred record unless its whole group has none. Rows that
 repeat the page_id of their group's response are responses too. An empty table
 gives an empty archive. Other columns are ignored, whatever their names.
 
-Payload bytes are not shuffled by digest: only (id, url, digest, size) rows are
-grouped, and the duplicated digests are joined back to the pages.
+Writing groups only (id, url, digest, size) rows, and joins the duplicated digests
+back to the pages. Reading meets headers and payloads by digest; a payload that
+many records use is met in shares of about 256 records, so that a page which is a
+third of all rows is rebuilt by many tasks.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import shared, written
 
 SMALLEST_REVISIT = 100
+#: Records that are rebuilt from one copy of a payload; more records get more copies.
+SHARE = 256
 CRLF = "\r\n"
 
 
@@ -61,20 +65,21 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     bodies = bodies.withColumn("digest", F.sha2("payload", 256))
     heads = written(bodies.select("page_id", "url", "digest", F.octet_length("payload").cast("long").alias("size")), "warc-heads")
     again = written(heads.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("owner")).filter("n > 1").select(
-        F.col("digest").alias("again_digest"), "owner"), "warc-again")
+        F.col("digest").alias("again_digest"), "owner", "n"), "warc-again")
 
     repeated = F.col("again_digest").isNotNull()
     owns = F.col("page_id").eqNullSafe(F.col("owner"))
     kind = F.when(repeated & ~owns & (F.col("size") >= SMALLEST_REVISIT), "revisit").otherwise("response")
     typed = heads.join(again, F.col("digest") == F.col("again_digest"), "left").withColumn("kind", kind)
-    typed.select("page_id", "digest", header(F.col("page_id"), F.col("url"), F.col("digest"), F.col("size"), F.col("kind"),
+    typed.select("page_id", "digest", F.coalesce("n", F.lit(1)).alias("uses"), header(F.col("page_id"), F.col("url"), F.col("digest"), F.col("size"), F.col("kind"),
                                              F.col("owner")).alias("header")).write.parquet(f"{folder}/headers")
 
     kept = bodies.select("page_id", "digest", "payload").join(again, F.col("digest") == F.col("again_digest"), "left")
     kept = kept.filter(~repeated | owns)
     # rows of one id and payload are one owner; only the repeated ones need a shuffle to drop them
-    single = kept.filter(~repeated).select("digest", "payload")
-    single.unionByName(kept.filter(repeated).select("digest", "payload").dropDuplicates(["digest"])).write.parquet(f"{folder}/payloads")
+    kept = kept.select("digest", "payload", F.coalesce("n", F.lit(1)).alias("uses"), repeated.alias("repeated"))
+    single = kept.filter("not repeated").drop("repeated")
+    single.unionByName(kept.filter("repeated").drop("repeated").dropDuplicates(["digest"])).write.parquet(f"{folder}/payloads")
     return folder
 
 
@@ -83,8 +88,8 @@ def _field(name: str) -> Column:
 
 
 def read_headers(spark: SparkSession, folder: str) -> DataFrame:
-    """One parsed row per record: page_id, url, record_type, payload_digest, refers_to, header."""
-    raw = spark.read.schema("page_id long, digest string, header string").parquet(f"{folder}/headers")
+    """One parsed row per record: page_id, url, record_type, payload_digest, refers_to, content_length, header, uses."""
+    raw = spark.read.schema("page_id long, digest string, uses long, header string").parquet(f"{folder}/headers")
     url = F.coalesce(_field("X-Target-URI-Base64"), F.lit(None).cast("string"))
     return raw.select(
         F.regexp_extract("header", r"\r\nWARC-Record-ID: <urn:page:(-?\d*)>", 1).try_cast("long").alias("page_id"),
@@ -92,29 +97,43 @@ def read_headers(spark: SparkSession, folder: str) -> DataFrame:
             F.col("header").contains("\r\nWARC-Target-URI: "), F.regexp_extract("header", r"\r\nWARC-Target-URI: ([^\r\n]*)\r\n", 1)).alias("url"),
         _field("WARC-Type").alias("record_type"),
         F.regexp_extract("header", r"\r\nWARC-Payload-Digest: sha256:([0-9a-f]{64})\r\n", 1).alias("payload_digest"),
-        F.regexp_extract("header", r"\r\nWARC-Refers-To: <urn:page:(-?\d*)>", 1).try_cast("long").alias("refers_to"), "header")
+        F.regexp_extract("header", r"\r\nWARC-Refers-To: <urn:page:(-?\d*)>", 1).try_cast("long").alias("refers_to"),
+        F.regexp_extract("header", r"\r\nContent-Length: (\d+)\r\n", 1).try_cast("long").alias("content_length"), "header", "uses")
+
+
+def _shares() -> Column:
+    return F.ceil(F.coalesce("uses", F.lit(1)) / SHARE).cast("int")
 
 
 def read_payloads(spark: SparkSession, folder: str) -> DataFrame:
     """Stored payloads; a digest that its bytes do not have stops the job."""
-    raw = spark.read.schema("digest string, payload binary").parquet(f"{folder}/payloads")
+    raw = spark.read.schema("digest string, payload binary, uses long").parquet(f"{folder}/payloads")
     return raw.select(F.when(F.sha2("payload", 256) == F.col("digest"), F.col("digest")).otherwise(
-        F.raise_error(F.concat(F.lit("payload does not have the digest "), F.col("digest"))).cast("string")).alias("stored_digest"), "payload")
+        F.raise_error(F.concat(F.lit("payload does not have the digest "), F.col("digest"))).cast("string")).alias("stored_digest"), "payload", _shares().alias("stored_shares"))
 
 
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
     """The archive's records with exact bytes, and each page's full payload."""
-    joined = read_headers(spark, folder).join(read_payloads(spark, folder), F.col("payload_digest") == F.col("stored_digest"), "left")
+    share = F.pmod(F.xxhash64("header", F.monotonically_increasing_id()), _shares()).cast("int").alias("share")
+    heads = read_headers(spark, folder).select("*", share)
+    stored = read_payloads(spark, folder).select("stored_digest", "payload", F.explode(
+        F.sequence(F.lit(0), F.col("stored_shares") - 1)).alias("stored_share"))
+    joined = heads.join(stored, (F.col("payload_digest") == F.col("stored_digest")) & (F.col("share") == F.col("stored_share")), "left")
     body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    return joined.select("page_id", "url", "record_type", "refers_to", "payload_digest", "payload",
+    return joined.select("page_id", "url", "record_type", "refers_to", "payload_digest", "content_length", "header", "payload",
                          F.concat(F.encode("header", "UTF-8"), body, F.lit(b"\r\n\r\n")).alias("record"))
 
 
 def read_catalogue(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per record with the size and digest of its full payload, both taken from the stored bytes.
+    """One row per rebuilt record with the size and digest of its full payload.
 
-    Each payload is measured once, before the join, so revisits carry no bytes.
+    Both are measured on the rebuilt payload; a record whose digest or content
+    length is not what its header says stops the job.
     """
-    stored = read_payloads(spark, folder).select("stored_digest", F.octet_length("payload").cast("long").alias("payload_bytes"))
-    joined = read_headers(spark, folder).drop("header").join(stored, F.col("payload_digest") == F.col("stored_digest"), "left")
-    return joined.select("page_id", "payload_bytes", F.col("stored_digest").alias("payload_digest"), "record_type", "refers_to")
+    records = read_records(spark, folder).withColumns({
+        "payload_bytes": F.octet_length("payload").cast("long"), "rebuilt_digest": F.sha2("payload", 256),
+        "body_bytes": F.octet_length("record") - F.octet_length("header") - 4})
+    sound = (F.col("rebuilt_digest") == F.col("payload_digest")) & (F.col("body_bytes") == F.col("content_length"))
+    return records.select("page_id", "payload_bytes", F.when(sound, F.col("rebuilt_digest")).otherwise(F.raise_error(F.concat(
+        F.lit("record does not have the length and digest of its header: "), "header")).cast("string")).alias("payload_digest"),
+        "record_type", "refers_to")
