@@ -100,3 +100,9 @@ def test_many_rows_without_an_id(documents):
 def test_empty_table(documents):
     assert got(runindex.removal(documents([]))) == []
     assert runindex.cleaned(documents([])).count() == 0
+
+
+def test_places_beyond_two_gib_are_kept():
+    for places in ([], [0, 7, 2 ** 31 - 1], [3, 2 ** 31, 2 ** 40]):
+        local = np.zeros(len(places), np.int32).tobytes()
+        assert runindex._places(runindex._packed(np.array(places, np.int64)), local).tolist() == places

@@ -41,8 +41,8 @@ from .common import text_of
 LENGTH, GRAM = 50, 16
 SIDE = LENGTH - GRAM
 WIDTH = LENGTH + SIDE
-#: Documents in a chunk, and bytes of text that send their anchors to one bucket.
-CHUNK, BUCKET_BYTES = 256, 16 << 20
+#: Documents and bytes of text in a chunk on average, and bytes of text that send their anchors to one bucket.
+CHUNK, CHUNK_BYTES, BUCKET_BYTES = 256, 32 << 20, 16 << 20
 _B = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 FAR = np.iinfo(np.int64).max
@@ -173,6 +173,16 @@ def _arrays(blob: pa.ChunkedArray, kind) -> list[np.ndarray]:
     return [np.frombuffer(b, kind) for b in blob.to_pylist()]
 
 
+def _packed(places: np.ndarray) -> bytes:
+    """Places in a chunk: four bytes each, eight if the chunk goes beyond 2 GiB."""
+    return places.astype(np.int32 if not len(places) or places.max() <= np.iinfo(np.int32).max else np.int64).tobytes()
+
+
+def _places(blob: bytes, local: bytes) -> np.ndarray:
+    """What ``_packed`` wrote; ``local`` has four bytes for each place."""
+    return np.frombuffer(blob, np.int32 if len(blob) == len(local) else np.int64).astype(np.int64)
+
+
 def _copies(other: pa.Table) -> np.ndarray:
     found = [np.asarray(x, np.int64) for x in other["copies"].to_pylist() if x is not None]
     return np.concatenate(found) if found else np.zeros(0, np.int64)
@@ -215,7 +225,7 @@ def _chunked(docs: DataFrame, id_col: str, text_col: str, also: list[str]) -> tu
     count, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()
     # rows without an id are dealt by their text, so that they do not meet in one chunk
     dealt = F.xxhash64(F.when(F.col("doc_id").isNull(), F.col("body")), "doc_id")
-    chunk = F.pmod(dealt, F.lit(max(1, -(-count // CHUNK)))).alias("chunk")
+    chunk = F.pmod(dealt, F.lit(max(1, -(-count // CHUNK), -(-size // CHUNK_BYTES)))).alias("chunk")
     row_key = F.xxhash64("doc_id", "body").alias("row_key")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = rows.filter(F.octet_length("body") >= LENGTH).select("doc_id", row_key, chunk, F.sha2("body", 256).alias("digest"))
@@ -276,7 +286,7 @@ def _marks(chunked: DataFrame, copies: DataFrame, buckets: int) -> tuple[DataFra
             np.minimum.at(least, number, ids[of])
             out.append((b, chunk, pa.compress(got[first].tobytes(), codec="zstd", asbytes=True), low[first].astype(np.uint8).tobytes(), high[first].astype(np.uint8).tobytes(),
                         least.tobytes(), number.astype(np.int32).tobytes(), ids[of].tobytes(), of.astype(np.int32).tobytes(),
-                        place.astype(np.int32).tobytes()))
+                        _packed(place)))
         return _table(_CONTEXTS, out)
 
     def marked(table: pa.Table) -> pa.Table:
@@ -304,9 +314,9 @@ def _marks(chunked: DataFrame, copies: DataFrame, buckets: int) -> tuple[DataFra
             start, stop = np.where(whole, low[mine], begin[mine]), np.where(whole, high[mine], end[mine])
             hit = stop > start
             if hit.any():
-                place = np.frombuffer(table["place"][k].as_py(), np.int32) - SIDE + start
-                out.append((chunk, np.frombuffer(table["local"][k].as_py(), np.int32)[hit].tobytes(),
-                            place[hit].astype(np.int32).tobytes(), (stop - start)[hit].astype(np.int32).tobytes()))
+                local = table["local"][k].as_py()
+                place = _places(table["place"][k].as_py(), local) - SIDE + start
+                out.append((chunk, np.frombuffer(local, np.int32)[hit].tobytes(), _packed(place[hit]), (stop - start)[hit].astype(np.int32).tobytes()))
         return _table(_MARKS, out)
 
     by_chunk = chunked.groupBy("chunk")
@@ -334,7 +344,7 @@ def _applied(docs: DataFrame, id_col: str, text_col: str, also: list[str], schem
         turns = np.zeros(len(buf) + 1, np.int32)
         for place, length in zip(other["place"].to_pylist(), other["length"].to_pylist()):
             if place is not None:
-                at = np.frombuffer(place, np.int32)
+                at = _places(place, length)
                 turns += np.bincount(at, minlength=len(turns)).astype(np.int32)
                 turns -= np.bincount(at + np.frombuffer(length, np.int32), minlength=len(turns)).astype(np.int32)
         gone = np.cumsum(turns[:-1]) > 0
