@@ -6,7 +6,7 @@ from .registry import ORACLES, QUERIES
 
 MODULES = (
     "scans", "metrics", "ranking", "comparison", "gates", "timeline", "shots",
-    "corpus", "joins", "checks", "policy", "text", "vectors", "streams",
+    "corpus", "joins", "checks", "contract", "policy", "text", "vectors", "streams",
 )
 
 for _name in MODULES:
