@@ -14,7 +14,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(PATH), reason="tables not pres
 # one query per family; tools/check.py runs all of them
 NAMES = ("breakdown", "rates_wilson", "auroc", "threshold_at_fpr", "mcnemar", "persistent_runs", "coverage_gaps", "temporal_verdict",
          "window_membership", "shot_windows", "hash_ranked_sample", "split_three_way", "exclude_known", "verdict_waterfall",
-         "specialist_fusion", "canonical_urls", "scrub_links", "velocity_jerk", "acceptance_gates", "validate_manifest", "flatten_frames")
+         "specialist_fusion", "canonical_urls", "scrub_links", "velocity_jerk", "acceptance_gates", "validate_manifest", "flatten_frames",
+         "validate_document", "fingerprint_differences", "stratified_targets", "match_disclosures")
 
 
 @pytest.fixture(scope="module")

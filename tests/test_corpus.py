@@ -112,3 +112,15 @@ def test_malformed_manifest_stops_the_read(spark, tmp_path):
     (tmp_path / "m.jsonl").write_text('{"id":"1"}\n\n{"id":\n')
     with pytest.raises(Exception):
         readers.scan_manifest(spark, str(tmp_path)).collect()
+
+
+def test_targets_of_sources(spark):
+    rows = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(90)], "id long, source string")
+    plan = spark.createDataFrame([("a", "ai", "hard", 20), ("b", "ai", "easy", 50), ("none", "real", "hard", 5)],
+                                 "source string, label string, difficulty string, target long")
+    picked = c.stratified_split(rows, "source", "id", 0, targets={"a": 20, "b": 50, "none": 5})
+    got = {(r.label, r.difficulty, r.source): tuple(r)[3:] for r in c.target_summary(rows, picked, plan, "source").collect()}
+    assert got[("ai", "hard", "a")] == (20, 30, 18, 2, 0) and got[("ai", "easy", "b")] == (50, 30, 27, 3, 20)
+    assert got[("real", "hard", "none")] == (5, 0, 0, 0, 5) and got[("all", "all", "all")] == (75, 60, 45, 5, 25)
+    assert got[("ai", "all", "all")] == (70, 60, 45, 5, 20) and len(got) == 3 + 3 + 2 + 1
+    assert picked.filter("source = 'c'").count() == 0

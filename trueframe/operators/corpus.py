@@ -65,14 +65,36 @@ def round_robin(df: DataFrame, digest: Column, labels: Sequence[str], final: Col
     return hash_rank(dealt.drop("_turn"), [], final, tie, "position")
 
 
-def stratified_split(df: DataFrame, source: str, name: str, cap: int, salt: str = "sample-v1:") -> DataFrame:
-    """Up to ``cap`` rows of each source by hash, a tenth (at least one) of them validation."""
-    picked = hash_ranked_sample(df, source, name, cap, salt)
-    kept = F.count(F.lit(1)).over(W.partitionBy(source))  # of at most ``cap`` rows
+def stratified_split(df: DataFrame, source: str, name: str, cap: int, salt: str = "sample-v1:",
+                     targets: dict[str, int] | None = None) -> DataFrame:
+    """Up to ``cap`` rows of each source by hash, a tenth (at least one) of them validation.
+
+    ``targets`` sets other counts for the sources it names; 0 leaves one out.
+    """
+    picked = hash_ranked_sample(df, source, name, cap, salt, targets)
+    kept = F.count(F.lit(1)).over(W.partitionBy(source))  # of at most the source's count
     held = F.greatest(F.lit(1), F.floor(kept * 0.1))
     return picked.withColumn("split", F.when(F.col("rank") <= held, "validation").otherwise("train"))
 
 
+def target_summary(df: DataFrame, picked: DataFrame, plan: DataFrame, source: str) -> DataFrame:
+    """What each planned source gave: target, available, train, validation and short.
+
+    ``plan`` holds source, label, difficulty and target. Rows named ``all``
+    sum up each difficulty of a label, each label, and everything; a planned
+    source without rows counts as zero.
+    """
+    there = df.groupBy(source).agg(F.count(F.lit(1)).alias("available"))
+    taken = picked.groupBy(source).agg(F.count_if(F.col("split") == "train").alias("train"),
+                                       F.count_if(F.col("split") == "validation").alias("validation"))
+    counts = ("available", "train", "validation")
+    rows = plan.join(there, source, "left").join(taken, source, "left").fillna(0, list(counts)).withColumn(
+        "short", F.greatest(F.lit(0), F.col("target") - F.col("train") - F.col("validation")))
+    named = rows.rollup("label", "difficulty", source).agg(*[F.sum(c).alias(c) for c in ("target", *counts, "short")], F.grouping_id().alias("_up"))
+    return named.select(*[F.when(F.col("_up").bitwiseAND(F.lit(bit)) == 0, F.col(c)).otherwise("all").alias(c)
+                          for c, bit in (("label", 4), ("difficulty", 2), (source, 1))], "target", *counts, "short")
+
+
 def split_three_way(df: DataFrame, source: str, name: str, train: float = 0.8, val: float = 0.1,
                     salt: str = "shuffle-v1:") -> DataFrame:
     """80/10/10 inside each source in hash order; counts are floored, the rest is test."""

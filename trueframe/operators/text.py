@@ -44,7 +44,8 @@ def match_metadata(posts: DataFrame, record: str = "record") -> DataFrame:
     """Extractor record against the requested post: (platform, media_id requested).
 
     One media item, the right extractor, and an id equal to the request's;
-    share links carry no id to compare. Reject code is null on a match.
+    share links carry no id to compare. Reject code is null on a match, and
+    ``disclosed`` says whether the matched post's caption claims an AI origin.
     """
     r = F.from_json(record, RECORD)
     rows = posts.withColumn("_r", r)
@@ -65,4 +66,4 @@ def match_metadata(posts: DataFrame, record: str = "record") -> DataFrame:
     caption = ft.scrub_links(F.nullif(c("description"), F.lit("NA")))
     ok = reject.isNull()
     return rows.withColumns({"reject": reject, "matched_id": F.when(ok, media), "post_id": F.when(ok, asked),
-                             "caption": F.when(ok, caption)}).drop("_r")
+                             "caption": F.when(ok, caption), "disclosed": F.when(ok, ft.caption_claim(caption))}).drop("_r")

@@ -44,6 +44,24 @@ def _(t):
     return c.stratified_split(t.documents.select("doc_id", "source"), "source", "doc_id", 40).select("doc_id", "source", "split")
 
 
+# Rows wanted of a source, its label and how hard it is; "absent" has no rows.
+TARGETS = {"src0": (25, "ai", "hard"), "src3": (7, "ai", "hard"), "src5": (1, "ai", "easy"), "src8": (0, "ai", "medium"), "src10": (400000, "real", "easy"),
+           "src12": (12, "real", "hard"), "absent": (30, "real", "hard")}
+
+
+@query("stratified_targets", "WITH pl(source, target, label, difficulty) AS (VALUES " + ", ".join(f"('{k}',{n},'{x}','{d}')" for k, (n, x, d) in TARGETS.items()) + """),
+   r AS (SELECT d.source, target, row_number() OVER (PARTITION BY d.source ORDER BY sha256('sample-v1:'||doc_id), doc_id) AS r, count(*) OVER (PARTITION BY d.source) AS n FROM {documents} d JOIN pl USING (source)),
+   s AS (SELECT pl.*, (SELECT count(*) FROM {documents} d WHERE d.source=pl.source) AS available, (SELECT count(*) FROM r WHERE r.source=pl.source AND r.r<=r.target) AS got,
+      (SELECT count(*) FROM r WHERE r.source=pl.source AND r.r<=r.target AND r.r<=greatest(1, floor(least(n,r.target)*0.1::DOUBLE))) AS validation FROM pl)
+  SELECT coalesce(label,'all') AS label, coalesce(difficulty,'all') AS difficulty, coalesce(source,'all') AS source, sum(target)::BIGINT AS target, sum(available)::BIGINT AS available, sum(got-validation)::BIGINT AS train,
+    sum(validation)::BIGINT AS validation, sum(greatest(0, target-got))::BIGINT AS short FROM s GROUP BY ROLLUP (label, difficulty, source)""")
+def _(t):
+    docs = t.documents.select("doc_id", "source")
+    plan = t.spark.createDataFrame([(k, x, d, n) for k, (n, x, d) in TARGETS.items()], "source string, label string, difficulty string, target long")
+    picked = c.stratified_split(docs, "source", "doc_id", 0, targets={k: n for k, (n, _, _) in TARGETS.items()})
+    return c.target_summary(docs, picked, plan, "source")
+
+
 @query("split_three_way", """WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256('shuffle-v1:'||doc_id), doc_id) AS r, count(*) OVER (PARTITION BY source) AS n FROM {documents})
    SELECT doc_id, source, CASE WHEN r<=floor(n*0.8::DOUBLE) THEN 'train' WHEN r<=floor(n*0.8::DOUBLE)+floor(n*0.1::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM r""")
 def _(t):

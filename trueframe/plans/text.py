@@ -6,7 +6,7 @@ from ..functions import text as ft
 from ..functions import urls as fu
 from ..operators import text as o
 from ..session import spread
-from .registry import query
+from .registry import ORACLES, query
 
 EXPECTED = """CASE form WHEN 0 THEN 'youtube:'||k WHEN 1 THEN 'youtube:'||k WHEN 2 THEN 'youtube:'||k WHEN 3 THEN 'youtube:'||k WHEN 6 THEN 'tiktok:'||n
    WHEN 7 THEN 'tiktok:share:vm.tiktok.com:'||k WHEN 8 THEN 'tiktok:share:www.tiktok.com:'||k WHEN 10 THEN 'instagram:'||k WHEN 11 THEN 'instagram:'||k WHEN 12 THEN 'instagram:share:reel:'||k
@@ -104,3 +104,14 @@ def _(t):
         F.lit(1).alias("playlistIndex"), F.concat(F.lit(" look "), "url", F.lit(" now ")).alias("description")))
     rows = t.pages.select("page_id", "url", platform.alias("platform"), F.when(p % 13 == 5, "zz").otherwise(own).alias("media_id"), record.alias("record"))
     return o.match_metadata(rows).select("page_id", "reject", "matched_id", "caption")
+
+
+@query("match_disclosures", "WITH sc AS (" + ORACLES["scrub_links"] + "), cl AS (" + ORACLES["caption_claims"].replace("{captions}", "sc") + """)
+  SELECT doc_id, CASE WHEN doc_id % 7=3 THEN 'different_post' END AS reject, CASE WHEN doc_id % 7<>3 THEN claim END AS disclosed FROM cl""")
+def _(t):
+    own = F.concat(F.lit("m"), F.col("doc_id").cast("string"))
+    record = F.to_json(F.struct(F.lit("TikTok").alias("extractor"), F.lit("TikTok").alias("extractorKey"), own.alias("id"),
+                                F.col("caption").alias("description")))
+    posts = spread(t.captions.select("doc_id", "caption")).select(
+        "doc_id", F.lit("tiktok").alias("platform"), F.when(F.col("doc_id") % 7 == 3, "zz").otherwise(own).alias("media_id"), record.alias("record"))
+    return o.match_metadata(posts).select("doc_id", "reject", "disclosed")
