@@ -22,7 +22,7 @@ def known_by(row, known):
                for key in (lambda r: (r[1],), lambda r: (r[2], r[3]), lambda r: (r[4],)))
 
 
-@pytest.mark.parametrize("bits", [1 << 15, 1 << 20, 1 << 27, 64])
+@pytest.mark.parametrize("bits", [None, 1 << 15, 1 << 20, 1 << 27, 64])
 def test_exclusion_is_exact_at_any_filter_size(spark, bits):
     rows, known, candidates, register = sets(spark)
     got = sorted(r.id for r in j.exclude_known(candidates, register, bits=bits).collect())
@@ -42,6 +42,11 @@ def test_filter_size_is_bounded(spark):
     assert len(sieve) == (1 << 18) // 32768 and {r["size"] for r in sieve} == {4096}
 
 
+def test_filter_grows_with_the_known_rows_up_to_its_bound():
+    sizes = [j.filter_bits(n) for n in (0, 100, 10 ** 5, 10 ** 12)]
+    assert sizes == [1 << 15, 1 << 15, 1 << 21, j.FILTER_BITS] and all(b >= 16 * n for b, n in zip(sizes[:3], (0, 100, 10 ** 5)))
+
+
 def test_candidates_are_not_shuffled_by_the_filter(spark):
     _, _, candidates, register = sets(spark)
     plan = j.mark_suspects(candidates, register)._jdf.queryExecution().executedPlan().toString()

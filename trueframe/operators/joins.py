@@ -16,6 +16,11 @@ IDENTITY_KEYS = (("basename",), ("crc", "size"), ("sha256",))
 FILTER_BITS = 1 << 27
 
 
+def filter_bits(known: int, most: int = FILTER_BITS) -> int:
+    """Bits for so many known values: at least 16 for each, a power of two, between one bitmap and ``most``."""
+    return min(most, max(1 << 15, 1 << (16 * known).bit_length()))
+
+
 def _bit(key: Sequence[str], bits: int) -> Column:
     """A row's bit for one identity, from 1 as the bitmap functions count; null if part of the key is."""
     whole = F.lit(True)
@@ -53,15 +58,17 @@ def mark_suspects(candidates: DataFrame, known: DataFrame, keys: Sequence[Sequen
 
 
 def exclude_known(candidates: DataFrame, known: DataFrame, keys: Sequence[Sequence[str]] = IDENTITY_KEYS,
-                  bits: int = FILTER_BITS) -> DataFrame:
+                  bits: int | None = None) -> DataFrame:
     """Candidates that match no registered item on any identity.
 
     A filter of the known values clears most candidates where they are read;
     only suspects are shuffled, once per identity, to exact anti-joins (an OR
-    condition would fall back to a nested loop). With more known values than
-    ``bits`` nearly everything is a suspect, and the result is the same. A
+    condition would fall back to a nested loop). Known rows are counted first to
+    size the filters, unless ``bits`` is given; with more known values than
+    bits nearly everything is a suspect, and the result is the same. A
     candidate with a null in an identity cannot match by it.
     """
+    bits = filter_bits(known.count()) if bits is None else bits
     marked = mark_suspects(candidates, known, keys, bits, "_suspect")
     left = marked.filter("_suspect")
     for key in keys:
