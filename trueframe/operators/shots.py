@@ -139,9 +139,13 @@ def ai_share(alpha: Column) -> Column:
     return (F.when(F.col("host_ai"), 1 - alpha).otherwise(0.0) + F.when(F.col("donor_ai"), alpha).otherwise(0.0))
 
 
+def _frame_count(cases: DataFrame) -> Column:
+    return F.col("frames").cast("int") if "frames" in cases.columns else F.lit(120)
+
+
 def _frames(cases: DataFrame) -> Column:
     """Frame numbers of a case: as many as its own ``frames`` say, 120 where cases have no such column."""
-    last = (F.col("frames").cast("int") if "frames" in cases.columns else F.lit(120)) - 1
+    last = _frame_count(cases) - 1
     return F.when(last >= 0, F.sequence(F.lit(0), last))
 
 
@@ -161,7 +165,8 @@ def lineage_check(lineage: DataFrame, cases: DataFrame, tolerance: float = 1e-7)
     """Problems of recorded lineage: missing frames, frames past the case's end,
     backward master index, shares or donor frames that differ from the plan, and
     cases whose number of frames is unknown."""
-    rows = lineage.join(cases, "case_id")
+    # Spark takes rows exploded from cases for as small as those, so the hints keep them from being broadcast
+    rows = lineage.join(cases.hint("shuffle_hash"), "case_id")
     planned = donor_alpha(F.col("composition"), F.col("master_index"))
     wrong = rows.select("case_id", "output_index", F.explode(codes(
         (F.abs(F.col("alpha") - planned) > tolerance, "alpha_differs"),
@@ -174,9 +179,12 @@ def lineage_check(lineage: DataFrame, cases: DataFrame, tolerance: float = 1e-7)
     planned_frames = cases.select("case_id", F.explode_outer(_frames(cases)).alias("output_index"))
     unknown = planned_frames.filter("output_index is null").withColumn("problem", F.lit("unknown_frames"))
     wanted = planned_frames.filter("output_index is not null")
-    extra = lineage.select("case_id", "output_index").join(wanted, ["case_id", "output_index"], "left_anti").join(
-        cases.select("case_id"), "case_id", "left_semi").withColumn("problem", F.lit("past_the_end"))
-    lost = wanted.join(lineage.select("case_id", "output_index"), ["case_id", "output_index"], "left_anti").withColumn(
+    stored = lineage.select("case_id", "output_index")
+    last = cases.select(F.col("case_id").alias("_case"), (_frame_count(cases) - 1).alias("_last"))
+    extra = stored.join(last.hint("shuffle_hash"), (F.col("case_id") == F.col("_case")) & F.col("output_index").between(
+        0, F.col("_last")), "left_anti").join(cases.select("case_id").hint("shuffle_hash"), "case_id", "left_semi").withColumn(
+        "problem", F.lit("past_the_end"))
+    lost = wanted.join(stored.hint("merge"), ["case_id", "output_index"], "left_anti").withColumn(
         "problem", F.lit("missing_frame"))
     return wrong.unionByName(back).unionByName(lost).unionByName(extra).unionByName(unknown)
 
@@ -184,7 +192,8 @@ def lineage_check(lineage: DataFrame, cases: DataFrame, tolerance: float = 1e-7)
 def lineage_counts(picks: DataFrame, lineage: DataFrame) -> DataFrame:
     """What the sampled frames of each window are known to contain."""
     a, k = F.col("alpha"), F.col("ai_share")
-    return picks.join(lineage, ["case_id", "output_index"]).groupBy("case_id", "window_no").agg(
+    # both sides are exploded from their cases, whose size Spark takes for theirs: no broadcast
+    return picks.join(lineage.hint("merge"), ["case_id", "output_index"]).groupBy("case_id", "window_no").agg(
         F.count(F.lit(1)).alias("sampled"), F.count_if(a > 0).alias("donor"), F.count_if(a == 1).alias("full_donor"),
         F.count_if((a > 0) & (a < 1)).alias("blend_edge"), F.count_if(k > 0).alias("known_ai"),
         F.count_if(k == 1).alias("full_ai"))
