@@ -83,6 +83,13 @@ def test_error_streak_stops_once(spark):
     assert [(r.case_id, r.stop_index, r.error, r.not_started) for r in got] == [(1, 5, "a", 2)]
 
 
+def test_error_streak_counts_tied_rows_by_place(spark):
+    rows = [(1, 0, None)] + [(1, 1, "a")] * 5 + [(1, 2, "a"), (1, 3, None), (2, 0, "b"), (2, 0, "b"), (2, 1, "b"), (2, 1, "b")]
+    df = spark.createDataFrame(rows, "case_id int, index long, error string").withColumn("cell", F.floor(F.col("index") / 2))
+    got = {r.case_id: (r.stop_index, r.error, r.not_started) for r in tl.error_streak(df, ORDER, "cell").collect()}
+    assert got == {1: (1, "a", 4), 2: (1, "b", 1)}
+
+
 def test_ledger_marks_gap_and_budget(spark):
     df = spark.createDataFrame([(0, "reserve", 0, 40), (1, "received", 1, 40), (2, "reserve", 3, 70)], "seq long, kind string, sequence long, bytes long")
     assert [r.problem for r in tl.byte_ledger(df, 1000, block=2).orderBy("seq").collect()] == [None, None, "sequence_gap"]

@@ -206,7 +206,8 @@ def islands(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str
     begins, closes = F.col("_break") == 1, F.col("_end")
     aggs = [merge[how](f"_v_{n}").alias(n) for n, (_, how) in totals.items()]
     edges = [F.max(F.when(mark, F.col(c))).alias(f"_{side}_{c}") for side, mark in (("f", begins), ("l", closes)) for c in names]
-    firsts = [F.collect_list(F.when(F.col("_in") & (F.col("_seat") < keep_first), F.struct(*order))).alias("firsts")] if keep_first else []
+    # an aggregate that falls back to sorting does not keep the order of its rows
+    firsts = [F.array_sort(F.collect_list(F.when(F.col("_in") & (F.col("_seat") < keep_first), F.struct(*order)))).alias("firsts")] if keep_first else []
     closed = kept.groupBy(*keys, bucket, "_no", "_in").agg(
         *aggs, *edges, *firsts, F.max(head.cast("int")).alias("_head"), F.max(F.col("_tail").cast("int")).alias("_last"))
     shaped = closed.withColumns({

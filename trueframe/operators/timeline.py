@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import codes, first_of, truthy
-from .ordered import adjacent_pairs, islands, prefix_sums
+from .ordered import adjacent_pairs, islands, prefix_sums, row_rank
 
 SCORE_THRESHOLD = 0.5
 MAX_POSITIVE_GAP = Decimal("0.6")
@@ -169,15 +169,17 @@ def byte_ledger(events: DataFrame, budget: int, block: int = 4096) -> DataFrame:
 
 def error_streak(rows: DataFrame, order: Sequence[str], bucket: str, length: int = 3) -> DataFrame:
     """First point of each run where ``length`` consecutive errors are identical,
-    and how many rows came after it and would not have been started."""
-    streaks = islands(rows, ["case_id"], bucket, order, F.col("error").isNotNull(),
+    and how many rows came after it and would not have been started.
+
+    Rows that tie in ``order`` are rows of their own, so they are counted by place."""
+    placed = row_rank(rows, ["case_id"], bucket, [F.col(c) for c in order], "_place")
+    streaks = islands(placed, ["case_id"], bucket, ["_place", *order], F.col("error").isNotNull(),
                       lambda a, b: a["error"] == b["error"], ["error"], keep_first=length)
-    stop = streaks.filter(F.col("n") >= length).groupBy("case_id").agg(
-        F.min(F.element_at("firsts", length)).alias("stop"), F.min_by("first.error", F.element_at("firsts", length)).alias("error"))
-    after = rows.join(stop, "case_id").groupBy("case_id").agg(
-        F.count_if(F.struct(*order) > F.col("stop")).alias("not_started"))
-    return stop.join(after, "case_id").select(
-        "case_id", *[F.col("stop")[c].alias(f"stop_{c}") for c in order], "error", "not_started")
+    at = F.element_at("firsts", length)
+    stop = streaks.filter(F.col("n") >= length).groupBy("case_id").agg(F.min(at).alias("stop"), F.min_by("first.error", at).alias("error"))
+    whole = rows.groupBy("case_id").agg(F.count(F.lit(1)).alias("rows"))
+    return stop.join(whole, "case_id").select(
+        "case_id", *[F.col("stop")[c].alias(f"stop_{c}") for c in order], "error", (F.col("rows") - F.col("stop._place")).alias("not_started"))
 
 
 def sample_flag_counts(samples: DataFrame) -> DataFrame:
