@@ -195,11 +195,12 @@ def _(t):
     return s.presentation_coverage(shown(t), "day", F.lit(72 * HOUR_US), F.lit(96 * HOUR_US))
 
 
-@query("asof_frame", "WITH " + SHOWN + f""", c AS (SELECT *, {12*HOUR_US}*(2*slot+1) AS at_ FROM (SELECT case_id, unnest(range(max(at_)//{24*HOUR_US} + 1)) AS slot FROM sf GROUP BY 1))
+@query("asof_frame", "WITH " + SHOWN + f""", c AS (SELECT *, {12*HOUR_US}*(2*slot+1) AS at_ FROM (SELECT case_id, unnest(range(greatest(30, max(at_)//{24*HOUR_US} + 1))) AS slot FROM sf GROUP BY 1))
   SELECT c.case_id, slot::INT AS slot, c.at_ AS "at", CASE WHEN c.at_ < sf.raw THEN frame_id END AS frame_id
   FROM c ASOF LEFT JOIN sf ON c.case_id=sf.case_id AND c.at_ >= sf.at_""")
 def _(t):
-    last = F.floor(F.max("at_us") / (24 * HOUR_US)).cast("int")
+    # the 30 slots of the study for every case, and all later ones up to the case's last frame
+    last = F.greatest(F.lit(29), F.floor(F.max("at_us") / (24 * HOUR_US)).cast("int"))
     centres = t.samples.groupBy("case_id").agg(last.alias("last")).select("case_id", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("slot")).withColumn(
         "at", F.lit(12 * HOUR_US) * (2 * F.col("slot") + 1))
     return s.asof_frame(shown(t), centres, lambda at: F.floor(at / (24 * HOUR_US)))
