@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import shots as s
 from ..operators.ordered import split_hot
+from ..session import spread
 from .ranking import rounded
 from .registry import query
 from .timeline import ORDER, positioned
@@ -29,8 +30,11 @@ def _(t):
   UNION ALL SELECT id, 0, NULL, 'unsupported_duration' FROM d WHERE duration < 0.5 OR duration > 120""")
 def _(t):
     s.register_plan_windows(t.spark)
-    return t.spark.sql("SELECT c.id, w.start, w.problem FROM {clips} c, LATERAL plan_windows_checked(c.duration, 2D, 1D) w", clips=durations(t)).groupBy(
-        "id").agg(F.count("start").alias("windows"), F.max("start").alias("last_start"), F.max("problem").alias("problem"))
+    planned = t.spark.sql("SELECT c.id, w.start, w.problem IS NULL AS planned FROM {clips} c, LATERAL plan_windows_checked(c.duration, 2D, 1D) w",
+                          clips=spread(durations(t)))
+    # grouped without the text, so rows are hashed; with it they would all be sorted
+    found = planned.groupBy("id", "planned").agg(F.count("start").alias("windows"), F.max("start").alias("last_start"))
+    return found.select("id", "windows", "last_start", F.when(~F.col("planned"), "unsupported_duration").alias("problem"))
 
 
 FRAMES = "f AS (SELECT case_id, at_us, event_id, nano/1e9::DOUBLE AS pts FROM {samples})"
