@@ -79,3 +79,24 @@ def test_decision_words_and_error_priority(spark):
     assert [r.x for r in df.select(decision_of(F.col("d"), F.col("v")).alias("x")).collect()] == ["ai", "abstain", "not_ai", None]
     for text, want in (("HTTP 429 invalid json", "ProviderRateLimit"), ("request timed out while parsing", "OperationalTimeout"), ("IdentityMismatch: cache", "IdentityMismatch: cache"), ("?", "UnclassifiedOperationalError")):
         assert one(spark, text, error_category) == want
+
+
+def test_bare_domains_as_by_the_plain_pattern(spark):
+    import random
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(["a", "B", "7", "-", ".", "_", "/", " ", "é", "co", "x.y"]) for _ in range(rng.randint(1, 14))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    plain = F.regexp_replace("text", rf"(?i){ft.BOUND}(?:[a-z0-9-]+\.)+[a-z]{{2,}}(?:/[^\s   ﻿<>\"']*)?", "[link removed]")
+    assert df.filter(~ft.scrub_links(F.col("text")).eqNullSafe(F.nullif(ft.strip(plain), F.lit("")))).collect() == []
+
+
+def test_matched_captions_are_scrubbed_once(spark):
+    from trueframe.plans import QUERIES
+    plan = QUERIES["match_disclosures"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("https?:") == 2  # one scrub, whose nullif names it twice
+
+
+def test_strip_trims_what_the_space_class_matches(spark):
+    every = [chr(i) for i in range(1, 0x10000) if not 0xD800 <= i < 0xE000]
+    df = spark.createDataFrame([(f"{c}{c}x{c} y{c}",) for c in every] + [("",), (" \u3000 ",), (None,)], "text string")
+    assert df.filter(~ft.strip(F.col("text")).eqNullSafe(F.regexp_replace("text", rf"^{ft.SPACE}+|{ft.SPACE}+\z", ""))).collect() == []

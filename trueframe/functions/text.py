@@ -6,6 +6,8 @@ engine's own ``\\b`` follows letters of every script, so it is spelled out.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ WORD = "[0-9A-Za-z_]"
 LEFT, RIGHT = f"(?<!{WORD})", f"(?!{WORD})"
 BOUND = f"(?:(?<!{WORD})(?={WORD})|(?<={WORD})(?!{WORD}))"
 SPACE = r"[\s\x0B   -     　﻿]"
+# the characters that SPACE stands for in Java, whose own \\s is these six
+SPACES = "".join(c for c in map(chr, range(0x10000)) if re.fullmatch(SPACE.replace(r"\s", r" \t\n\x0B\f\r"), c))
 
 # Generator products named in claims.
 PRODUCTS = "veo|sora|runway|kling|hailuo|luma|pika|higgsfield"
@@ -49,7 +53,7 @@ DENIAL_PATTERN = (rf"(?i){LEFT}(?:not|no|never|without){RIGHT}.{{0,30}}{LEFT}(?:
 
 def strip(text: Column) -> Column:
     """Trim every Unicode space, not only blanks."""
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def scrub_links(text: Column, limit: int = 2000) -> Column:
@@ -57,7 +61,8 @@ def scrub_links(text: Column, limit: int = 2000) -> Column:
     to the caption length the report keeps; empty becomes null."""
     rest = rf"[^\s   ﻿<>\"']"
     one = F.regexp_replace(text, rf"(?i)(?:https?://|www\.){rest}+", "[link removed]")
-    two = F.regexp_replace(one, rf"(?i){BOUND}(?:[a-z0-9-]+\.)+[a-z]{{2,}}(?:/{rest}*)?", "[link removed]")
+    # a name begins at a word's start, or with a hyphen behind a word; a label that no dot follows is not tried again shorter
+    two = F.regexp_replace(one, rf"(?i)(?:{LEFT}[a-z0-9]|(?<={WORD})-)[a-z0-9-]*+\.(?:[a-z0-9-]++\.)*[a-z]{{2,}}(?:/{rest}*)?", "[link removed]")
     three = F.regexp_replace(two, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
     return F.nullif(F.substring(strip(three), 1, limit), F.lit(""))
 
