@@ -204,9 +204,11 @@ class TimedRuns(Timed):
         gap = nano - before
         linked = good & was_good & (gap > 0) & (gap <= self.max_gap)
         number = np.cumsum(good & ~linked)  # 0: the run that was open before
-        parts = pd.DataFrame({"no": number, "e": event, "t": nano, "s": score})[good].groupby("no", sort=True)
-        table = parts.agg(first_event_id=("e", "first"), n=("e", "size"), first_nano=("t", "first"), last_nano=("t", "last"), max_score=("s", "max")).reset_index()
-        runs = [tuple(r) for r in table.itertuples(index=False)]
+        no, event, t, top = number[good], event[good], nano[good], score[good]
+        begin = np.flatnonzero(np.diff(no, prepend=-1))
+        ends = np.append(begin[1:], len(no))[:len(begin)] - 1
+        tops = np.maximum.reduceat(top, begin) if len(begin) else top
+        runs = list(zip(no[begin].tolist(), event[begin].tolist(), (ends - begin + 1).tolist(), t[begin].tolist(), t[ends].tolist(), tops.tolist()))
         if known and known[1]:
             if runs and runs[0][0] == 0:
                 _, _, n, _, last, top = runs[0]
@@ -215,7 +217,7 @@ class TimedRuns(Timed):
                 runs.insert(0, (0, *known))
         still = bool(good[-1])
         done = [r[1:] for r in (runs[:-1] if still else runs)]
-        state = tuple(v.item() if hasattr(v, "item") else v for v in runs[-1][1:]) if still else (0, 0, 0, 0, 0.0)
+        state = tuple(runs[-1][1:]) if still else (0, 0, 0, 0, 0.0)
         return self._frame(key, done), state
 
     def closed(self, key, known):
