@@ -7,7 +7,8 @@ ways to draw them:
 * ``split``, the default: counts are split down a tree of group cells, so
   multiplicities arise beside the vectors and no draw is a row (``splitting``).
 * ``addressed``: draw (replicate, slot) is a hash of its address; repeatable in
-  any engine and on any partitioning.
+  any engine and on any partitioning. Draws are made and counted as arrays and
+  meet their groups by ranges of ordinals, as those of ``lcg`` do.
 * ``lcg``: the 32-bit congruential sequence of the published results, each
   state computed from its draw number by modular powers, so no draw waits for
   the one before it.
@@ -21,12 +22,16 @@ groups there is nothing to resample and the interval is null.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.rules import completed, is_positive, truthy
 from ..functions.stats import ratio
@@ -36,6 +41,12 @@ from .ordered import hash_bucket, row_rank, score_bucket
 from .splitting import split_histograms, split_sums
 
 MULTIPLIER, INCREMENT, MODULUS = 1664525, 1013904223, 1 << 32
+#: Rotations of the four rounds of MD5.
+TURNS = (7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)
+#: Ordinals in a range (two bytes), replicates in a block, slots drawn at once, replicates counted at once.
+RANGE, BLOCK, SLOTS, SLAB = 32_768, 500, 8192, 16
+#: Rows of one range that a task takes.
+ROWS = 262_144
 
 VECTOR = ("completed", "tp", "fn", "fp", "tn", "abstained_ai", "abstained_non_ai", "high", "high_wrong")
 
@@ -74,36 +85,163 @@ def lcg_states(numbers: np.ndarray, seed: int) -> np.ndarray:
     return (scale * np.uint64(seed) + shift) & mask
 
 
-def draws(groups: DataFrame, replicates: int, seed: int, method: str) -> DataFrame:
-    """One (replicate, ordinal) row per draw: replicates x groups of them.
+def md5_heads(prefix: bytes, numbers: np.ndarray) -> np.ndarray:
+    """First 60 bits of the MD5 of ``prefix`` and each number in decimal.
 
-    The grid of addresses starts from (group, block of replicates) rows, spread
-    over every task before they are expanded. Draws are joined to the count
-    vectors and summed per replicate inside each task, so what is shuffled is
-    one row per replicate and task.
+    All numbers have equally many digits, and a text stays below 56 bytes, which
+    is one block; each of its steps is then one array operation over all texts.
     """
-    block = 250
-    total = groups.agg(F.count(F.lit(1)).alias("groups"))
-    blocks = groups.select(F.col("ordinal").alias("slot"), F.explode(F.sequence(
-        F.lit(0), F.lit(replicates - 1), F.lit(block))).alias("first"))
-    spread = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slots = blocks.repartition(spread, "slot", "first").crossJoin(F.broadcast(total))
-    grid = slots.withColumn("replicate", F.explode(F.sequence(
-        F.col("first"), F.least(F.col("first") + (block - 1), F.lit(replicates - 1)))))
-    if method == "addressed":
-        digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("replicate"), F.col("slot")))
-        drawn = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % F.col("groups")
-    elif method == "lcg":
-        @F.pandas_udf("long")
-        def state(number: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for part in number:
-                yield pd.Series(lcg_states(part.to_numpy(), seed).astype(np.int64))
-
-        drawn = F.floor(state(F.col("replicate").cast("long") * F.col("groups") + F.col("slot") + 1)
-                        / F.lit(float(MODULUS)) * F.col("groups"))
-    else:
+    digits = len(str(int(numbers[0])))
+    size = len(prefix) + digits
+    text = [*prefix, *[(numbers // 10 ** k % 10 + 48).astype(np.uint32) for k in range(digits - 1, -1, -1)], 128,
+            *[0] * (55 - size), *(8 * size).to_bytes(8, "little")]
+    words = [sum((byte << (8 * k) for k, byte in enumerate(text[at:at + 4])), start=0) for at in range(0, 64, 4)]
+    start = [np.full(len(numbers), x, np.uint32) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+    a, b, c, d = start
+    for i in range(64):
+        if i < 16:
+            mixed, at = d ^ (b & (c ^ d)), i
+        elif i < 32:
+            mixed, at = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+        elif i < 48:
+            mixed, at = b ^ c ^ d, (3 * i + 5) % 16
+        else:
+            mixed, at = c ^ (b | ~d), 7 * i % 16
+        mixed += a
+        constant = int(abs(math.sin(i + 1)) * MODULUS)
+        if isinstance(words[at], int):
+            constant = (constant + words[at]) % MODULUS
+        else:
+            mixed += words[at]
+        mixed += np.uint32(constant)
+        turn = TURNS[i // 16][i % 4]
+        a, d, c, b = d, c, b, b + (mixed << turn | mixed >> (32 - turn))
+    high, low = ((x + y).byteswap().astype(np.int64) for x, y in zip((a, b), start))
+    return (high << 28) | (low >> 4)
+
+
+def addressed(seed: int, replicate: int, slots: np.ndarray, groups: int) -> np.ndarray:
+    """Group that each of the consecutive ``slots`` of a replicate draws."""
+    tens = 10 ** np.arange(1, 19)
+    parts = np.split(slots, np.searchsorted(slots, tens[(tens > slots[0]) & (tens <= slots[-1])]))
+    return np.concatenate([md5_heads(f"{seed}:{replicate}:".encode(), part) for part in parts]) % groups
+
+
+def congruential(seed: int, replicate: int, slots: np.ndarray, groups: int) -> np.ndarray:
+    states = lcg_states(replicate * groups + slots + 1, seed).astype(float)
+    return np.floor(states / MODULUS * groups).astype(np.int64)
+
+
+DRAW = {"addressed": addressed, "lcg": congruential}
+
+
+def draws(spark: SparkSession, groups: int, replicates: int, seed: int, method: str) -> DataFrame:
+    """Every draw, packed: a row holds those of ``SLOTS`` slots and ``BLOCK`` replicates that fall in one range of ordinals.
+
+    ``counts`` are the draws per replicate (int32) and ``seats`` their places in
+    the range (uint16), replicate by replicate: two bytes a draw.
+    """
+    if method not in DRAW:
         raise ValueError(f"unknown draw method: {method}")
-    return grid.select("replicate", drawn.alias("ordinal"))
+    blocks, draw = -(-replicates // BLOCK), DRAW[method]
+    units = blocks * -(-groups // SLOTS)
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for unit in (u for batch in batches for u in batch["id"].tolist()):
+            first, low = unit % blocks * BLOCK, unit // blocks * SLOTS
+            slots = np.arange(low, min(low + SLOTS, groups))
+            rows = [np.sort(draw(seed, r, slots, groups)) for r in range(first, min(first + BLOCK, replicates))]
+            cuts = np.array([np.searchsorted(row, np.arange(0, groups + RANGE, RANGE)) for row in rows])
+            counts, seats = np.diff(cuts).astype("<i4"), [(row % RANGE).astype("<u2") for row in rows]
+            met = np.flatnonzero(counts.any(axis=0))
+            yield pd.DataFrame({
+                "range": met, "first": first, "counts": [counts[:, q].tobytes() for q in met],
+                "seats": [b"".join(row[i:j] for row, i, j in zip(seats, cuts[:, q].tolist(), cuts[:, q + 1].tolist())) for q in met]})
+
+    ids = spark.range(0, units, 1, max(1, min(units, 4096)))
+    return ids.mapInPandas(pack, "range long, first long, counts binary, seats binary")
+
+
+def multiplicities(counts: Sequence[bytes], seats: Sequence[bytes], width: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(first replicate, replicates x seats) of one range and block, in slabs of replicates."""
+    many = [np.frombuffer(c, "<i4") for c in counts]
+    ends = [np.cumsum(np.concatenate([[0], m])) for m in many]
+    places = [np.frombuffer(s, "<u2") for s in seats]
+    for low in range(0, len(many[0]), SLAB):
+        high = min(low + SLAB, len(many[0]))
+        flat = np.concatenate([p[e[low]:e[high]] + np.repeat(np.arange(high - low) * width, m[low:high])
+                               for m, e, p in zip(many, ends, places)])
+        yield low, np.bincount(flat, minlength=(high - low) * width).reshape(high - low, width)
+
+
+def met_draws(rows: DataFrame, groups: int, replicates: int, seed: int, method: str, work: Callable, schema: str) -> DataFrame:
+    """``work`` gets the rows of a range of ordinals, as (table, slabs of multiplicities of one block of replicates).
+
+    Rows and packed draws meet by a shuffle on (range, block). A range with more
+    than ``ROWS`` rows is dealt over several tasks, each of which gets its draws.
+    """
+    names, width = [c for c in rows.columns if c != "ordinal"], min(RANGE, groups)
+    dealt = rows.select(F.floor(F.col("ordinal") / RANGE).cast("long").alias("range"),
+                        (F.col("ordinal") % RANGE).cast("int").alias("seat"), *names)
+    sizes = settled(dealt.groupBy("range").agg(F.ceil(F.count(F.lit(1)) / ROWS).cast("long").alias("parts")), "ranges")
+    cells = dealt.join(sizes, "range").withColumn("part", F.pmod(F.xxhash64(*names), F.col("parts"))).withColumn(
+        "first", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"), F.lit(BLOCK).cast("long"))))
+    packed = draws(rows.sparkSession, groups, replicates, seed, method).join(sizes, "range").withColumn(
+        "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(list(batches))
+        drawn = whole.filter(pc.is_valid(whole["seats"]))
+        mine = whole.filter(pc.is_valid(whole["seat"])).combine_chunks()
+        if drawn.num_rows and mine.num_rows:
+            first = key[2].as_py()
+            slabs = multiplicities(drawn["counts"].to_pylist(), drawn["seats"].to_pylist(), width)
+            yield from work(mine, ((first + low, times) for low, times in slabs))
+
+    both = packed.drop("parts").unionByName(cells.drop("parts"), allowMissingColumns=True)
+    return both.groupBy("range", "part", "first").applyInArrow(run, schema)
+
+
+def drawn_sums(vectors: DataFrame, names: Sequence[str], replicates: int, seed: int, method: str) -> DataFrame:
+    """Sums of ``names`` per replicate. Whole numbers below 2^53 are exact."""
+    kinds = {f.name: f.dataType for f in vectors.schema}
+    whole = {n: isinstance(kinds[n], (T.LongType, T.IntegerType, T.ShortType, T.ByteType)) for n in names}
+
+    def work(mine: pa.Table, slabs: Iterator[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        seat = mine["seat"].to_numpy()
+        matrix = np.column_stack([pc.fill_null(mine[n].cast(pa.float64()), 0.0).to_numpy() for n in whole])
+        for at, times in slabs:
+            total = times[:, seat].astype(float) @ matrix
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(at, at + len(total))), *[pa.array(t.astype(np.int64) if whole[n] else t) for n, t in zip(whole, total.T)]],
+                ["replicate", *whole])
+
+    schema = "replicate long, " + ", ".join(f"`{n}` {'long' if whole[n] else 'double'}" for n in whole)
+    parts = met_draws(vectors.select("ordinal", *names), vectors.count(), replicates, seed, method, work, schema)
+    return parts.groupBy("replicate").agg(*[F.sum(n).alias(n) for n in names])
+
+
+def drawn_histograms(cells: DataFrame, groups: int, replicates: int, seed: int, method: str) -> DataFrame:
+    """Weighted positives and negatives per replicate and score, from rows (ordinal, score, pos, neg)."""
+    kind = cells.schema["score"].dataType.simpleString()
+
+    def work(mine: pa.Table, slabs: Iterator[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        coded = mine["score"].combine_chunks().dictionary_encode(null_encoding="encode")
+        code = coded.indices.to_numpy()
+        order = np.argsort(code, kind="stable")
+        starts = np.flatnonzero(np.diff(code[order], prepend=-1))
+        seat, *sides = (mine[n].to_numpy()[order] for n in ("seat", "pos", "neg"))
+        for at, times in slabs:
+            taken = times[:, seat]
+            pos, neg = (np.add.reduceat(taken * side, starts, axis=1) for side in sides)
+            replicate, score = np.nonzero(pos | neg)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(replicate + at), coded.dictionary.take(pa.array(score)), pa.array(pos[replicate, score]), pa.array(neg[replicate, score])],
+                ["replicate", "score", "pos", "neg"])
+
+    parts = met_draws(cells.select("ordinal", "score", "pos", "neg"), groups, replicates, seed, method, work,
+                      f"replicate long, score {kind}, pos long, neg long")
+    return parts.groupBy("replicate", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
 def _multinomial(vectors: DataFrame, names: Sequence[str], replicates: int, seed: int) -> DataFrame:
@@ -147,8 +285,7 @@ def replicate_sums(vectors: DataFrame, names: Sequence[str], replicates: int, se
         return split_sums(vectors, names, replicates, seed)
     if method == "multinomial":
         return _multinomial(vectors, names, replicates, seed)
-    return draws(vectors, replicates, seed, method).join(vectors, "ordinal").groupBy("replicate").agg(
-        *[F.sum(n).alias(n) for n in names])
+    return drawn_sums(vectors, names, replicates, seed, method)
 
 
 def percentile_interval(values: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -199,19 +336,19 @@ def auroc_bootstrap(df: DataFrame, replicates: int = 1000, seed: int = 1937303,
     replicate is exact; beyond, scores of one band count as ties, which moves it
     by at most half the share of positive-negative pairs that meet in a band,
     about 1 / (2 bands) where scores do not repeat. The other methods keep every
-    score and cost replicates x groups rows.
+    score: they cost two shuffled bytes for each of replicates x groups draws, and
+    a row for each replicate, range of ordinals and distinct score in it.
     """
     vectors = group_vectors(df, {"n": F.count(F.lit(1))}, first_seen).select("group_id", "ordinal")
     pos = is_positive(F.col("label"))
     cells = settled(df.groupBy("group_id", F.col(score).alias("score")).agg(
         F.count_if(pos).alias("pos"), F.count_if(~pos).alias("neg")).join(vectors, "group_id").drop("group_id"), "cells")
+    groups = resampled(vectors).count()
     if method == "split":
-        groups = resampled(vectors).count()
         banded = score_bands(cells, bands)
         weighted = split_histograms(banded if groups else banded.limit(0), groups, replicates, seed).withColumnRenamed("band", "score")
     else:
-        weighted = draws(resampled(vectors), replicates, seed, method).join(cells, "ordinal").groupBy("replicate", "score").agg(
-            F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        weighted = drawn_histograms(cells, groups, replicates, seed, method)
     from .ranking import auroc_from_counts
     return percentile_interval(auroc_from_counts(weighted, ["replicate"]), [], "auroc")
 
