@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -33,6 +34,35 @@ def test_memory_keeps_ids_right_when_it_turns(tokenizer):
         assert np.frombuffer(encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_a_full_memory_keeps_the_words_still_met(tokenizer):
+    """Words met since the last turn stay known; others, and long ones, are given up."""
+    encode = packing.Encoder(PATH)
+    encode.memory = packing.Memory(limit=8)
+    long = "x" * (packing.LONGEST + 1)
+    for text in (f"a b c d e f {long}. {long}", "a b", "a c.", "a b c"):
+        ids, sizes = encode.batch(pa.array([text, "", text]), 1)
+        want = tokenizer.encode(text, add_special_tokens=False).ids + [1]
+        assert ids.tolist() == [*want, 1, *want] and sizes.tolist() == [len(want), 1, len(want)]
+    assert {"a", "b", "c"} <= set(encode.memory.words.to_pylist()) and long not in encode.memory.words.to_pylist()
+
+
+def test_known_words_are_not_encoded_again(monkeypatch):
+    """A word met before, alone or before a mark, is found by its place and never asked for as text."""
+    encode = packing.Encoder(PATH)
+    encode.memory = packing.Memory()
+    encode("one two three. four")
+    asked = []
+    monkeypatch.setattr(encode, "ids_of", lambda parts, plain=encode.ids_of: asked.extend(parts) or plain(parts))
+    encode.batch(pa.array(["four three. two", None, "one five"]), 1)
+    assert asked == ["five"]
+
+
+def test_small_batches_are_worked_on_together(documents, tokenizer, monkeypatch):
+    rows = [(i, f"text {i} " * (1 + i % 30)) for i in range(200)]
+    monkeypatch.setattr(packing, "CHUNK_BYTES", 700)
+    check(rows, packing.pack(documents(rows), PATH).collect(), tokenizer)
+
+
 def test_sum_of_squares_takes_the_least_change():
     rng = random.Random(2)
     sizes = np.array([rng.randrange(1, 21) for _ in range(300)])

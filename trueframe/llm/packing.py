@@ -29,30 +29,52 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blank_split, text_of, written
+from .common import text_of, written
 
 CAPACITY = 4096
 BLOCK = 65_536
 END_ID = 1
-#: Words in one generation of a worker's memory of ids; longer ones are encoded anew each time.
-REMEMBERED, LONGEST = 400_000, 64
+#: Words in a worker's memory of ids; longer ones are encoded anew when it turns.
+REMEMBERED, LONGEST = 1_000_000, 64
 #: Bytes of text worked on together; a longer text stands alone.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 8 << 20
 
 
 class Memory:
-    """Ids of words seen by this process, in two generations: when the younger
-    is full it becomes the older one, and words still in use move up again."""
+    """Ids of words seen by this process: the words as one Arrow array, their ids
+    as one table. When it is full it turns: words not met since the last turn go."""
 
     def __init__(self, limit: int = REMEMBERED):
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
         self.limit = limit
+        self.words = pa.array([], pa.large_string())
+        self.begin, self.width, self.met = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.table = np.zeros(0, "<u4")
 
-    def turn(self) -> dict[str, bytes]:
-        if len(self.young) >= self.limit:
-            self.young, self.old = {}, self.young
-        return self.young
+    def turn(self) -> None:
+        if len(self.words) < self.limit and len(self.table) < 16 * self.limit:
+            return
+        short = pc.less_equal(pc.binary_length(self.words), LONGEST).to_numpy(zero_copy_only=False)
+        keep = np.flatnonzero(self.met & short)[-(self.limit // 2 + 1):]
+        self.table = spans(self.table, self.begin[keep], self.width[keep])
+        self.words, self.width, self.met = self.words.take(pa.array(keep)), self.width[keep], np.zeros(len(keep), bool)
+        self.begin = np.cumsum(self.width) - self.width
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """Place of each word, -1 for one not known."""
+        return pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().astype(np.int64)
+
+    def add(self, words: pa.Array, ids: list[bytes]) -> None:
+        width = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        self.words = pa.concat_arrays([self.words, words])
+        self.begin = np.concatenate([self.begin, len(self.table) + np.cumsum(width) - width])
+        self.width, self.met = np.concatenate([self.width, width]), np.concatenate([self.met, np.zeros(len(ids), bool)])
+        self.table = np.concatenate([self.table, np.frombuffer(b"".join(ids), "<u4")])
+
+
+def spans(table: np.ndarray, begin: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """The stretches of ``table`` that start at ``begin``, one after the other."""
+    ends = np.cumsum(width)
+    return table[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - width), width)]
 
 
 def process_memory(path: str) -> Memory:
@@ -100,63 +122,51 @@ class Encoder:
         return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
 
     def ids_of(self, parts: list[str]) -> list[bytes]:
-        """Ids of different parts. What this worker has met before is looked up."""
-        known, old = self.memory.turn(), self.memory.old
-        met: dict[str, bytes] = {}
-        cut, words, others = {}, set(), set()
-        for p in [p for p in parts if p not in known]:
-            if (ids := old.get(p)) is not None:
-                known[p] = ids
-            elif self.letters(p):
-                words.add(p)
-            elif p[-1] in self.MARKS and self.letters(p[:-1]):
-                cut[p] = p[:-1], p[-1]
-            else:
-                others.add(p)
-        for word, mark in cut.values():
-            if word not in known:
-                words.add(word)
-            if mark not in known:
-                others.add(mark)
-        for group, encode in ((list(words), self._words), (list(others), self._plain)):
+        """Ids of different parts that this worker does not know. Letters before a mark may be known to it."""
+        cut = {p: (p[:-1], p[-1]) for p in parts if p[-1] in self.MARKS and self.letters(p[:-1])}
+        stems = list({x for pair in cut.values() for x in pair}.difference(parts))
+        at = self.memory.find(pa.array(stems, pa.large_string()))
+        begin, width = self.memory.begin, self.memory.width
+        met = {x: self.memory.table[begin[i]:begin[i] + width[i]].tobytes() for x, i in zip(stems, at.tolist()) if i >= 0}
+        words, others = [], []
+        for p in [p for p in (*parts, *stems) if p not in cut and p not in met]:
+            (words if self.letters(p) else others).append(p)
+        for group, encode in ((words, self._words), (others, self._plain)):
             if group:
                 met.update(zip(group, encode(group)))
-        for p, (word, mark) in cut.items():
-            met[p] = b"".join(met[x] if x in met else known[x] for x in (word, mark))
-        long = [p for p in met if len(p) > LONGEST]
-        known.update(met)
-        found = list(map(known.__getitem__, parts))
-        for p in long:
-            del known[p]
-        return found
+        return [met[cut[p][0]] + met[cut[p][1]] if p in cut else met[p] for p in parts]
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Places of different words in the memory, to which the unknown ones are added."""
+        self.memory.turn()
+        at = self.memory.find(words)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = words.take(pa.array(missing))
+            at[missing] = len(self.memory.words) + np.arange(len(missing))
+            self.memory.add(new, self.ids_of(new.to_pylist()))
+        self.memory.met[at] = True
+        return at
 
     def __call__(self, text: str) -> bytes:
-        parts = blank_split(text)
-        different = list(dict.fromkeys(parts))
-        return b"".join(map(dict(zip(different, self.ids_of(different))).__getitem__, parts))
+        return self.batch(pa.array([text]), END_ID)[0][:-1].tobytes()
 
     def batch(self, texts: pa.Array, closing: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, each followed by ``closing``, and how many each text has.
 
-        Parts are numbered over the whole batch, the different ones are encoded,
-        and every part's ids are gathered from theirs by index.
+        Parts are numbered over the whole batch, the different ones are found in
+        the memory, and every part's ids are gathered from its table by index.
         """
         split = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
         flat, owner = split.flatten(), pc.list_parent_indices(split).to_numpy()
         filled = pc.greater(pc.binary_length(flat), 0)
         coded = flat.filter(filled).dictionary_encode()
-        owner = owner[filled.to_numpy(zero_copy_only=False)]
-        raw = [*self.ids_of(coded.dictionary.to_pylist()), np.asarray([closing], "<u4").tobytes()]
-        table = np.frombuffer(b"".join(raw), "<u4")
-        width = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
-        begin = np.cumsum(width) - width
-        parts = np.bincount(owner, minlength=len(texts))
-        # the closing part stands behind the last part of its text
-        code = np.insert(coded.indices.to_numpy(), np.cumsum(parts), len(raw) - 1)
-        size = width[code]
-        ends = np.cumsum(size)
-        ids = table[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin[code] - (ends - size), size)]
-        return ids, np.diff(ends[np.cumsum(parts + 1) - 1], prepend=0) if len(texts) else parts
+        parts = np.bincount(owner[filled.to_numpy(zero_copy_only=False)], minlength=len(texts))
+        at = self.places(coded.dictionary)[coded.indices.to_numpy()]
+        width = self.memory.width[at]
+        ids = spans(self.memory.table, self.memory.begin[at], width)
+        behind = np.concatenate([[0], np.cumsum(width)])[np.cumsum(parts)]
+        return np.insert(ids, behind, closing), np.diff(behind, prepend=0) + 1
 
 
 def tokenised(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -177,14 +187,26 @@ def tokenised(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col:
             [doc_ids.take(pa.array(of)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
             ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer)
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held, size = [], 0
         for batch in batches:
-            weight = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)) // CHUNK_BYTES
-            cuts = [0, *(np.flatnonzero(np.diff(weight)) + 1).tolist(), batch.num_rows]
+            weight = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
+            cuts = [0, *(np.flatnonzero(np.diff(weight // CHUNK_BYTES)) + 1).tolist(), batch.num_rows]
             for lo, hi in zip(cuts, cuts[1:]):
                 if lo < hi:
-                    yield pieces(encode, batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo))
+                    held.append(batch.slice(lo, hi - lo))
+                    size += int(weight[hi - 1]) - (int(weight[lo - 1]) if lo else 0)
+                    if size >= CHUNK_BYTES:
+                        yield pa.Table.from_batches(held)
+                        held, size = [], 0
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = Encoder(tokenizer)
+        for chunk in chunks(batches):
+            doc_ids, texts = (chunk.column(i).cast(kind).combine_chunks() for i, kind in enumerate((pa.int64(), pa.large_string())))
+            yield pieces(encode, doc_ids, texts)
 
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
