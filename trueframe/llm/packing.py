@@ -34,7 +34,7 @@ from .common import text_of, written
 CAPACITY = 4096
 BLOCK = 65_536
 END_ID = 1
-#: Words in a worker's memory of ids; longer ones are encoded anew when it turns.
+#: Words in a worker's memory of ids; longer ones are encoded anew in each chunk.
 REMEMBERED, LONGEST = 1_000_000, 64
 #: Bytes of text worked on together; a longer text stands alone.
 CHUNK_BYTES = 8 << 20
@@ -53,12 +53,20 @@ class Memory:
     def turn(self) -> None:
         if len(self.words) < self.limit and len(self.table) < 16 * self.limit:
             return
-        short = pc.less_equal(pc.binary_length(self.words), LONGEST).to_numpy(zero_copy_only=False)
-        keep = np.flatnonzero(self.met & short)[-(self.limit // 2 + 1):]
+        keep = np.flatnonzero(self.met)[-(self.limit // 2 + 1):]
         self.table = spans(self.table, self.begin[keep], self.width[keep])
         self.words, self.width, self.met = self.words.take(pa.array(keep)), self.width[keep], np.zeros(len(keep), bool)
         self.begin = np.cumsum(self.width) - self.width
 
+    @property
+    def young(self) -> list[str]:
+        return self.words.to_pylist()
+
+    def forget(self, lasting: int) -> None:
+        """Only the first ``lasting`` words stay known."""
+        self.words, self.begin, self.width, self.met = (x[:lasting] for x in (self.words, self.begin, self.width, self.met))
+        self.table = self.table[:self.begin[-1] + self.width[-1] if lasting else 0]
+
     def find(self, words: pa.Array) -> np.ndarray:
         """Place of each word, -1 for one not known."""
         return pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().astype(np.int64)
@@ -136,17 +144,20 @@ class Encoder:
                 met.update(zip(group, encode(group)))
         return [met[cut[p][0]] + met[cut[p][1]] if p in cut else met[p] for p in parts]
 
-    def places(self, words: pa.Array) -> np.ndarray:
-        """Places of different words in the memory, to which the unknown ones are added."""
+    def places(self, words: pa.Array) -> tuple[np.ndarray, int]:
+        """Places of different words in the memory, to which the unknown ones are
+        added, long ones at the end; and how many words may stay there."""
         self.memory.turn()
         at = self.memory.find(words)
-        missing = np.flatnonzero(at < 0)
+        missing, known = np.flatnonzero(at < 0), len(self.memory.words)
+        short = pc.less_equal(pc.utf8_length(words.take(pa.array(missing))), LONGEST).to_numpy(zero_copy_only=False)
         if len(missing):
+            missing = np.concatenate([missing[short], missing[~short]])
             new = words.take(pa.array(missing))
-            at[missing] = len(self.memory.words) + np.arange(len(missing))
+            at[missing] = known + np.arange(len(missing))
             self.memory.add(new, self.ids_of(new.to_pylist()))
         self.memory.met[at] = True
-        return at
+        return at, known + int(short.sum())
 
     def __call__(self, text: str) -> bytes:
         return self.batch(pa.array([text]), END_ID)[0][:-1].tobytes()
@@ -162,9 +173,11 @@ class Encoder:
         filled = pc.greater(pc.binary_length(flat), 0)
         coded = flat.filter(filled).dictionary_encode()
         parts = np.bincount(owner[filled.to_numpy(zero_copy_only=False)], minlength=len(texts))
-        at = self.places(coded.dictionary)[coded.indices.to_numpy()]
+        place, lasting = self.places(coded.dictionary)
+        at = place[coded.indices.to_numpy()]
         width = self.memory.width[at]
         ids = spans(self.memory.table, self.memory.begin[at], width)
+        self.memory.forget(lasting)
         behind = np.concatenate([[0], np.cumsum(width)])[np.cumsum(parts)]
         return np.insert(ids, behind, closing), np.diff(behind, prepend=0) + 1
 
