@@ -57,6 +57,25 @@ def test_known_words_are_not_encoded_again(monkeypatch):
     assert asked == ["five"]
 
 
+def test_many_new_words_are_encoded_in_parts(tokenizer, monkeypatch):
+    """The tokenizer's notes stay small, however many words of a batch are new, and the ids stay its own."""
+    class Watched:
+        most = 0
+
+        def encode_batch_fast(self, texts, **options):
+            self.most = max(self.most, sum(len(t.split()) for t in texts))
+            return tokenizer.encode_batch_fast(texts, **options)
+
+    encode, watched = packing.Encoder(PATH), Watched()
+    encode.memory, encode.tokenizer = packing.Memory(), watched
+    monkeypatch.setattr(packing, "TOGETHER", 7, raising=False)
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choices("abcdeé1.", k=6)) for _ in range(40)) for _ in range(5)]
+    ids, lengths = encode.batch(pa.array(texts), 1)
+    assert ids.tolist() == [i for t in texts for i in (*tokenizer.encode(t, add_special_tokens=False).ids, 1)]
+    assert lengths.sum() == len(ids) and 0 < watched.most <= 7
+
+
 def test_small_batches_are_worked_on_together(documents, tokenizer, monkeypatch):
     rows = [(i, f"text {i} " * (1 + i % 30)) for i in range(200)]
     monkeypatch.setattr(packing, "CHUNK_BYTES", 700)

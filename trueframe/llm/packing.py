@@ -38,6 +38,8 @@ END_ID = 1
 REMEMBERED, LONGEST = 1_000_000, 64
 #: Bytes of text worked on together; a longer text stands alone.
 CHUNK_BYTES = 8 << 20
+#: Words the tokenizer gets at once: its own notes on them are many times their ids.
+TOGETHER = 16_384
 
 
 class Memory:
@@ -140,8 +142,9 @@ class Encoder:
         for p in [p for p in (*parts, *stems) if p not in cut and p not in met]:
             (words if self.letters(p) else others).append(p)
         for group, encode in ((words, self._words), (others, self._plain)):
-            if group:
-                met.update(zip(group, encode(group)))
+            for i in range(0, len(group), TOGETHER):
+                part = group[i:i + TOGETHER]
+                met.update(zip(part, encode(part)))
         return [met[cut[p][0]] + met[cut[p][1]] if p in cut else met[p] for p in parts]
 
     def places(self, words: pa.Array) -> tuple[np.ndarray, int]:
@@ -220,6 +223,9 @@ def tokenised(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col:
         for chunk in chunks(batches):
             doc_ids, texts = (chunk.column(i).cast(kind).combine_chunks() for i, kind in enumerate((pa.int64(), pa.large_string())))
             yield pieces(encode, doc_ids, texts)
+        # the worker lives on, also for other operators' tasks
+        chunk = doc_ids = texts = None
+        pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
