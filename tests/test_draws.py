@@ -46,3 +46,25 @@ def test_no_draw_is_a_row(spark):
     """2,000 groups by 300 replicates: 600,000 draws in one packed row."""
     packed = b.draws(spark, 2000, 300, 5, "addressed").collect()
     assert len(packed) == 1 and len(packed[0]["seats"]) == 2 * 600_000
+
+
+def under_broadcasts(df):
+    """The lines of the plan that stand under a broadcast."""
+    found, above = [], None
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        if above is not None and depth <= above:
+            above = None
+        if above is not None:
+            found.append(line)
+        elif "BroadcastExchange" in line:
+            above = depth
+    return found
+
+
+def test_packed_draws_of_auroc_are_not_broadcast(spark):
+    df = rows(spark, sample(60, 9))
+    cells = df.groupBy("group_id", "score").agg(b.F.lit(1).alias("pos"), b.F.lit(0).alias("neg")).join(
+        b.group_vectors(df, {"n": b.F.count(b.F.lit(1))}), "group_id")
+    met = under_broadcasts(b.drawn_histograms(cells, 10, 40, 11, "addressed"))
+    assert met and not any("MapInPandas" in line for line in met)

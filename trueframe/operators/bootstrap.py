@@ -183,7 +183,8 @@ def met_draws(rows: DataFrame, groups: int, replicates: int, seed: int, method:
     names, width = [c for c in rows.columns if c != "ordinal"], min(RANGE, groups)
     dealt = rows.select(F.floor(F.col("ordinal") / RANGE).cast("long").alias("range"),
                         (F.col("ordinal") % RANGE).cast("int").alias("seat"), *names)
-    sizes = settled(dealt.groupBy("range").agg(F.ceil(F.count(F.lit(1)) / ROWS).cast("long").alias("parts")), "ranges")
+    # Spark takes packed draws for as small as the numbers they are made from and would broadcast them; ranges are one row in RANGE groups
+    sizes = F.broadcast(settled(dealt.groupBy("range").agg(F.ceil(F.count(F.lit(1)) / ROWS).cast("long").alias("parts")), "ranges"))
     cells = dealt.join(sizes, "range").withColumn("part", F.pmod(F.xxhash64(*names), F.col("parts"))).withColumn(
         "first", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"), F.lit(BLOCK).cast("long"))))
     packed = draws(rows.sparkSession, groups, replicates, seed, method).join(sizes, "range").withColumn(
