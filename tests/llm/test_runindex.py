@@ -1,7 +1,9 @@
 import hashlib
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
 
 from trueframe.llm import runindex
 
@@ -106,3 +108,35 @@ def test_places_beyond_two_gib_are_kept():
     for places in ([], [0, 7, 2 ** 31 - 1], [3, 2 ** 31, 2 ** 40]):
         local = np.zeros(len(places), np.int32).tobytes()
         assert runindex._places(runindex._packed(np.array(places, np.int64)), local).tolist() == places
+
+
+def test_small_blocks_few_chunks_and_many_buckets(documents, monkeypatch):
+    for name, value in {"BLOCK": 700, "CHUNKS": 2, "CHUNK": 10, "BUCKET_BYTES": 3000}.items():
+        monkeypatch.setattr(runindex, name, value)
+    rows = corpus(random.Random(5)) + [(1, ""), (2, None), (3, "y" * 5000), (4, "y" * 4000 + "z"), (5, "")]
+    assert got(runindex.removal(documents(rows))) == plain(rows)
+
+
+def test_marks_cost_what_they_are_and_not_the_text_for_each_bucket():
+    """3,000 buckets mark an 8 MB chunk; a pass over its bytes for each took minutes."""
+    rng = np.random.default_rng(6)
+    size = 8 << 20
+    marks = [(np.sort(rng.integers(0, size - 200, n)), rng.integers(50, 118, n).astype(np.int32)) for n in [1, 0, 7] * 1000]
+    marks += [(np.array([0, 60, 120]), np.array([60, 60, 50], np.int32)), (np.array([size - 84, size - 84]), np.array([84, 50], np.int32))]
+    other = pa.table({"place": pa.array([None, *[runindex._packed(a) for a, _ in marks]], pa.binary()),
+                      "length": pa.array([None, *[n.tobytes() for _, n in marks]], pa.binary())})
+    gone = np.zeros(size, bool)
+    for a, n in marks:
+        for i, k in zip(a.tolist(), n.tolist()):
+            gone[i:i + k] = True
+    began = time.process_time()
+    assert (runindex._covered(size, other) == gone).all()
+    assert time.process_time() - began < 10
+    assert not runindex._covered(60, other.slice(0, 1)).any() and not len(runindex._covered(0, other.slice(0, 0)))
+
+
+def test_pieces_grow_with_the_text():
+    """A chunk meets every bucket, so chunks must not multiply with the buckets."""
+    assert runindex._chunks(256_410, 864 << 20) == 1002 and runindex._chunks(0, 0) == 1
+    assert runindex._chunks(12 * 256_410, 12 * 864 << 20) == 12 * 864 // 8
+    assert runindex._chunks(40_000_000, 1 << 20) == -(-40_000_000 // runindex.CHUNK_DOCS)

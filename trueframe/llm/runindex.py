@@ -41,8 +41,11 @@ from .common import text_of
 LENGTH, GRAM = 50, 16
 SIDE = LENGTH - GRAM
 WIDTH = LENGTH + SIDE
-#: Documents and bytes of text in a chunk on average, and bytes of text that send their anchors to one bucket.
-CHUNK, CHUNK_BYTES, BUCKET_BYTES = 256, 32 << 20, 16 << 20
+#: Bytes of text and documents in a chunk on average, at most; documents in one while there are no more than ``CHUNKS``
+#: of them; and bytes of text that send their anchors to one bucket. A chunk meets every bucket, hence few, large chunks.
+CHUNK_BYTES, CHUNK_DOCS, CHUNK, CHUNKS, BUCKET_BYTES = 8 << 20, 16_384, 256, 1024, 16 << 20
+#: Bytes of text whose anchors are looked for at once.
+BLOCK = 1 << 18
 _B = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 FAR = np.iinfo(np.int64).max
@@ -188,9 +191,30 @@ def _copies(other: pa.Table) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
+def _covered(size: int, other: pa.Table) -> np.ndarray:
+    """Which bytes of a chunk the marks of all buckets cover, from the marks alone: no pass over the text for each bucket."""
+    told = [(_places(p, n), np.frombuffer(n, np.int32)) for p, n in zip(other["place"].to_pylist(), other["length"].to_pylist()) if p is not None]
+    turns = np.zeros(size + 1, np.int8)
+    if told:
+        at, length = (np.concatenate(x) for x in zip(*told))
+        order = np.argsort(at, kind="stable")
+        at, reach = at[order], np.maximum.accumulate((at + length)[order])
+        # stretches that overlap or touch are one
+        cuts = np.flatnonzero(at[1:] > reach[:-1])
+        turns[at[np.append(0, cuts + 1)]] = 1
+        turns[reach[np.append(cuts, len(at) - 1)]] = -1
+    return np.cumsum(turns[:-1], dtype=np.int8) > 0
+
+
 def _searched(buf: np.ndarray, ends: np.ndarray, docs: pa.Table, known: np.ndarray, copies: np.ndarray):
     """Anchors of the chunk's documents that have an id and are no whole copies: position, hash, document."""
-    at, h = anchors(buf, ends)
+    begins = np.concatenate([np.zeros(1, np.int64), ends[:-1]])
+    blocks = np.flatnonzero(np.diff(begins // BLOCK, prepend=-1))
+    found = []
+    for i, j in zip(blocks.tolist(), [*blocks[1:].tolist(), len(ends)]):
+        at, h = anchors(buf[begins[i]:ends[j - 1]], ends[i:j] - begins[i])
+        found.append((at + begins[i], h))
+    at, h = (np.concatenate(x) for x in zip(*found))
     local = np.searchsorted(ends, at, side="right")
     use = (known & ~np.isin(docs["row_key"].to_numpy(), copies))[local]
     return at[use], h[use], local[use]
@@ -217,6 +241,11 @@ def _table(schema: str, rows: list[tuple]) -> pa.Table:
     return pa.table({n: pa.array(c, kinds[k]) for (n, k), c in zip(fields, columns)})
 
 
+def _chunks(count: int, size: int) -> int:
+    """How many chunks documents of that number and size in bytes are dealt into."""
+    return max(1, min(-(-count // CHUNK), CHUNKS), -(-count // CHUNK_DOCS), -(-size // CHUNK_BYTES))
+
+
 def _chunked(docs: DataFrame, id_col: str, text_col: str, also: list[str]) -> tuple[DataFrame, DataFrame, int]:
     """The chunked text, each chunk's whole copies, and how many buckets its anchors need."""
     spark = docs.sparkSession
@@ -225,7 +254,7 @@ def _chunked(docs: DataFrame, id_col: str, text_col: str, also: list[str]) -> tu
     count, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()
     # rows without an id are dealt by their text, so that they do not meet in one chunk
     dealt = F.xxhash64(F.when(F.col("doc_id").isNull(), F.col("body")), "doc_id")
-    chunk = F.pmod(dealt, F.lit(max(1, -(-count // CHUNK), -(-size // CHUNK_BYTES)))).alias("chunk")
+    chunk = F.pmod(dealt, F.lit(_chunks(count, size))).alias("chunk")
     row_key = F.xxhash64("doc_id", "body").alias("row_key")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = rows.filter(F.octet_length("body") >= LENGTH).select("doc_id", row_key, chunk, F.sha2("body", 256).alias("digest"))
@@ -341,13 +370,7 @@ def _applied(docs: DataFrame, id_col: str, text_col: str, also: list[str], schem
         if not docs.num_rows:
             return row(docs, [], [])
         buf, ends, ids, known, docs = _texts(docs)
-        turns = np.zeros(len(buf) + 1, np.int32)
-        for place, length in zip(other["place"].to_pylist(), other["length"].to_pylist()):
-            if place is not None:
-                at = _places(place, length)
-                turns += np.bincount(at, minlength=len(turns)).astype(np.int32)
-                turns -= np.bincount(at + np.frombuffer(length, np.int32), minlength=len(turns)).astype(np.int32)
-        gone = np.cumsum(turns[:-1]) > 0
+        gone = _covered(len(buf), other)
         bounds = list(zip([0, *ends[:-1].tolist()], ends.tolist()))
         copied = known & np.isin(docs["row_key"].to_numpy(), _copies(other))
         for i in np.flatnonzero(copied).tolist():
