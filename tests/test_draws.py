@@ -68,3 +68,10 @@ def test_packed_draws_of_auroc_are_not_broadcast(spark):
         b.group_vectors(df, {"n": b.F.count(b.F.lit(1))}), "group_id")
     met = under_broadcasts(b.drawn_histograms(cells, 10, 40, 11, "addressed"))
     assert met and not any("MapInPandas" in line for line in met)
+
+
+def test_packed_draws_of_clusters_are_not_broadcast(spark):
+    for replicates in (40, 1200):
+        vectors = b.group_vectors(rows(spark, sample(60, 9)), {"n": b.F.count(b.F.lit(1))})
+        met = under_broadcasts(b.replicate_sums(vectors, ["n"], replicates, 11, "addressed"))
+        assert met and not any("MapInPandas" in line for line in met)
