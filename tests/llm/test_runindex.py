@@ -118,7 +118,7 @@ def test_small_blocks_few_chunks_and_many_buckets(documents, monkeypatch):
 
 
 def test_marks_cost_what_they_are_and_not_the_text_for_each_bucket():
-    """3,000 buckets mark an 8 MB chunk; a pass over its bytes for each took minutes."""
+    """3,000 buckets mark an 8 MB chunk; two passes over its bytes for each took about 0.03 s a bucket."""
     rng = np.random.default_rng(6)
     size = 8 << 20
     marks = [(np.sort(rng.integers(0, size - 200, n)), rng.integers(50, 118, n).astype(np.int32)) for n in [1, 0, 7] * 1000]
